@@ -30,7 +30,7 @@ def byte_symbols() -> list[str]:
 class Memo(dict):
     """A function's results by argument: two generations of at most ``size`` entries each."""
 
-    def __init__(self, function, size: int = 250_000):
+    def __init__(self, function, size: int = 100_000):
         super().__init__()
         self.function, self.size, self.old = function, size, {}
 
@@ -52,7 +52,7 @@ class WordBpe:
     little-endian unsigned 32-bit integers; ``decode(ids)`` the text of ids.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 100_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]

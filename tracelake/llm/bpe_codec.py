@@ -28,7 +28,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches):
         bpe = word_bpe(path)
-        for batch in batches:
+        for batch in shared.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.packed(t) for t in batch.column(1).to_pylist()], pa.binary())], [id_col, "ids"])
 
     rows = docs.select(id_col, shared.text_of(text_col).alias(text_col))
@@ -41,7 +41,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
 
     def run(batches):
         bpe = word_bpe(path)
-        for batch in batches:
+        for batch in shared.slices(batches):
             texts = [bpe.decode(np.frombuffer(ids or b"", "<u4").tolist()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
 
@@ -49,8 +49,23 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id")
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass of one worker: id, ids, decoded. The same defined cases."""
+    path = _path(path)
+
+    def run(batches):
+        bpe = word_bpe(path)
+        for batch in shared.slices(batches):
+            ids = [bpe.packed(t) for t in batch.column(1).to_pylist()]
+            texts = [bpe.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], [id_col, "ids", "decoded"])
+
+    rows = docs.select(id_col, shared.text_of(text_col).alias(text_col))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, ids binary, decoded string")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode(encode(shared.documents(spark, sf_dir)))
+    both = round_trip(shared.documents(spark, sf_dir))
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -23,7 +23,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
 
     def run(batches):
         bpe = word_bpe(path)
-        for batch in batches:
+        for batch in shared.slices(batches):
             sizes, counts = [], []
             for text in batch.column(1).to_pylist():
                 sizes.append(len(text.encode("utf-8")))
