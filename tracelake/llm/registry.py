@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from tracelake.llm.bpe_codec import op7_bpe_codec
+from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": OP1_SQL,
+}
