@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracelake.llm.bpe_codec import op7_bpe_codec
 from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tracelake.llm.license_scan import op10_license_scan
 from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.token_counts import op3_token_counts
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
