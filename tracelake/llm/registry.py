@@ -7,12 +7,14 @@ from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracelake.llm.license_scan import op10_license_scan
 from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.token_counts import op3_token_counts
+from tracelake.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_toxicity": op8_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
