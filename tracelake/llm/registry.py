@@ -5,13 +5,17 @@ from __future__ import annotations
 from tracelake.llm.bpe_codec import op7_bpe_codec
 from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracelake.llm.license_scan import op10_license_scan
+from tracelake.llm.orc_tokens import op4_orc_tokens
+from tracelake.llm.packing import op2_packing
 from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.token_counts import op3_token_counts
 from tracelake.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_orc_tokens": op4_orc_tokens,
     "op5_simhash": op5_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_toxicity": op8_toxicity,
