@@ -56,9 +56,11 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text"))
     rows = _hashed(rows.join(F.broadcast(best.withColumn("target", F.lit(1))), "doc_id", "left"))
     target = F.coalesce("target", F.lit(0)).alias("target")
-    single = rows.select(target, F.explode("hashes").alias("h")).select("target", F.lit(1).alias("n"), _bucket(F.col("h")).alias("bucket"))
-    double = rows.select(target, F.explode(_pairs(_same)).alias("bucket")).select("target", F.lit(2).alias("n"), "bucket")
-    counts = single.unionByName(double).groupBy("n", "bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("good"))
+    both = F.concat(F.transform("hashes", lambda h: _bucket(h)), F.transform(_pairs(_same), lambda b: b + BUCKETS))
+    # outer: for an inner explode the optimiser infers a filter on its size and works the array out again for it
+    grams = rows.select(target, F.explode_outer(both).alias("gram")).where("gram is not null")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("raw"), F.sum("target").alias("good"))
+    counts = counts.select((F.floor(F.col("gram") / BUCKETS) + 1).alias("n"), (F.col("gram") % BUCKETS).alias("bucket"), "raw", "good")
     counts = shared.stored(counts, "bucket-counts")
     out = {}
     for n in (1, 2):
@@ -123,10 +125,10 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
     """``docs`` without the rows that :func:`quality` does not keep, all columns as they were, whatever their names."""
     table = weights(docs, labels, id_col, text_col)
     rows = docs.select(F.struct("*").alias("held"), shared.text_of(text_col).alias("text"))
-    # always true, but not deterministic: otherwise the optimiser would move the filter below the columns it
-    # is made of and work each of them out again wherever it occurs
-    decided = measures(rows, table, threshold).withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
-    return decided.where("kept").select("held.*")
+    # through a generator of one row: the optimiser would move a plain filter below the columns it is made of
+    # and work each of them out again wherever it occurs
+    decided = measures(rows, table, threshold).select("held", F.explode_outer(F.array("kept")).alias("stays"))
+    return decided.where("stays").select("held.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

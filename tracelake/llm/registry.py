@@ -7,6 +7,7 @@ from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracelake.llm.license_scan import op10_license_scan
 from tracelake.llm.orc_tokens import op4_orc_tokens
 from tracelake.llm.packing import op2_packing
+from tracelake.llm.quality import op6_quality
 from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.token_counts import op3_token_counts
 from tracelake.llm.toxicity import op8_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_orc_tokens": op4_orc_tokens,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_toxicity": op8_toxicity,
     "op10_license_scan": op10_license_scan,
