@@ -12,8 +12,9 @@ from pyspark.sql import Window
 
 from tracelake.sources.logs import traces
 
-CASE = Window.partitionBy("case_id")
-IN_CASE = CASE.orderBy("event_idx")
+
+def case():
+    return Window.partitionBy("case_id")
 
 
 def _where(log: DataFrame, condition: Column) -> DataFrame:
@@ -21,16 +22,16 @@ def _where(log: DataFrame, condition: Column) -> DataFrame:
 
 
 def start_activities(log: DataFrame, names: list[str]) -> DataFrame:
-    return _where(log, F.min_by("activity", "event_idx").over(CASE).isin(*names))
+    return _where(log, F.min_by("activity", "event_idx").over(case()).isin(*names))
 
 
 def end_activities(log: DataFrame, names: list[str]) -> DataFrame:
-    return _where(log, F.max_by("activity", "event_idx").over(CASE).isin(*names))
+    return _where(log, F.max_by("activity", "event_idx").over(case()).isin(*names))
 
 
 def _ends(log: DataFrame, a: str, b: str) -> DataFrame:
-    first = F.min(F.when(F.col("activity") == a, F.col("event_idx"))).over(CASE)
-    last = F.max(F.when(F.col("activity") == b, F.col("event_idx"))).over(CASE)
+    first = F.min(F.when(F.col("activity") == a, F.col("event_idx"))).over(case())
+    last = F.max(F.when(F.col("activity") == b, F.col("event_idx"))).over(case())
     return log.withColumn("_first", first).withColumn("_last", last)
 
 
@@ -46,22 +47,22 @@ def trim(log: DataFrame, a: str, b: str) -> DataFrame:
 
 def prefix(log: DataFrame, names: list[str]) -> DataFrame:
     """Cases that begin with ``names``."""
-    keep = [F.count_if((F.col("event_idx") == k) & (F.col("activity") == name)).over(CASE) for k, name in enumerate(names)]
+    keep = [F.count_if((F.col("event_idx") == k) & (F.col("activity") == name)).over(case()) for k, name in enumerate(names)]
     return _where(log, sum(keep, F.lit(0)) == len(names))
 
 
 def suffix(log: DataFrame, names: list[str]) -> DataFrame:
     """Cases that end with ``names``."""
-    from_end = F.max("event_idx").over(CASE) - F.col("event_idx")
+    from_end = F.max("event_idx").over(case()) - F.col("event_idx")
     rows = log.withColumn("_end", from_end)
-    keep = [F.count_if((F.col("_end") == k) & (F.col("activity") == name)).over(CASE) for k, name in enumerate(reversed(names))]
+    keep = [F.count_if((F.col("_end") == k) & (F.col("activity") == name)).over(case()) for k, name in enumerate(reversed(names))]
     return _where(rows, sum(keep, F.lit(0)) == len(names)).drop("_end")
 
 
 def directly_follows(log: DataFrame, a: str, b: str) -> DataFrame:
     """Cases where ``b`` comes right after an ``a``."""
-    rows = log.withColumn("_next", F.lead("activity").over(IN_CASE))
-    return _where(rows, F.max((F.col("activity") == a) & F.coalesce(F.col("_next") == b, F.lit(False))).over(CASE)).drop("_next")
+    rows = log.withColumn("_next", F.lead("activity").over(case().orderBy("event_idx")))
+    return _where(rows, F.max((F.col("activity") == a) & F.coalesce(F.col("_next") == b, F.lit(False))).over(case())).drop("_next")
 
 
 def eventually_follows(log: DataFrame, a: str, b: str) -> DataFrame:
@@ -71,20 +72,20 @@ def eventually_follows(log: DataFrame, a: str, b: str) -> DataFrame:
 
 def case_size(log: DataFrame, least: int, most: int = 0) -> DataFrame:
     """Cases of ``least`` to ``most`` events (0: no upper bound)."""
-    n = F.count("*").over(CASE)
+    n = F.count("*").over(case())
     return _where(log, (n >= least) & (n <= most) if most else n >= least)
 
 
 def time_range(log: DataFrame, start_ms: int, end_ms: int, grain: str = "case") -> DataFrame:
     """Cases with any event in the closed range, whole; with ``grain="event"`` those events alone."""
     inside = F.col("ts_ms").between(start_ms, end_ms)
-    return log.where(inside) if grain == "event" else _where(log, F.max(F.coalesce(inside, F.lit(False))).over(CASE))
+    return log.where(inside) if grain == "event" else _where(log, F.max(F.coalesce(inside, F.lit(False))).over(case()))
 
 
 def event_attribute(log: DataFrame, key: str, values: list[str], positive: bool = True) -> DataFrame:
     """Cases with (or, not positive, without) an event whose attribute is among ``values``."""
     value = F.col("activity") if key == "concept:name" else F.col("attributes")[key]
-    found = F.max(F.coalesce(value.isin(*values), F.lit(False))).over(CASE)
+    found = F.max(F.coalesce(value.isin(*values), F.lit(False))).over(case())
     return _where(log, found if positive else ~found)
 
 
@@ -147,5 +148,5 @@ def relabel(log: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def sort_by_time(log: DataFrame) -> DataFrame:
     """Places anew in order of time, unknown times last, else as before."""
-    place = F.row_number().over(CASE.orderBy(F.asc_nulls_last("ts_ms"), "event_idx")) - 1
+    place = F.row_number().over(case().orderBy(F.asc_nulls_last("ts_ms"), "event_idx")) - 1
     return log.withColumn("event_idx", place.cast("long"))

@@ -8,12 +8,14 @@ from pyspark.sql import Window
 
 from tracelake.sources.logs import variants
 
-IN_CASE = Window.partitionBy("case_id").orderBy("event_idx")
+
+def in_case():
+    return Window.partitionBy("case_id").orderBy("event_idx")
 
 
 def pairs(log: DataFrame) -> DataFrame:
     """(case_id, source, target, gap_ms) of neighbouring events: one window over the case."""
-    rows = log.select("case_id", F.col("activity").alias("source"), F.lead("activity").over(IN_CASE).alias("target"), (F.lead("ts_ms").over(IN_CASE) - F.col("ts_ms")).alias("gap_ms"))
+    rows = log.select("case_id", F.col("activity").alias("source"), F.lead("activity").over(in_case()).alias("target"), (F.lead("ts_ms").over(in_case()) - F.col("ts_ms")).alias("gap_ms"))
     return rows.where("target is not null")
 
 
@@ -75,9 +77,9 @@ def dependencies(log: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def transition_system(log: DataFrame, window: int = 1, direction: str = "forward") -> DataFrame:
     """(source, target, activity, n): states are ``window`` + 1 neighbouring activities, up to (forward) or from the event on."""
-    frame = IN_CASE.rowsBetween(-window, 0) if direction == "forward" else IN_CASE.rowsBetween(0, window)
+    frame = in_case().rowsBetween(-window, 0) if direction == "forward" else in_case().rowsBetween(0, window)
     rows = log.select("case_id", "event_idx", "activity", F.array_join(F.collect_list("activity").over(frame), ", ").alias("target"))
-    rows = rows.select(F.lag("target").over(IN_CASE).alias("source"), "target", "activity").where("source is not null")
+    rows = rows.select(F.lag("target").over(in_case()).alias("source"), "target", "activity").where("source is not null")
     return rows.groupBy("source", "target", "activity").agg(F.count("*").alias("n"))
 
 

@@ -8,8 +8,13 @@ from pyspark.sql import Window
 
 from tracelake.sources.logs import traces, variants
 
-IN_CASE = Window.partitionBy("case_id").orderBy("event_idx")
-VARIANT = F.array_join("acts", ">").alias("variant")
+
+def in_case():
+    return Window.partitionBy("case_id").orderBy("event_idx")
+
+
+def variant():
+    return F.array_join("acts", ">").alias("variant")
 
 
 def start_activities(log: DataFrame) -> DataFrame:
@@ -22,7 +27,7 @@ def end_activities(log: DataFrame) -> DataFrame:
 
 def variant_counts(log: DataFrame) -> DataFrame:
     """(variant, n, percentage): activities joined by >."""
-    found = variants(log).select(VARIANT, F.col("count").alias("n"))
+    found = variants(log).select(variant(), F.col("count").alias("n"))
     return found.join(F.broadcast(found.agg(F.sum("n").alias("total")))).select("variant", "n", (100.0 * F.col("n") / F.col("total")).alias("percentage"))
 
 
@@ -47,7 +52,7 @@ def variant_durations(log: DataFrame) -> DataFrame:
     rows = log.groupBy("case_id").agg(acts.alias("acts"), F.min_by("ts_ms", "event_idx").alias("first"), F.max_by("ts_ms", "event_idx").alias("last"))
     long = F.when(F.col("last") > F.col("first"), F.col("last") - F.col("first"))
     none = F.lit(0).cast("long")
-    return rows.groupBy(VARIANT).agg(F.count("*").alias("n"), F.coalesce(F.sum(long), none).alias("total_ms"), F.coalesce(F.round(F.avg(long), 3), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.min(long), none).alias("min_ms"), F.coalesce(F.max(long), none).alias("max_ms"))
+    return rows.groupBy(variant()).agg(F.count("*").alias("n"), F.coalesce(F.sum(long), none).alias("total_ms"), F.coalesce(F.round(F.avg(long), 3), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.min(long), none).alias("min_ms"), F.coalesce(F.max(long), none).alias("max_ms"))
 
 
 def event_attributes(log: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def rework_times(log: DataFrame) -> DataFrame:
 
 def minimum_self_distances(log: DataFrame) -> DataFrame:
     """(activity, min_ms): the least time above 0 between neighbouring equal activities."""
-    rows = log.select("activity", "ts_ms", F.lead("activity").over(IN_CASE).alias("next"), F.lead("ts_ms").over(IN_CASE).alias("next_ms"))
+    rows = log.select("activity", "ts_ms", F.lead("activity").over(in_case()).alias("next"), F.lead("ts_ms").over(in_case()).alias("next_ms"))
     return rows.where("activity = next and next_ms > ts_ms").groupBy("activity").agg(F.min(F.col("next_ms") - F.col("ts_ms")).alias("min_ms"))
 
 
