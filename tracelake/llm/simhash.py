@@ -136,13 +136,15 @@ def _distance(a: str, b: str, words: int) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, words)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, blocks: int = 64, block_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, blocks: int = 96, block_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, stay): the documents (id and the hash h of their text) that a smaller staying one resembles have stay = false.
 
     At a similarity of 0.8 a sixth of all SimHash bits differ, too many for blocks of 64 bits. So a fingerprint
     has ``blocks`` blocks of ``block_bits`` bits; documents that agree in one block (97 of 100 pairs at 0.85,
     more above) are compared in all bits, and count as similar up to the distance that
-    ``similarity`` makes plus a standard deviation.
+    ``similarity`` makes plus a standard deviation. Documents that agree in a block by chance alone are one in
+    2 ** block_bits pairs: for far more than that many documents take more bits, and more blocks to
+    find as many pairs.
 
     Leaders by rounds: in each bucket the smallest documents still there are compared with the others. A
     document similar to a leader that no smaller one dominates goes; a leader that is not dominated has
