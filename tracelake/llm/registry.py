@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracelake.llm.bpe_codec import op7_bpe_codec
 from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracelake.llm.license_scan import op10_license_scan
+from tracelake.llm.line_dedup import OP9_SQL, op9_line_dedup
 from tracelake.llm.orc_tokens import op4_orc_tokens
 from tracelake.llm.packing import op2_packing
 from tracelake.llm.quality import op6_quality
@@ -21,9 +22,11 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
