@@ -199,8 +199,8 @@ same AS (
   SELECT a, b FROM same WHERE len(list_filter(range(1, c + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))) = 1
   UNION ALL
   SELECT a, b FROM one_more WHERE len(list_filter(range(0, c + 1), lambda i: left(b, i) || substr(b, i + 2) = a)) > 0
-), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+), either_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM either_way UNION SELECT r.a, e.b FROM reach r JOIN either_way e ON r.b = e.a),
 classes AS (
   SELECT l.line, any_value(l.first) AS first, least(any_value(l.first), coalesce(min(o.first), any_value(l.first))) AS class_first
   FROM lines l LEFT JOIN reach r ON r.a = l.line LEFT JOIN lines o ON o.line = r.b GROUP BY l.line
