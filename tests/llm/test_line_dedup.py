@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm.line_dedup import BLANKS, drop_lines, line_links, within_edits
+from tracelake.llm.line_dedup import BLANKS, drop_lines, line_links, within_edits, without_ends
 
 SCHEMA = "doc_id long, text string, line string, line_id long"
 
@@ -34,6 +34,9 @@ def test_within_edits(spark, edits):
         a, b = sorted((a, b), key=len, reverse=True)
         pairs.append((a, b)) if len(a) > edits and b else None
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", within_edits(F.col("a"), F.col("b"), edits).alias("near")).collect()
+    df = spark.createDataFrame(pairs, "a string, b string").select("*", F.col("a").alias("c"), F.col("b").alias("d"))
+    cut = without_ends(df, "c", "d").select("*", within_edits(F.col("c"), F.col("d"), edits).alias("near")).collect()
+    assert {(r.a, r.b): r.near for r in cut} == {(r.a, r.b): r.near for r in got} and all(r.c[:1] != r.d[:1] or not r.c for r in cut)
     assert {(r.a, r.b): r.near for r in got} == {(a, b): distance(a, b) <= edits for a, b in pairs}
 
 
@@ -61,7 +64,7 @@ def test_links_make_the_same_classes(spark, paired):
     lines = texts(random.Random(7))
     ids = range(len(lines))
     expected = classes([(i, j) for i in ids for j in ids if i < j and min(len(lines[i]), len(lines[j])) >= 10 and distance(lines[i], lines[j]) <= 1], ids)
-    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").withColumn("chars", F.char_length("line"))
     links = [(r.x, r.y) for r in line_links(df, paired=paired).collect()]
     assert all(distance(lines[x], lines[y]) == 1 for x, y in links)
     assert classes(links, ids) == expected

@@ -21,12 +21,32 @@ PAIRED = 32
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Code points that two strings have in common at their beginnings, by steps of falling powers of two."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    most = F.ceil(F.log2(n + 1)).cast("int")
+    steps = F.transform(F.sequence(F.lit(0), most), lambda k: F.pow(F.lit(2), most - k).cast("int"))
+    same = lambda at, k: (at + k <= n) & (F.substring(a, at + 1, k) == F.substring(b, at + 1, k))
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(same(at, k), at + k).otherwise(at))
+
+
+def without_ends(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with what ``a`` and ``b`` have in common at both ends taken away, which leaves their distance as it was.
+
+    Through generators of one row: the optimiser would else work the lengths out again wherever they occur.
+    """
+    for _ in range(2):  # the second time from the other end, which turns the strings round again
+        cut = F.explode(F.array(_common(F.col(a), F.col(b)))).alias("cut")
+        rest = lambda c: F.reverse(F.substring(c, F.col("cut") + 1, F.char_length(c))).alias(c)
+        pairs = pairs.select("*", cut).select(*(rest(c) if c in (a, b) else c for c in pairs.columns))
+    return pairs
+
+
 def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
     """Whether the edit distance of two strings is at most ``edits``, by bit vectors over a band of 2 * edits + 1 diagonals.
 
-    ``a`` is the longer string, or as long, and has more than ``edits`` code points. A step takes one code
-    point of ``b``; a bit of ``vp`` (``vn``) says that the distance rises (falls) from one row of the band to
-    the next. Null if either is null.
+    ``a`` is the longer string, or as long. A step takes one code point of ``b``; a bit of ``vp`` (``vn``) says that the
+    distance rises (falls) from one row of the band to the next. Null if either is null.
     """
     top = 2 * edits
     full = (1 << top + 1) - 1
@@ -45,34 +65,40 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
         rise = F.when(past < 0, F.when(d0.bitwiseAND(F.lit(1 << top)) == 0, 1).otherwise(0)).otherwise(last(hp) - last(hn))
         return F.struct((s["i"] + 1).alias("i"), hn.bitwiseOR(low.bitwiseOR(hp).bitwiseXOR(F.lit(full))).alias("vp"), low.bitwiseAND(hp).alias("vn"), (s["distance"] + rise).alias("distance"))
 
-    return (n - m <= edits) & (F.aggregate(equals, start, step)["distance"] <= edits)
+    return F.when(n <= edits, True).when(n - m > edits, False).otherwise(F.aggregate(equals, start, step)["distance"] <= edits)
 
 
 def _key(line: Column, chars: Column, start: Column, width: Column, more: int) -> Column:
     """Hash of the line outside ``width + more`` code points from ``start``, for an index of lines with ``chars`` code points."""
-    none = F.greatest(width, F.lit(0)) + more
     left = F.substring(line, F.lit(1), start)
-    right = F.substring(line, start + none + 1, F.greatest(chars - start - width, F.lit(0)))
+    right = F.substring(line, start + width + more + 1, chars - start - width)
     return F.xxhash64(chars, start, width, left, F.octet_length(left), right)
 
 
-def _entries(line: Column, chars: Column, windows: list[tuple[Column, Column]], more: int, split: bool = True) -> Column:
-    """An array: the index entries (``more`` = 0) or probes (1) of a line for windows (start, width), each with the keys of both halves of its window."""
+def _halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
+    """Both halves of a window; one of a single code point has the places before and after it."""
+    low = F.floor(width / 2).cast("int")
+    return [(start, low), (start + F.when(width == 1, 1).otherwise(low), F.when(width == 1, 0).otherwise(width - low))]
 
-    def halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
-        low = F.floor(width / 2).cast("int")
-        # a window of one code point is halved into the places before and after it
-        return [(start, low), (start + F.greatest(low, F.least(width, F.lit(1))), F.when(width == 1, 0).otherwise(width - low))]
+
+def _entries(line: Column, chars: Column, windows: list[tuple[Column, Column]], more: int) -> Column:
+    """An array: the index entries (``more`` = 0) or probes (1) of a line for both halves of windows (start, width).
+
+    ``a`` and ``b`` are hashes of what the entry's own window has before and after its middle: linked lines of a bucket agree in one of them.
+    """
 
     def entry(start: Column, width: Column) -> Column:
-        a, b = (_key(line, chars, *half, more) for half in halves(start, width))
+        low = F.floor(width / 2).cast("int")
+        inside = F.substring(line, start + 1, width + more)
+        a, b = F.xxhash64(F.substring(inside, F.lit(1), low)), F.xxhash64(F.substring(inside, low + more + 1, width - low))
         return F.struct(_key(line, chars, start, width, more).alias("key"), F.lit(more == 0).alias("indexed"), start.alias("start"), width.alias("width"), a.alias("a"), b.alias("b"))
 
-    return F.array(*(entry(s, w) for window in windows for s, w in (halves(*window) if split else [window])))
+    return F.array(*(entry(s, w) for window in windows for s, w in _halves(*window)))
 
 
 def _met(entries: DataFrame) -> DataFrame:
     """The entries whose bucket holds an index entry and another entry, with the bucket's counts, written."""
+    entries = shared.stored(entries, "line-entries")  # read twice
     sizes = entries.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1")
     return shared.stored(entries.join(sizes, "key"), "line-buckets")
 
@@ -87,7 +113,7 @@ def _candidates(met: DataFrame, where: Column) -> DataFrame:
 
 
 def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED) -> DataFrame:
-    """Links (x, y) whose components are those of all pairs of ``lines`` (line_id long, line, distinct) at most one edit apart.
+    """Links (x, y) whose components are those of all pairs of ``lines`` (line_id long, line, distinct, chars its code points) at most one edit apart.
 
     Lines of fewer than ``min_chars`` code points have no links. Buckets of at most ``paired`` lines are
     paired, and pairs that also agree outside one half of the window are verified. In a larger bucket the
@@ -95,8 +121,7 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
     the lines. Lines left in one bucket with a window of one code point are one edit apart, all of them,
     and are linked to the smallest; a window of none holds one index entry. No pair is left out.
     """
-    chars = F.char_length("line")
-    long_enough = lines.where(chars >= min_chars).select("line_id", "line", chars.alias("chars"))
+    long_enough = lines.where(F.col("chars") >= min_chars).select("line_id", "line", "chars")
     index = _entries(F.col("line"), F.col("chars"), [(F.lit(0), F.col("chars"))], 0)
     probes = F.when(F.col("chars") > min_chars, _entries(F.col("line"), F.col("chars") - 1, [(F.lit(0), F.col("chars") - 1)], 1))
     first = long_enough.select("line_id", F.explode(F.concat(index, F.coalesce(probes, F.array().cast(long_enough.select(index).schema[0].dataType)))).alias("e"))
@@ -120,9 +145,11 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
     for more in found[1:]:
         pairs = pairs.unionByName(more)
     pairs = shared.stored(pairs.distinct(), "line-pairs")
-    texts = lines.select(F.col("line_id").alias("x"), F.col("line").alias("x_line"))
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("line_id")).distinct()
+    texts = shared.stored(lines.select("line_id", "line").join(ids, "line_id", "left_semi"), "paired-lines").toDF("x", "x_line")
     both = pairs.join(texts, "x").join(texts.toDF("y", "y_line"), "y")
     # a probing line is one code point longer than an indexed one
+    both = without_ends(both, "x_line", "y_line")
     return both.where(within_edits(F.col("y_line"), F.col("x_line"))).select("x", "y")
 
 
@@ -137,7 +164,7 @@ def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIR
     places = rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line != ''")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos").alias("first")
     lines = places.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    lines = shared.stored(lines.withColumn("line_id", F.monotonically_increasing_id()), "lines")
+    lines = shared.stored(lines.withColumns({"line_id": F.monotonically_increasing_id(), "chars": F.char_length("line")}), "lines")
     roots = components(line_links(lines, min_chars, paired), "x", "y").withColumnRenamed("node", "line_id")
     linked = shared.stored(lines.select("line_id", "first").join(roots, "line_id"), "linked-lines")
     firsts = linked.groupBy("root").agg(F.min("first").alias("class_first"))
