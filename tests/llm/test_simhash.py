@@ -110,3 +110,28 @@ def test_near_copies_go(spark):
     assert 2000 in stay and 2001 not in stay and stay.count(2002) == 2
     assert drop_near_copies(df.limit(0)).count() == 0
     assert 150 < similarity_bits(0.8, 1280, 0) * 1024 // 1280 < 160
+
+
+def shingles(text, width=5):
+    words = text.split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_the_threshold(spark):
+    random.seed(11)
+    rows, expected = [], {}
+    while len(rows) < 240:
+        text = ["w%d" % random.randrange(5000) for _ in range(random.randint(60, 300))]
+        copy = list(text)
+        for _ in range(max(1, len(text) // 48 + random.randint(-1, 1))):
+            copy[random.randrange(len(copy))] = "x%d" % random.randrange(5000)
+        found = jaccard(shingles(" ".join(text)), shingles(" ".join(copy)))
+        if 0.8 <= found <= 0.85 and len(rows) < 160 or 0.75 <= found < 0.8 and len(rows) >= 160:
+            expected[len(rows) + 1] = found < 0.8
+            rows += [(len(rows), " ".join(text), "", 0), (len(rows) + 1, " ".join(copy), "", 0)]
+    stay = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {k: k in stay for k in expected} == expected and set(range(0, 240, 2)) <= stay
