@@ -135,3 +135,25 @@ def test_near_copies_at_the_threshold(spark):
             rows += [(len(rows), " ".join(text), "", 0), (len(rows) + 1, " ".join(copy), "", 0)]
     stay = {r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {k: k in stay for k in expected} == expected and set(range(0, 240, 2)) <= stay
+
+
+def test_near_copies_leave_one_of_a_chain(spark):
+    random.seed(13)
+    rows = []
+    for chain in range(6):
+        text = ["w%d" % random.randrange(9000) for _ in range(200)]
+        for version in range(7):  # each like the one before, the ends are not alike
+            rows.append((random.randrange(10**9), " ".join(text), "", chain))
+            for k in (3, 100):
+                at = 12 * version + k
+                text[at : at + 4] = ["w%d" % random.randrange(9000) for _ in range(4)]
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    root = {k: k for k in sets}
+    for _ in sets:  # the smallest id that links reach
+        for a in sets:
+            for b in sets:
+                if jaccard(sets[a], sets[b]) >= 0.8:
+                    root[a] = min(root[a], root[b])
+    assert len(set(root.values())) == 6 and any(jaccard(sets[k], sets[v]) < 0.7 for k, v in root.items())
+    stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(stay) == sorted(set(root.values()))

@@ -201,17 +201,40 @@ def verified(pairs: DataFrame, sets: DataFrame, a: str, b: str, similarity: floa
     return both.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select(a, b)
 
 
+def near_links(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of all pairs that meet in a bucket of ``alive`` (bucket, r, n) and have this similarity or more.
+
+    Leaders by rounds: one, then two, four and so on of each bucket's members, in their order, are compared with
+    those after them. A pair whose ends are known to be in one component by then is not compared, as it adds nothing;
+    a bucket in one component is done. So every pair is compared or not needed, and a group of copies, which the first
+    leaders join up, costs rows in proportion to its size. Only members that are not alike, yet met, remain to be paired.
+    """
+    placed = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("r")))
+    alive = shared.stored(placed.withColumn("root", F.col("r")), "buckets")
+    found = roots = None
+    done, leaders = 0, 1
+    while not alive.isEmpty():
+        lead = alive.where((F.col("place") > done) & (F.col("place") <= done + leaders)).select("bucket", F.col("r").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("root").alias("lead_root"))
+        alike = F.least("n", "lead_n") / F.greatest("n", "lead_n") >= similarity
+        met = alive.join(lead, "bucket").where((F.col("lead_place") < F.col("place")) & (F.col("root") != F.col("lead_root")) & alike).select("r", "lead").distinct()
+        similar = shared.stored(verified(met, sets, "r", "lead", similarity), "similar")
+        found = similar if found is None else found.unionByName(similar)
+        if not similar.isEmpty():
+            roots = components(found, "r", "lead").select(F.col("node").alias("r"), "root")
+        done, leaders = done + leaders, 2 * leaders
+        rest = alive if roots is None else alive.drop("root").join(roots, "r", "left").withColumn("root", F.coalesce("root", "r"))
+        more = rest.groupBy("bucket").agg(F.max("place").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("last") > done + 1) & (F.col("low") < F.col("high"))).select("bucket")
+        alive = shared.stored(rest.select("bucket", "r", "n", "place", "root").join(more, "bucket"), "buckets")
+    return roots if roots is not None else alive.select(F.col("r"), "root")
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, stay): the documents (id and the hash h of their text) that a smaller staying one resembles have stay = false.
+    """(id, h, stay): stay = true for the smallest document (id and the hash h of its text) of each group that links reach.
 
     Documents meet when ``rows`` min-hashes agree in one of ``bands`` bands. At a similarity of 0.8 a pair misses all
     of them with a probability of (1 - 0.8 ** 6) ** 60, one in 80 million, and less above. Whoever meets is compared by
-    the exact Jaccard similarity of the sets of distinct shingles (64-bit hashes), so no pair below ``similarity`` counts.
-
-    Leaders by rounds: in each bucket the smallest documents still there are compared with the others. A
-    document similar to a leader that no smaller one dominates goes; a leader that is not dominated has
-    met its whole bucket and leaves it. It ends when no bucket holds two documents. Rows compared in a
-    round are in proportion to the bucket, however large it is; nothing is capped.
+    the exact Jaccard similarity of the sets of distinct shingles (64-bit hashes), so no pair below ``similarity`` is
+    linked. Groups are the components of the links, so of a chain of versions one document stays.
     """
     raw = shared.stored(banded(docs, width, bands, rows, id_col, text_col), "bands")
     # equal sets: one representative; row numbers in id order, nulls last
@@ -221,24 +244,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     every = distinct.select("r", "n", F.explode("bands").alias("bucket"))
     sizes = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     alive = shared.stored(every.join(sizes, "bucket"), "buckets")
-    sets = shared.stored(shingle_sets(docs, distinct.join(alive.select("r").distinct(), "r", "left_semi").select("r", "id", "h"), width, id_col, text_col), "shingle-sets")
-    gone, leaders = [], 1
-    while not alive.isEmpty():
-        lead = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("r"))).where(F.col("place") <= leaders).select("bucket", F.col("r").alias("lead"), F.col("n").alias("lead_n"))
-        lead = shared.stored(lead, "leaders")
-        alike = F.least("n", "lead_n") / F.greatest("n", "lead_n") >= similarity
-        met = alive.join(lead, "bucket").where((F.col("lead") < F.col("r")) & alike).select("r", "lead").distinct()
-        similar = shared.stored(verified(met, sets, "r", "lead", similarity), "similar")
-        dominated = similar.select(F.col("r").alias("lead")).distinct()
-        going = shared.stored(similar.join(dominated, "lead", "left_anti").select("r").distinct(), "going")
-        gone.append(going)
-        done = lead.join(dominated, "lead", "left_anti").select("bucket", F.col("lead").alias("r"))
-        rest = alive.join(going, "r", "left_anti").join(done, ["bucket", "r"], "left_anti")
-        more = rest.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-        alive, leaders = shared.stored(rest.join(more, "bucket"), "buckets"), 8
-    left = distinct.select("k1", "k2", "r", F.col("id").alias("keep"), F.col("h").alias("keep_h"))
-    for going in gone:
-        left = left.join(going, "r", "left_anti")
+    wanted = distinct.join(alive.select("r").distinct(), "r", "left_semi").select("r", "id", "h")
+    sets = shared.stored(shingle_sets(docs, wanted, width, id_col, text_col), "shingle-sets")
+    going = near_links(alive, sets, similarity).where("r > root").select("r")
+    left = distinct.select("k1", "k2", "r", F.col("id").alias("keep"), F.col("h").alias("keep_h")).join(going, "r", "left_anti")
     stay = F.col("keep_h").isNotNull() & F.col("keep").eqNullSafe(F.col("id")) & (F.col("keep_h") == F.col("h"))
     return raw.select("id", "h", "k1", "k2").join(left.drop("r"), ["k1", "k2"], "left").select("id", "h", F.coalesce(stay, F.lit(False)).alias("stay"))
 
