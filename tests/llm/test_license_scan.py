@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from tracelake.llm.license_scan import PHRASES, license_scan, phrase_places, scanner
 
@@ -43,3 +44,45 @@ def test_signatures():
     assert len(scanner().rules) > 300
     # every keyword stands in what its pattern asks for, so the prefilter hides no match
     assert all(isinstance(r.keyword, str) and r.keyword == r.keyword.lower() for r in scanner().rules)
+
+
+def example(rng, parsed):
+    """A text that the parsed pattern asks for, its choices taken at random."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            kind, arg = rng.choice([a for a in arg if str(a[0]) != "NEGATE"])
+            out += chr(arg) if str(kind) == "LITERAL" else rng.choice("\n ") if "SPACE" in str(arg) else "7"
+        elif kind == "NOT_LITERAL":
+            out += "7"
+        elif kind == "BRANCH":
+            out += example(rng, rng.choice(arg[1]))
+        elif kind == "SUBPATTERN":
+            out += example(rng, arg[-1])
+        elif kind == "MAX_REPEAT":
+            out += "".join(example(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+        else:
+            assert kind in ("AT", "ASSERT_NOT"), kind
+    return out
+
+
+def test_prefilter_hides_no_match():
+    rng = random.Random(4)
+    scan = scanner()
+    for rule in scan.rules:
+        for _ in range(40):
+            text = example(rng, _parser.parse(rule.pattern.pattern))
+            assert all(word in text for word in rule.keyword.split()), (rule, text)
+    every = type(scan)(scan.rules)
+    every.words_of = {keyword: set() for keyword in every.by_keyword}  # each rule runs
+    for text in LINES + ["GNU Affero General Public License version 3", "this software is provided as is without any express or implied warranty", "Creative Commons Attribution-ShareAlike 4.0", "in the public domain", "SIL Open Font License 1.1", "PSF License", "Open RAIL"]:
+        for gap in (" ", "  ", "\n", "\n# ", "\n * ", "\r\n// "):
+            wrapped = text.lower().replace(" ", gap)
+            assert scan.detections(wrapped) == every.detections(wrapped)
+    assert labels("GNU Affero General Public\nLicense version 3") == labels("gnu affero general public\n# license version 3") == ["agpl-3.0"]
+    assert labels("GNU General Public\nLicense, version 3") == ["gpl-3.0"]
+    assert labels("This software is provided as is, without any express or implied warranty") == ["zlib"]
+    assert labels("Creative\n// Commons  Attribution 4.0") == ["cc-by-4.0"]

@@ -25,15 +25,15 @@ class Scanner:
         for k, rule in enumerate(rules):
             self.by_keyword.setdefault(rule.keyword, []).append(k)
         self.keywords = ahocorasick.Automaton()
-        for keyword in self.by_keyword:
-            self.keywords.add_word(keyword, keyword)
+        self.words_of = {keyword: set(keyword.split()) for keyword in self.by_keyword}
+        for word in set().union(*self.words_of.values()):
+            self.keywords.add_word(word, word)
         self.keywords.make_automaton()
 
     def detections(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, label, priority), A-Z lowered text given. Rules run in order; a match within a kept one is suppressed."""
-        found = {keyword for _, keyword in self.keywords.iter(text)}
-        if not found:
-            return []
+        words = {word for _, word in self.keywords.iter(text)}
+        found = [keyword for keyword, needed in self.words_of.items() if needed <= words]
         matches = []
         for k in sorted(k for keyword in found for k in self.by_keyword[keyword]):
             rule = self.rules[k]
