@@ -88,3 +88,11 @@ def test_empty_and_unlabelled(spark):
     assert quality(spark.createDataFrame([], SCHEMA), none).count() == 0
     df = spark.createDataFrame([(1, " ".join("w%d" % k for k in range(30)), "", "", "")], SCHEMA)
     assert quality(df, none).select("kept", "score").first() == (True, 0.0)
+
+
+def test_every_trusted_document_counts(spark):
+    n = 20_200
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('w', id, ' v', id % 7) AS text")
+    known = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    # all documents are trusted, so target and raw counts are the same
+    assert quality(df, known).where("score <> 0").count() == 0

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import shared
 
-#: Buckets for each n, trusted documents at most (those of the smallest hash of their id), and the lowest score kept.
-BUCKETS, TRUSTED, THRESHOLD = 1 << 16, 20_000, -0.5
+#: Buckets for each n, and the lowest score kept.
+BUCKETS, THRESHOLD = 1 << 16, -0.5
 WINDOW = 8
 
 
@@ -45,16 +45,15 @@ def _same(bucket: Column) -> Column:
     return bucket
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED) -> dict[int, Column]:
+def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, Column]:
     """For n = 1 and 2, the log ratio of every bucket as a constant array<double>.
 
-    Counts cover every document; add-one smoothing. The trusted ones are labelled with quality 1; their ids
-    (``trusted`` at most) are broadcast, so texts are counted where they are read. Without any trusted
-    document all ratios are 0.
+    Raw counts cover every document, target counts every trusted one, that is labelled with quality 1; add-one
+    smoothing. Without any trusted document all ratios are 0.
     """
-    best = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    best = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text"))
-    rows = _hashed(rows.join(F.broadcast(best.withColumn("target", F.lit(1))), "doc_id", "left"))
+    rows = _hashed(rows.join(best.withColumn("target", F.lit(1)), "doc_id", "left"))
     target = F.coalesce("target", F.lit(0)).alias("target")
     both = F.concat(F.transform("hashes", lambda h: _bucket(h)), F.transform(_pairs(_same), lambda b: b + BUCKETS))
     # outer: for an inner explode the optimiser infers a filter on its size and works the array out again for it
