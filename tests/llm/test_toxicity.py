@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from tracelake.llm.toxicity import Model, drop_toxic, fit, score, train
+from tracelake.llm.toxicity import Model, drop_toxic, fit, score, train, words_of
 
 SCHEMA = "doc_id long, text string, score string, toxic string"
 INSULTS = ["idiot", "moron", "worthless", "stupid"]
@@ -47,3 +47,19 @@ def test_small_samples(spark):
     rows, labels = corpus(60, 4)
     a, b = fit([r[1] for r in rows], [t for *_, t in labels], rounds=5), fit([r[1] for r in rows], [t for *_, t in labels], rounds=5)
     assert (a.gain == b.gain).all()
+
+
+def test_long_runs_are_read_to_their_end():
+    rows, labels = corpus(600, 2)
+    scores = fit([r[1] for r in rows], [t for *_, t in labels]).scorer()
+    random.seed(6)
+    calm = "".join(random.choice("aeiourstln") for _ in range(10_000))
+    clean = next(text for (_, text, *_), (*_, toxic) in zip(rows, labels) if not toxic).split()
+    words = [random.choice(clean) for _ in range(2000)]
+    low = scores([calm, ",".join(words), "_".join(words)])
+    high = scores([calm + "idiot", ",".join(words) + ",idiot", "_".join(words + ["idiot"]), "-".join(words[:1000] + ["idiot"] + words[1000:])])
+    assert max(low) < 0.5 < min(high), (low, high)
+    for n in range(60, 200):  # pieces overlap and leave out nothing
+        run = "".join(chr(0x4E00 + k) for k in range(n))
+        assert all(any(run[k : k + 8] in w for w in words_of(run)) for k in range(n - 7))
+    assert words_of("A b" + "c" * 61) == ["a", "b" + "c" * 61]

@@ -7,6 +7,7 @@ document scores as its worst window, so that one insult in a long document is no
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 from itertools import chain
@@ -24,15 +25,28 @@ from tracelake.llm import shared
 SAMPLE = 1_500
 BUCKETS, DIMENSIONS, WINDOW, NGRAMS = 1 << 16, 8, 2, (3, 4, 5)
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
+#: Longer runs without white space are cut at inner marks; what is still longer, into pieces of PIECE characters, one every STRIDE.
+LONGEST, PIECE, STRIDE = 63, 12, 4
+_MARKS = re.compile("[" + re.escape(_STRIP) + "、。，．：；！？「」『』（）【】《》〈〉・…]+")
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Lowered words between white space. Of a run over LONGEST characters every letter is in some word, whatever its length."""
+    words = text.lower().split()
+    return words if not words or max(map(len, words)) <= LONGEST else list(chain.from_iterable([w] if len(w) <= LONGEST else _pieces(w) for w in words))
+
+
+def _pieces(run: str) -> Iterator[str]:
+    for part in [x for x in _MARKS.split(run) if x] or [run]:
+        if len(part) <= LONGEST:
+            yield part
+        else:
+            yield from (part[k : k + PIECE] for k in range(0, len(part) - PIECE + STRIDE, STRIDE))
 
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number) of every n-gram of each word within < and >, and of each whole word; marks at a word's ends are left out."""
-    marked = [f"<{w.strip(_STRIP) or w}"[:64] + ">" for w in words]
+    marked = [f"<{w.strip(_STRIP) or w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     number, ends = np.repeat(np.arange(len(marked)), sizes), np.repeat(np.cumsum(sizes), sizes)
