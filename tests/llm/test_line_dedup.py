@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.llm.line_dedup import BLANKS, drop_lines, line_links, within_edits, without_ends
+from tracelake.llm.line_dedup import BLANKS, drop_lines, line_links, wider_links, within_edits, without_ends
 
 SCHEMA = "doc_id long, text string, line string, line_id long"
 
@@ -110,3 +110,17 @@ def test_repeated_rows_and_empty(spark):
     got = drop_lines(spark.createDataFrame([row, row], SCHEMA)).collect()
     assert [tuple(r) for r in got] == [(5, "the same row here\nx", 3, 1, 0)] * 2
     assert drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_longer_lines_at_more_edits(spark):
+    rng, longer = random.Random(12), [(20, 2), (45, 3), (90, 4)]
+    base = ["".join(rng.choice("abcdefé𝄞") for _ in range(n)) for n in (12, 19, 21, 30, 44, 46, 88, 91, 200)]
+    lines = sorted({edited(rng, b, rng.randint(0, 5)) for b in base for _ in range(14)})
+    allowed = lambda a, b: max([1] + [k for n, k in longer if min(len(a), len(b)) >= n])
+    ids = range(len(lines))
+    near = {(i, j) for i in ids for j in ids if i < j and distance(lines[i], lines[j]) <= allowed(lines[i], lines[j])}
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string").withColumn("chars", F.char_length("line"))
+    found = {tuple(sorted((r.x, r.y))) for r in wider_links(df, longer).collect()}
+    assert found == {(i, j) for i, j in near if min(len(lines[i]), len(lines[j])) >= 20}
+    docs = spark.createDataFrame([(k, line, "", 0) for k, line in enumerate(lines)], SCHEMA)
+    assert sum(r.n_dropped for r in drop_lines(docs, longer=longer).collect()) == len(lines) - len(set(classes(near, ids).values()))

@@ -3,11 +3,14 @@
 Two lines are linked when at most one edit (a code point replaced, put in or taken out) makes one the other.
 A line is split into two segments, one more than the edits, so linked lines agree in one of them. Every line
 is indexed by what lies outside one segment, and probes the index of lines of one code point less with what
-lies outside a window one code point wider. Only DataFrame functions are used.
+lies outside a window one code point wider. On request, long lines are linked at more edits. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,7 +156,44 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
     return both.where(within_edits(F.col("y_line"), F.col("x_line"))).select("x", "y")
 
 
-def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def wider_links(lines: DataFrame, longer: Sequence[tuple[int, int]], min_chars: int = MIN_CHARS) -> DataFrame:
+    """Links (x, y) of all pairs of ``lines`` (as in :func:`line_links`) within the edits that ``longer`` allows.
+
+    ``longer`` has (code points, edits): a pair whose shorter line has so many code points or more may be so many edits
+    apart, by the last step it reaches. An indexed line is cut into one segment more than its edits, so one of them
+    stands unchanged in a linked line, moved by the edits at most. Lines that are longer by none up to all of the edits
+    probe each such place. Whoever meets is verified; no pair is left out, so lines that share a segment cost the
+    square of their number.
+    """
+    line, chars = F.col("line"), F.col("chars")
+    allowed = lambda n: reduce(lambda c, step: F.when(n >= step[0], step[1]).otherwise(c), sorted(longer), F.lit(0))
+    values = sorted({edits for _, edits in longer})
+
+    def keys(n: Column, edits: Column, probing: bool) -> Column:
+        """Hashes of the segments of a line of ``n`` code points, or of the places where they may stand in the longer ``line``."""
+
+        def of(i: Column) -> Column:
+            start = F.floor(i * n / (edits + 1)).cast("int")
+            width = F.floor((i + 1) * n / (edits + 1)).cast("int") - start
+            key = lambda place: F.xxhash64(n, i, F.substring(line, place + 1, width))
+            return F.transform(F.sequence(F.greatest(F.lit(0), start - edits), F.least(start + edits, chars - width)), key) if probing else F.array(key(start))
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), edits), of)))
+
+    index = lines.where((chars >= min_chars) & (allowed(chars) > 0)).select(F.col("line_id").alias("x"), chars.alias("n"), F.explode(keys(chars, allowed(chars), False)).alias("key"))
+    probes = None
+    for more in range(values[-1] + 1):
+        n = chars - more
+        own = lines.where((n >= min_chars) & (allowed(n) >= max(more, 1))).select(F.col("line_id").alias("y"), n.alias("n"), F.lit(more).alias("more"), F.explode(keys(n, allowed(n), True)).alias("key"))
+        probes = own if probes is None else probes.unionByName(own)
+    pairs = index.join(probes, ["n", "key"]).where((F.col("more") > 0) | (F.col("x") < F.col("y"))).select("x", "y", "n").distinct()
+    pairs = shared.stored(pairs.withColumn("edits", allowed(F.col("n"))).drop("n"), "wider-pairs")
+    both = pairs.join(lines.select(F.col("line_id").alias("x"), F.col("line").alias("x_line")), "x").join(lines.select(F.col("line_id").alias("y"), F.col("line").alias("y_line")), "y")
+    both = without_ends(both, "x_line", "y_line")
+    return both.where(reduce(lambda c, k: F.when(F.col("edits") == k, within_edits(F.col("y_line"), F.col("x_line"), k)).otherwise(c), values, F.lit(False))).select("x", "y")
+
+
+def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text", longer: Sequence[tuple[int, int]] = ()) -> tuple[DataFrame, DataFrame]:
     """(places, lines): every non-blank line's place (id, h, pos, and its hashes h1, h2), and every distinct line.
 
     ``lines``: line, n (places), first (its first place), class_first (the first place of all lines that links
@@ -165,7 +205,10 @@ def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIR
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos").alias("first")
     lines = places.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     lines = shared.stored(lines.withColumns({"line_id": F.monotonically_increasing_id(), "chars": F.char_length("line")}), "lines")
-    roots = components(line_links(lines, min_chars, paired), "x", "y").withColumnRenamed("node", "line_id")
+    links = line_links(lines, min_chars, paired)
+    if longer:
+        links = links.unionByName(wider_links(lines, longer, min_chars))
+    roots = components(links, "x", "y").withColumnRenamed("node", "line_id")
     linked = shared.stored(lines.select("line_id", "first").join(roots, "line_id"), "linked-lines")
     firsts = linked.groupBy("root").agg(F.min("first").alias("class_first"))
     linked = linked.join(firsts, "root").select("line_id", "class_first")
@@ -173,19 +216,19 @@ def line_classes(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIR
     return places, classes.withColumn("class_first", F.coalesce("class_first", "first"))
 
 
-def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED, id_col: str = "doc_id", text_col: str = "text", longer: Sequence[tuple[int, int]] = ()) -> DataFrame:
     """One row per document: id, text (without the dropped lines), n_lines, n_dropped, n_near.
 
     Lines lie between line feeds and are compared without white space at their ends; blank ones always stay
     and are not counted. Lines at most one edit apart are linked (those under ``min_chars`` code points to
-    equal ones only). Of all lines that links reach, the one in the smallest id (then hash of the text, then
+    equal ones only), and long ones at more edits as ``longer`` says, see :func:`wider_links`. Of all lines that links reach, the one in the smallest id (then hash of the text, then
     place) stays and the others go: ``n_dropped``, of which ``n_near`` differ from the one that stays.
 
     A null text is empty: no lines. Null ids come last. Rows repeated with the same id and text share one
     fate; those of one id and other text are told apart. A row is returned for every row of ``docs``, an empty table gives an empty
     result, other columns are not read.
     """
-    places, lines = line_classes(docs, min_chars, paired, id_col, text_col)
+    places, lines = line_classes(docs, min_chars, paired, id_col, text_col, longer)
     hashes = (F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(9), "line").alias("h2"))
     again = lines.where("n > 1 or linked").select(*hashes, "class_first", (F.col("first") != F.col("class_first")).alias("near"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "pos")
