@@ -63,3 +63,11 @@ def test_long_runs_are_read_to_their_end():
         run = "".join(chr(0x4E00 + k) for k in range(n))
         assert all(any(run[k : k + 8] in w for w in words_of(run)) for k in range(n - 7))
     assert words_of("A b" + "c" * 61) == ["a", "b" + "c" * 61]
+
+
+def test_windows_start_at_every_word():
+    rows, labels = corpus(300, 8)
+    scores = fit([r[1] for r in rows], [t for *_, t in labels]).scorer()
+    clean = next(text for (_, text, *_), (*_, toxic) in zip(rows, labels) if not toxic).split()[:4]
+    even, odd = scores([" ".join(clean[:k] + ["moron", "idiot"] + clean[k:]) for k in (2, 3)])
+    assert even == odd > 0.5 and len(set(scores(["idiot", "idiot idiot", "idiot idiot idiot"]))) == 1

@@ -1,7 +1,7 @@
 """Operator 8: toxicity by subword-bag embeddings averaged into a linear softmax, trained in numpy.
 
 A word is the bag of its character n-grams, hashed into buckets; bucket embeddings and the two-class
-softmax over their average are trained together. The average is taken over windows of a few words and a
+softmax over their average are trained together. The average is taken over every two neighbouring words and a
 document scores as its worst window, so that one insult in a long document is not averaged away.
 """
 
@@ -23,7 +23,7 @@ from tracelake.llm import shared
 
 #: Training documents of each class at most: the bound of the sample that is fitted on the driver.
 SAMPLE = 1_500
-BUCKETS, DIMENSIONS, WINDOW, NGRAMS = 1 << 16, 8, 2, (3, 4, 5)
+BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 8, (3, 4, 5)
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 #: Longer runs without white space are cut at inner marks; what is still longer, into pieces of PIECE characters, one every STRIDE.
 LONGEST, PIECE, STRIDE = 63, 12, 4
@@ -91,8 +91,7 @@ class Model:
                 worst = 0.0
                 if words:
                     gains = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-                    starts = np.arange(0, len(words), WINDOW)
-                    worst = (np.add.reduceat(gains, starts) / np.minimum(WINDOW, len(words) - starts)).max()
+                    worst = ((gains[:-1] + gains[1:]) / 2).max() if len(words) > 1 else gains[0]
                 out.append(float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60)))))
             return out
 
@@ -110,20 +109,17 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, rate: float = 100
     y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
-    # words as numbers, windows as runs of words, documents as runs of windows
+    # words as numbers, windows as two neighbours (a lone word twice), documents as runs of windows
     number: dict[str, int] = {}
-    runs, window_sizes, window_counts = [], [], []
+    firsts, seconds = [], []
     for text in texts:
         words = words_of(text) or [""]
-        runs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
-        n = -(-len(words) // WINDOW)
-        window_sizes += [WINDOW] * (n - 1) + [len(words) - WINDOW * (n - 1)]
-        window_counts.append(n)
-    tokens, sizes = np.concatenate(runs), np.array(window_sizes)
-    starts_of = lambda counts: np.concatenate([[0], np.cumsum(counts)[:-1]])
-    window_starts, doc_starts = starts_of(sizes), starts_of(window_counts)
-    window_of_token = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    doc_of_window = np.repeat(np.arange(len(y)), window_counts)
+        run = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        firsts.append(run[:-1] if len(run) > 1 else run)
+        seconds.append(run[-len(firsts[-1]) :])
+    window_counts = np.array([len(run) for run in firsts])
+    first, second, doc_starts = np.concatenate(firsts), np.concatenate(seconds), np.cumsum(window_counts) - window_counts
+    doc_of_window = np.repeat(np.arange(len(y), dtype=np.int32), window_counts)
     flat, word_of_gram = bags(list(number))
     gram_sizes = np.bincount(word_of_gram, minlength=len(number))
 
@@ -134,14 +130,15 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, rate: float = 100
     for step in range(rounds):
         direction = softmax[:, 1] - softmax[:, 0]
         of_word = np.bincount(word_of_gram, (embed @ direction)[flat], len(number)) / gram_sizes
-        of_window = np.add.reduceat(of_word[tokens], window_starts) / sizes
+        of_window = (of_word[first] + of_word[second]) / 2
         top = np.maximum.reduceat(of_window, doc_starts)
         sharpness = 1 + 9 * max(0.0, step / rounds - 0.6) / 0.4
         attention = np.exp(sharpness * (of_window - top[doc_of_window]))
         attention /= np.add.reduceat(attention, doc_starts)[doc_of_window]
         logit = np.add.reduceat(attention * of_window, doc_starts) + bias
         slope = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * weight
-        by_word = np.bincount(tokens, (slope[doc_of_window] * attention / sizes)[window_of_token], len(number))
+        half = slope[doc_of_window] * attention / 2
+        by_word = np.bincount(first, half, len(number)) + np.bincount(second, half, len(number))
         by_bucket = np.bincount(flat, (by_word / gram_sizes)[word_of_gram], BUCKETS)
         toward = embed.T @ by_bucket
         speed_embed = momentum * speed_embed + by_bucket[:, None] * direction
