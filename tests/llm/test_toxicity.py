@@ -1,6 +1,7 @@
 import random
 import zlib
 
+from tracelake.llm import toxicity
 from tracelake.llm.toxicity import Model, drop_toxic, fit, score, train, words_of
 
 SCHEMA = "doc_id long, text string, score string, toxic string"
@@ -71,3 +72,12 @@ def test_windows_start_at_every_word():
     clean = next(text for (_, text, *_), (*_, toxic) in zip(rows, labels) if not toxic).split()[:4]
     even, odd = scores([" ".join(clean[:k] + ["moron", "idiot"] + clean[k:]) for k in (2, 3)])
     assert even == odd > 0.5 and len(set(scores(["idiot", "idiot idiot", "idiot idiot idiot"]))) == 1
+
+
+def test_a_repeated_id_is_one_training_document(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: list(zip(texts, toxic)))
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:4]
+    docs = spark.createDataFrame([(ids[0], f"text {k}", "", "") for k in range(50)] + [(k, f"own {k}", "", "") for k in ids[1:]], SCHEMA)
+    known = spark.createDataFrame([(k, 1, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = train(docs, known)
+    assert len(got) == 4 and {(f"own {k}", n % 2) for n, k in enumerate(ids) if n} < set(got) and got == train(docs.repartition(3), known)

@@ -158,13 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on at most ``sample`` labelled documents of each class: those of the smallest hash of their id, never held-out ones.
 
     Labels that are null or whose document is not there are passed over; a repeated id counts as toxic if
-    any of its labels does.
+    any of its labels does, and is one training document, the text of the smallest hash.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = there.where("toxic = 1").orderBy(*order).limit(sample).unionByName(there.where("toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").toPandas()  # at most 2 x sample ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    best = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best"))
+    rows = best.select("doc_id", "best.text", "toxic").toPandas()  # at most 2 x sample rows
     rows = rows.sort_values(["doc_id", "text"], kind="stable")
     return fit(rows["text"].tolist(), rows["toxic"].tolist())
 
