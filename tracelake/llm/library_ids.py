@@ -1,42 +1,98 @@
-"""Token ids by the tokenizers library, each run of text between white space encoded once and remembered.
+"""Token ids by the tokenizers library, each word encoded once and remembered.
 
-The vocabulary file's tokenizer folds white space and never joins words across it, so a text's ids are its
-words' ids one after the other; special strings hold no white space. A list of texts sends the words that
-are new to it to the library in one call.
+The vocabulary file's tokenizer folds white space, lowers, and cuts a text into words that it encodes each by
+itself, so a text's ids are its words' ids one after the other. Texts of Latin letters, digits and marks are
+lowered and cut here, and all words that are new go to the library's model as one list, without its slow
+normaliser. Of any other text, runs between white space with another character or a special string go through the
+whole tokenizer (special strings hold no white space).
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-from tracelake.llm.bpe import _SEPARATORS, _SPACE
+from tracelake.llm.bpe import _SEPARATORS, _SPACE, byte_symbols
+
+#: Characters whose class, lower case and normal form are the same by every version of the Unicode tables:
+#: up to Latin Extended-A, and the marks from hyphen to hyphenation point.
+_PLAIN = re.compile("[\0-ſ‐-‧]*").fullmatch
+
+
+def _in_class(kind: str) -> str:
+    """The plain characters of a general category, for use within square brackets."""
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c)).startswith(kind))
 
 
 class LibraryIds:
-    def __init__(self, path: str, memo_size: int = 200_000):
+    """``memo_size``: words remembered, in each of two generations; the older one goes as a whole."""
+
+    def __init__(self, path: str, memo_size: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.memo_size = Tokenizer.from_file(path), {}, memo_size
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.load(open(path, encoding="utf-8"))
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        for name, characters in ((r"\p{L}", _in_class("L")), (r"\p{N}", _in_class("N")), (r"\s", "\t-\r \x85\xa0")):
+            pattern = pattern.replace(name, characters)
+        self.words = re.compile(pattern).findall
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+        end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for s, i in vocab.items() if s.endswith(end)]] = True
+        self.as_symbols = dict(enumerate(byte_symbols()))
+        self.memo_size, self.memo, self.old = memo_size, {}, {}
+
+    @staticmethod
+    def _whole(run: str) -> bool:
+        """Whether a run between white space has to go through the whole tokenizer."""
+        return "<|" in run or not (run.isascii() or _PLAIN(run))
+
+    def _split(self, text: str) -> list[str]:
+        """The text's words, lowered; runs for the whole tokenizer as they are."""
+        if not self._whole(text):
+            return self.words(text.lower())
+        runs = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
+        return [w for c in runs for w in ((c,) if self._whole(c) else self.words(c.lower()))]
+
+    def _symbols(self, word: str) -> str:
+        return word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(self.as_symbols)
+
+    def _encode(self, words: list[str]) -> None:
+        plain, whole = [], []
+        for w in words:
+            (whole if self._whole(w) else plain).append(w)
+        for w, encoding in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            self.memo[w] = np.array(encoding.ids, "<u4").tobytes()
+        if plain:
+            ids = np.array(self.model.encode_batch_fast([[*map(self._symbols, plain)]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1  # a word's last token, and no other, holds the end of word
+            assert len(ends) == len(plain), "a word without an end"
+            packed, ends = ids.tobytes(), (4 * ends).tolist()
+            self.memo.update((w, packed[a:b]) for w, a, b in zip(plain, [0, *ends], ends))
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, without added special tokens."""
-        split = [[c for c in _SPACE.split(t) if c] if _SEPARATORS.search(t) else t.split() for t in texts]
-        memo = self.memo
-        new = list(set(chain.from_iterable(split)).difference(memo))
-        if new:
-            if len(memo) > self.memo_size:
-                memo.clear()
-                new = list(set(chain.from_iterable(split)))
-            for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[word] = np.array(encoding.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        split = [self._split(t) for t in texts]
+        words = set(chain.from_iterable(split))
+        if len(self.memo) > self.memo_size:
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        if new := [w for w in words if w not in memo]:
+            memo.update((w, old[w]) for w in new if w in old)
+            if new := [w for w in new if w not in old]:
+                self._encode(new)
+        of = memo.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
