@@ -53,7 +53,8 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     best = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text"))
-    rows = _hashed(rows.join(best.withColumn("target", F.lit(1)), "doc_id", "left"))
+    # labels grow with the corpus: joined in one way at every size, never broadcast
+    rows = _hashed(rows.join(best.withColumn("target", F.lit(1)).hint("merge"), "doc_id", "left"))
     target = F.coalesce("target", F.lit(0)).alias("target")
     both = F.concat(F.transform("hashes", lambda h: _bucket(h)), F.transform(_pairs(_same), lambda b: b + BUCKETS))
     # outer: for an inner explode the optimiser infers a filter on its size and works the array out again for it
