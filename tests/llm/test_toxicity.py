@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tracelake.llm import toxicity
 from tracelake.llm.toxicity import Model, drop_toxic, fit, score, train, words_of
 
@@ -74,10 +76,22 @@ def test_windows_start_at_every_word():
     assert even == odd > 0.5 and len(set(scores(["idiot", "idiot idiot", "idiot idiot idiot"]))) == 1
 
 
-def test_a_repeated_id_is_one_training_document(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: list(zip(texts, toxic)))
+def test_a_repeated_id_is_one_training_document(spark):
+    train = lambda docs, known: sorted((r.text, r.toxic) for r in toxicity.training_rows(docs, known).collect())
     ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:4]
     docs = spark.createDataFrame([(ids[0], f"text {k}", "", "") for k in range(50)] + [(k, f"own {k}", "", "") for k in ids[1:]], SCHEMA)
     known = spark.createDataFrame([(k, 1, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int, toxic int")
     got = train(docs, known)
     assert len(got) == 4 and {(f"own {k}", n % 2) for n, k in enumerate(ids) if n} < set(got) and got == train(docs.repartition(3), known)
+
+
+def test_the_sample_is_bounded_in_characters(spark):
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5]
+    docs = spark.createDataFrame([(k, "x" * (1000 if k == ids[0] else 100), "", "") for k in ids], SCHEMA)
+    known = spark.createDataFrame([(k, 1, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, known, chars=550, longest=999).collect()
+    assert [sum(r.toxic == t for r in got) for t in (0, 1)] == [5, 5] and ids[0] not in {r.doc_id for r in got}
+    rows, labels = corpus(200, 5)
+    docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = sorted((r.doc_id, r.text, r.toxic) for r in toxicity.training_rows(docs, known).collect())
+    assert np.allclose(train(docs, known).gain, fit([t for _, t, _ in kept], [t for *_, t in kept]).gain)  # fitted on an executor as here

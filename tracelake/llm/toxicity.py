@@ -18,11 +18,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tracelake.llm import shared
 
-#: Training documents of each class at most: the bound of the sample that is fitted on the driver.
-SAMPLE = 1_500
+#: Training documents of each class at most, their characters altogether, and those of one: the bounds of the sample that is fitted in one task.
+SAMPLE, SAMPLE_CHARS, SAMPLE_LONGEST = 1_500, 6_000_000, 400_000
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 16, 8, (3, 4, 5)
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 #: Longer runs without white space are cut at inner marks; what is still longer, into pieces of PIECE characters, one every STRIDE.
@@ -44,7 +45,13 @@ def _pieces(run: str) -> Iterator[str]:
             yield from (part[k : k + PIECE] for k in range(0, len(part) - PIECE + STRIDE, STRIDE))
 
 
-def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bags(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_bags` of many words, ``at_once`` at a time, as the arrays in between are many times as large."""
+    parts = [_bags(words[k : k + at_once]) for k in range(0, len(words), at_once)] or [_bags([])]
+    return np.concatenate([b for b, _ in parts]), np.concatenate([n + np.int32(k * at_once) for k, (_, n) in enumerate(parts)])
+
+
+def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number) of every n-gram of each word within < and >, and of each whole word; marks at a word's ends are left out."""
     marked = [f"<{w.strip(_STRIP) or w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -154,11 +161,12 @@ def _held_out(id_col: str):
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most ``sample`` labelled documents of each class: those of the smallest hash of their id, never held-out ones.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", chars: int = SAMPLE_CHARS, longest: int = SAMPLE_LONGEST) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``sample`` labelled documents of each class: those of the smallest hash of their id, never held-out ones.
 
-    Labels that are null or whose document is not there are passed over; a repeated id counts as toxic if
-    any of its labels does, and is one training document, the text of the smallest hash.
+    Of those, documents over ``longest`` characters are passed over, and the rest is taken in that order up to ``chars``
+    characters a class. Labels that are null or whose document is not there are passed over; a repeated id counts as
+    toxic if any of its labels does, and is one training document, the text of the smallest hash.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
@@ -166,9 +174,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     chosen = there.where("toxic = 1").orderBy(*order).limit(sample).unionByName(there.where("toxic = 0").orderBy(*order).limit(sample))
     rows = docs.select(F.col(id_col).alias("doc_id"), shared.text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     best = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("best"))
-    rows = best.select("doc_id", "best.text", "toxic").toPandas()  # at most 2 x sample rows
-    rows = rows.sort_values(["doc_id", "text"], kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    best = best.select("doc_id", "toxic", "best.text").withColumn("n", F.char_length("text")).where(F.col("n") <= longest)
+    so_far = F.sum("n").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))  # at most ``sample`` rows a class
+    return best.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "toxic", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> Model:
+    """Fit on :func:`training_rows` in one task on an executor, whose memory their bounds limit; the driver gets the model alone.
+
+    Without any labelled document every score is 0.5.
+    """
+
+    def run(batches):
+        found = sorted((key, text, toxic) for batch in batches for key, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
+        model = fit([text for _, text, _ in found], [toxic for *_, toxic in found])
+        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["gain", "bias"])
+
+    rows = training_rows(docs, labels, sample, id_col, text_col, **bounds)
+    fitted = rows.repartition(1).mapInArrow(run, "gain binary, bias double").collect()  # one row of BUCKETS numbers
+    return Model(np.frombuffer(fitted[0]["gain"]), fitted[0]["bias"]) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +214,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows predicted toxic, all columns as they were."""
+    """``docs`` without the rows predicted toxic, all columns as they were, whatever their names.
+
+    Each row is decided by its own text: rows with a null or repeated id as any other, null and empty texts by the
+    bias alone. An empty table gives an empty result.
+    """
     model = train(docs, labels, sample, id_col, text_col)
 
     @F.pandas_udf("double")
