@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -11,12 +13,33 @@ def order():
     return Window.partitionBy("key").orderBy("pos")
 
 
-def ewma(series: DataFrame, alpha: float = 0.2, terms: int = 200) -> DataFrame:
-    """``series`` with ``ewma``: the first value starts it. Each row folds its last ``terms`` values, so a long
-    series is never gathered; what lies further back weighs less than (1 - alpha) ** terms."""
-    last = F.collect_list("value").over(order().rowsBetween(1 - terms, 0))
-    folded = F.aggregate(F.slice(last, 2, terms), F.get(last, F.lit(0)).cast("double"), lambda s, x: alpha * x + (1 - alpha) * s)
-    return series.withColumn("ewma", folded)
+#: Values folded one after the other; longer series are folded block by block.
+BLOCK = 64
+
+
+def ewma(series: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """``series`` with ``ewma``: the first value starts it, null values are passed over (null before the first).
+
+    A series is cut into blocks. Each row folds its own block from its beginning; each block's end is folded with those
+    of the blocks before it, back to where a double no longer holds their weight. So no series is gathered, and nothing
+    that a double can tell is left out, whatever ``alpha`` in (0, 1].
+    """
+    keep = 1 - alpha
+    whole = keep**BLOCK
+    back = 1 if whole < 2.0**-60 else ceil(60 * log(2) / -log(whole)) + 1
+    fold = lambda values, step: F.aggregate(values, F.lit(0.0), step)
+    so_far = order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = series.withColumn("_nth", F.count("value").over(so_far))  # values up to here
+    block = F.floor(F.greatest(F.col("_nth") - 1, F.lit(0)) / BLOCK)
+    rows = rows.withColumn("_block", block).withColumn("_value", F.col("value").cast("double") * F.when(F.col("_nth") == 1, 1.0).otherwise(alpha))
+    within = Window.partitionBy("key", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_own", fold(F.collect_list("_value").over(within), lambda s, x: x + keep * s))
+    ends = rows.groupBy("key", "_block").agg(F.max_by("_own", "pos").alias("_end"))
+    before = F.collect_list("_end").over(Window.partitionBy("key").orderBy("_block").rowsBetween(-back, -1))
+    ends = ends.select("key", "_block", fold(before, lambda s, x: x + whole * s).alias("_before"))
+    rows = rows.join(ends, ["key", "_block"])
+    value = F.when(F.col("_nth") > 0, F.col("_own") + F.pow(F.lit(keep), F.col("_nth") - F.col("_block") * BLOCK) * F.col("_before"))
+    return rows.withColumn("ewma", value).select(*series.columns, "ewma")
 
 
 def moving_average(series: DataFrame, width: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tracelake.sources.logs import traces
+from tracelake.sources.logs import parsed_millis, traces
 
 
 def case():
@@ -76,9 +76,14 @@ def case_size(log: DataFrame, least: int, most: int = 0) -> DataFrame:
     return _where(log, (n >= least) & (n <= most) if most else n >= least)
 
 
-def time_range(log: DataFrame, start_ms: int, end_ms: int, grain: str = "case") -> DataFrame:
-    """Cases with any event in the closed range, whole; with ``grain="event"`` those events alone."""
-    inside = F.col("ts_ms").between(start_ms, end_ms)
+def _ms(moment: int | str) -> Column:
+    return parsed_millis(F.lit(moment)) if isinstance(moment, str) else F.lit(moment)
+
+
+def time_range(log: DataFrame, start_ms: int | str, end_ms: int | str, grain: str = "case") -> DataFrame:
+    """Cases with any event in the closed range, whole; with ``grain="event"`` those events alone. Bounds are epoch
+    milliseconds or ISO timestamps; one that cannot be read keeps nothing."""
+    inside = F.col("ts_ms").between(_ms(start_ms), _ms(end_ms))
     return log.where(inside) if grain == "event" else _where(log, F.max(F.coalesce(inside, F.lit(False))).over(case()))
 
 
@@ -108,16 +113,11 @@ def sample_cases(log: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return log.join(chosen, "case_id", "left_semi")
 
 
-def _with_variant(log: DataFrame) -> DataFrame:
-    cases = traces(log).select("case_id", F.array_join("acts", ">").alias("variant"))
-    return cases
-
-
 def top_variants(log: DataFrame, k: int) -> DataFrame:
     """Cases of the ``k`` most frequent variants, ties in order of the variant."""
-    cases = _with_variant(log)
-    best = cases.groupBy("variant").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "variant").limit(k)
-    return log.join(cases.join(best, "variant", "left_semi"), "case_id", "left_semi")
+    cases = traces(log).select("case_id", "acts")
+    best = cases.groupBy("acts").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "acts").limit(k)
+    return log.join(cases.join(best, "acts", "left_semi"), "case_id", "left_semi")
 
 
 def variant_coverage(log: DataFrame, share: float) -> DataFrame:
@@ -126,14 +126,14 @@ def variant_coverage(log: DataFrame, share: float) -> DataFrame:
     Counts are few: variants of one count are summed before the running total, and only those of the
     count where the share is reached are put in order.
     """
-    cases = _with_variant(log)
-    counted = cases.groupBy("variant").agg(F.count("*").alias("n"))
+    cases = traces(log).select("case_id", "acts")
+    counted = cases.groupBy("acts").agg(F.count("*").alias("n"))
     by_count = counted.groupBy("n").agg(F.sum("n").alias("cases"))
     running = by_count.select("n", (F.sum("cases").over(Window.orderBy(F.desc("n"))) - F.col("cases")).alias("before"), F.sum("cases").over(Window.partitionBy()).alias("total"))
     ranked = counted.join(running, "n").where(F.col("before") < share * F.col("total"))
-    place = F.row_number().over(Window.partitionBy("n").orderBy("variant")) - 1
+    place = F.row_number().over(Window.partitionBy("n").orderBy("acts")) - 1
     best = ranked.withColumn("place", place).where((F.col("before") + F.col("place") * F.col("n") < share * F.col("total")) | ((F.col("before") == 0) & (F.col("place") == 0)))
-    return log.join(cases.join(best, "variant", "left_semi"), "case_id", "left_semi")
+    return log.join(cases.join(best, "acts", "left_semi"), "case_id", "left_semi")
 
 
 def project(log: DataFrame, names: list[str]) -> DataFrame:

@@ -33,16 +33,20 @@ def performance_dfg(log: DataFrame) -> DataFrame:
 def eventually_follows(log: DataFrame) -> DataFrame:
     """(source, target, n): every ordered pair of places of a case counts.
 
-    Not pairs but running counts: an event stands before as many events of an activity as the case holds
-    after it, so rows stay in proportion to events times activities.
+    Not pairs but running counts, over weighted variants: a place stands after as many events of an activity as a map
+    of counts says that is folded along the trace, so work follows events times activities.
     """
-    seen = log.groupBy("case_id", "activity").agg(F.sort_array(F.collect_list("event_idx")).alias("at"))
-    a, b = seen.select("case_id", F.col("activity").alias("source"), F.col("at").alias("from")), seen.select("case_id", F.col("activity").alias("target"), F.col("at").alias("to"))
-    both = a.join(b, "case_id").select("case_id", "source", "target", F.sort_array(F.concat(F.transform("from", lambda i: F.struct(i.alias("i"), F.lit(1).alias("kind"))), F.transform("to", lambda i: F.struct(i.alias("i"), F.lit(0).alias("kind"))))).alias("marks"))
-    state = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("n"))
-    step = lambda s, m: F.when(m["kind"] == 1, F.struct((s["before"] + 1).alias("before"), s["n"].alias("n"))).otherwise(F.struct(s["before"].alias("before"), (s["n"] + s["before"]).alias("n")))
-    counted = both.select("source", "target", F.aggregate("marks", state, step)["n"].alias("n"))
-    return counted.groupBy("source", "target").agg(F.sum("n").alias("n")).where("n > 0")
+    zero = F.create_map().cast("map<struct<source:string,target:string>,bigint>")
+    state = F.struct(F.create_map().cast("map<string,bigint>").alias("seen"), zero.alias("pairs"))
+
+    def step(s, act):
+        now = F.map_from_entries(F.transform(F.map_entries(s["seen"]), lambda e: F.struct(F.struct(e["key"].alias("source"), act.alias("target")), e["value"])))
+        pairs = F.map_zip_with(s["pairs"], now, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+        one = F.create_map(act, F.lit(1).cast("long"))
+        return F.struct(F.map_zip_with(s["seen"], one, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))).alias("seen"), pairs.alias("pairs"))
+
+    rows = variants(log).select("count", F.explode(F.aggregate("acts", state, step)["pairs"]).alias("pair", "n"))
+    return rows.groupBy("pair.source", "pair.target").agg(F.sum(F.col("count") * F.col("n")).alias("n"))
 
 
 def footprints(log: DataFrame) -> DataFrame:
@@ -88,10 +92,9 @@ def prefix_tree(log: DataFrame, longest: int | None = None) -> DataFrame:
     cut = F.slice("acts", 1, longest) if longest else F.col("acts")
     rows = variants(log).select(cut.alias("acts")).distinct()
     rows = rows.select("acts", F.explode(F.sequence(F.lit(1), F.size("acts"))).alias("depth"))
-    node = F.array_join(F.slice("acts", 1, F.col("depth")), ">")
-    parent = F.when(F.col("depth") > 1, F.array_join(F.slice("acts", 1, F.col("depth") - 1), ">")).otherwise("")
-    rows = rows.select(node.alias("prefix"), parent.alias("parent"), F.get("acts", F.col("depth") - 1).alias("label"), F.col("depth").cast("long").alias("depth"), (F.size("acts") == F.col("depth")).alias("final"))
-    return rows.groupBy("prefix", "parent", "label", "depth").agg(F.max("final").alias("final"))
+    rows = rows.groupBy(F.slice("acts", 1, F.col("depth")).alias("node")).agg(F.max(F.size("acts") == F.col("depth")).alias("final"))
+    parent = F.array_join(F.slice("node", 1, F.size("node") - 1), ">")
+    return rows.select(F.array_join("node", ">").alias("prefix"), parent.alias("parent"), F.element_at("node", -1).alias("label"), F.size("node").cast("long").alias("depth"), "final")
 
 
 def performance_spectrum(log: DataFrame, activity: str) -> DataFrame:
@@ -115,11 +118,11 @@ def temporal_conformance(log: DataFrame, profile: DataFrame, zeta: float = 2.0)
 
 
 def footprint_conformance(log: DataFrame, model: DataFrame) -> DataFrame:
-    """(fitness, precision, f1): pairs of the log against those (source, target) of a model, as sets."""
+    """(fitness, precision, recall, f1): pairs of the log against those (source, target) of a model, as sets; recall is fitness."""
     seen = dfg(log).select("source", "target", F.lit(1).alias("in_log"))
     both = seen.join(model.select("source", "target").distinct().withColumn("in_model", F.lit(1)), ["source", "target"], "full")
     n = both.agg(F.count("in_log").alias("log"), F.count("in_model").alias("model"), F.count_if(F.col("in_log").isNotNull() & F.col("in_model").isNotNull()).alias("both"))
     ratio = lambda of: F.when(F.col(of) > 0, F.col("both") / F.col(of)).otherwise(1.0)
     n = n.select(ratio("log").alias("fitness"), ratio("model").alias("precision"))
     total = F.col("fitness") + F.col("precision")
-    return n.withColumn("f1", F.round(F.when(total > 0, 2 * F.col("fitness") * F.col("precision") / total).otherwise(0.0), 9)).withColumn("fitness", F.round("fitness", 9)).withColumn("precision", F.round("precision", 9))
+    return n.withColumn("f1", F.round(F.when(total > 0, 2 * F.col("fitness") * F.col("precision") / total).otherwise(0.0), 9)).withColumn("fitness", F.round("fitness", 9)).withColumn("precision", F.round("precision", 9)).withColumn("recall", F.col("fitness"))

@@ -12,26 +12,35 @@ from pyspark.sql import Window
 def trace_features(log: DataFrame) -> DataFrame:
     """(case_id, length, distinct_acts, duration_ms, first_idx, last_idx): indexes in the sorted alphabet."""
     names = log.select("activity").distinct().withColumn("idx", F.row_number().over(Window.orderBy("activity")) - 1)  # the alphabet
-    rows = log.join(F.broadcast(names), "activity")
+    rows = log.join(names, "activity")
     return rows.groupBy("case_id").agg(F.count("*").alias("length"), F.count_distinct("activity").alias("distinct_acts"), F.coalesce(F.max_by("ts_ms", "event_idx") - F.min_by("ts_ms", "event_idx"), F.lit(0)).alias("duration_ms"), F.min_by("idx", "event_idx").cast("long").alias("first_idx"), F.max_by("idx", "event_idx").cast("long").alias("last_idx"))
 
 
 def remaining_time(log: DataFrame) -> DataFrame:
-    """(case_id, predicted_ms): least squares of the rest on the time passed, over all events of cases that take time, for each case's middle event."""
+    """(case_id, event_idx, predicted_s): least squares of the rest on the share of the case's time that has passed, over all
+    events of cases that take time, for each of those events; at least 0."""
     case = Window.partitionBy("case_id")
-    rows = log.select("case_id", "event_idx", "ts_ms", F.min("ts_ms").over(case).alias("start"), F.max("ts_ms").over(case).alias("end"), F.count("*").over(case).alias("n")).where("end > start")
-    rows = rows.select("case_id", "event_idx", "n", ((F.col("ts_ms") - F.col("start")) / 1000.0).alias("passed"), ((F.col("end") - F.col("ts_ms")) / 1000.0).alias("rest"))
+    rows = log.select("case_id", "event_idx", "ts_ms", F.min("ts_ms").over(case).alias("start"), F.max("ts_ms").over(case).alias("end")).where("end > start and ts_ms is not null")
+    rows = rows.select("case_id", "event_idx", ((F.col("ts_ms") - F.col("start")) / (F.col("end") - F.col("start"))).alias("passed"), ((F.col("end") - F.col("ts_ms")) / 1000.0).alias("rest"))
     line = rows.agg(F.regr_slope("rest", "passed").alias("slope"), F.regr_intercept("rest", "passed").alias("base"))
-    middle = rows.where(F.col("event_idx") == F.floor(F.col("n") / 2))
-    return middle.join(F.broadcast(line)).select("case_id", F.round(F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * F.col("passed")), 3).alias("predicted_s"))
+    return rows.join(F.broadcast(line)).select("case_id", "event_idx", F.round(F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * F.col("passed")), 3).alias("predicted_s"))
 
 
-def duration_trend(log: DataFrame) -> DataFrame:
-    """(slope, r2): durations in seconds against the rank of the day a case starts on."""
-    cases = log.groupBy("case_id").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end"))
-    days = cases.groupBy(F.floor(F.col("start") / 86_400_000).alias("day")).agg(F.round(F.avg((F.col("end") - F.col("start")) / 1000.0), 6).alias("value"))
-    ranked = days.withColumn("x", F.row_number().over(Window.orderBy("day")) - 1)  # one row a day
-    return ranked.agg(F.round(F.regr_slope("value", "x"), 4).alias("slope"), F.round(F.regr_r2("value", "x"), 6).alias("r2"))
+def duration_trend(log: DataFrame, steps: int = 5) -> DataFrame:
+    """(step, predicted_s, slope, r2, direction): a line through the durations by rank of the cases' start, its next ``steps`` values.
+
+    Cases rank by start, then id, within their hour, after the cases of all hours before, so no task ranks them all.
+    """
+    cases = log.groupBy("case_id").agg(F.min("ts_ms").alias("start"), F.max("ts_ms").alias("end")).where("start is not null")
+    cases = cases.withColumn("hour", F.floor(F.col("start") / 3_600_000))
+    hours = cases.groupBy("hour").agg(F.count("*").alias("n"))
+    hours = hours.select("hour", (F.sum("n").over(Window.orderBy("hour")) - F.col("n")).alias("before"))  # one row an hour
+    within = F.row_number().over(Window.partitionBy("hour").orderBy("start", "case_id")) - 1
+    ranked = cases.withColumn("within", within).join(hours, "hour").select((F.col("before") + F.col("within")).cast("double").alias("x"), ((F.col("end") - F.col("start")) / 1000.0).alias("value"))
+    line = ranked.agg(F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("base"), F.regr_r2("value", "x").alias("r2"), F.count("*").alias("n"))
+    way = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable")
+    ahead = line.withColumn("step", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))))
+    return ahead.select("step", F.round(F.col("base") + F.col("slope") * (F.col("n") + F.col("step") - 1), 2).alias("predicted_s"), F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), way.alias("direction"))
 
 
 def arrivals(log: DataFrame) -> DataFrame:
@@ -47,34 +56,48 @@ def arrival_forecast(log: DataFrame) -> DataFrame:
     return line.select(F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round(F.greatest(F.lit(0.0), F.col("intercept") + F.col("slope") * F.col("hours")), 6).alias("next"))
 
 
-def seasonality(log: DataFrame, period: int = 24) -> DataFrame:
-    """(phase, seasonal): mean arrivals of each hour of the period less the mean of all."""
-    hours = arrivals(log).withColumn("phase", F.pmod("bucket", F.lit(period)))
-    total = hours.agg(F.avg("n").alias("mean"))
-    return hours.groupBy("phase").agg(F.avg("n").alias("value")).join(F.broadcast(total)).select("phase", F.round(F.col("value") - F.col("mean"), 9).alias("seasonal"))
+def seasonality(log: DataFrame, period: int | None = None) -> DataFrame:
+    """(phase, seasonal): additive decomposition of the arrivals by rank of hour.
+
+    The trend is the centred moving average of ``period`` hours (by default a quarter of them, two at least; an even period takes
+    half of both ends), where it fits; what is left over is averaged by phase and centred on 0.
+    """
+    hours = arrivals(log).withColumn("x", F.row_number().over(Window.orderBy("bucket")) - 1)  # one row an hour
+    period = period or max(2, hours.count() // 4)
+    half, along = period // 2, Window.orderBy("x")
+    mean = lambda first, last: F.avg("n").over(along.rowsBetween(first, last))
+    trend = mean(-half, half) if period % 2 else (mean(-half, half - 1) + mean(1 - half, half)) / 2
+    hours = hours.withColumn("trend", trend).withColumn("hours", F.count("*").over(Window.partitionBy())).where((F.col("x") >= half) & (F.col("x") < F.col("hours") - half))
+    phases = hours.groupBy((F.col("x") % period).cast("long").alias("phase")).agg(F.avg(F.col("n") - F.col("trend")).alias("value"))
+    return phases.select("phase", F.round(F.col("value") - F.avg("value").over(Window.partitionBy()), 6).alias("seasonal"))
+
+
+_FEATURES = ("length", "distinct_acts", "duration_ms", "first_idx", "last_idx")
 
 
-def anomalies(log: DataFrame, eps: float = 0.05) -> DataFrame:
-    """(case_id): cases that stand alone: no other within ``eps`` in scaled length, distinct activities and duration.
+def anomalies(log: DataFrame, eps: float = 0.5) -> DataFrame:
+    """(case_id): cases that stand alone: no other within ``eps`` in the five features of a trace, each scaled to 0 to 1.
 
-    Points fall into cells so small that two in one cell are near. Only a point alone in its cell is compared,
-    with the cells around it; crowded cells are never paired within.
+    Points fall into cells so small that two in one cell are near. Only a point alone in its cell is compared, with the
+    cells around it that any near point could be in; their number follows ``eps``, not the cases. Crowded cells are never paired within.
     """
-    names, edge = ("length", "distinct_acts", "duration_ms"), eps / math.sqrt(3)
+    edge, n = eps / math.sqrt(len(_FEATURES)), len(_FEATURES)
     rows = trace_features(log)
-    ends = rows.agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))))
-    scaled = rows.join(F.broadcast(ends)).select("case_id", *(F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0).alias(f"x{k}") for k, c in enumerate(names)))
-    celled = scaled.select("*", *(F.floor(F.col(f"x{k}") / edge).alias(f"c{k}") for k in range(3)))
-    cells = ["c0", "c1", "c2"]
-    alone = celled.groupBy(*cells).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("case_id", "x0", "x1", "x2"))).where("n = 1").drop("n")
-    around = F.sequence(F.lit(-2), F.lit(2))
-    near = alone
-    for k in range(3):
-        near = near.withColumn(f"d{k}", F.explode(around))
-    near = near.select(F.col("case_id").alias("alone"), *(F.col(f"x{k}").alias(f"a{k}") for k in range(3)), *((F.col(f"c{k}") + F.col(f"d{k}")).alias(f"c{k}") for k in range(3)))
-    gap = sum((F.pow(F.col(f"a{k}") - F.col(f"x{k}"), 2) for k in range(1, 3)), F.pow(F.col("a0") - F.col("x0"), 2))
+    ends = rows.agg(*(f(c).alias(f"{k}_{c}") for c in _FEATURES for k, f in (("lo", F.min), ("hi", F.max))))
+    scaled = rows.join(F.broadcast(ends)).select("case_id", *(F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0).alias(f"x{k}") for k, c in enumerate(_FEATURES)))
+    celled = scaled.select("*", *(F.floor(F.col(f"x{k}") / edge).alias(f"c{k}") for k in range(n)))
+    cells = [f"c{k}" for k in range(n)]
+    alone = celled.groupBy(*cells).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("case_id", *(f"x{k}" for k in range(n))))).where("n = 1").drop("n")
+    # cells around, one feature after the other, each only as long as its nearest corner is within reach
+    near = alone.select(F.col("case_id").alias("alone"), *(F.col(f"x{k}").alias(f"a{k}") for k in range(n))).withColumn("least", F.lit(0.0))
+    for k in range(n):
+        reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col(f"a{k}") - eps) / edge)), F.least(F.floor(F.lit(1 / edge)), F.floor((F.col(f"a{k}") + eps) / edge)))
+        near = near.withColumn(f"c{k}", F.explode(reach))
+        short = F.greatest(F.lit(0.0), F.col(f"c{k}") * edge - F.col(f"a{k}"), F.col(f"a{k}") - (F.col(f"c{k}") + 1) * edge)
+        near = near.withColumn("least", F.col("least") + short * short).where(F.col("least") <= eps * eps * (1 + 1e-9))
+    gap = sum((F.pow(F.col(f"a{k}") - F.col(f"x{k}"), 2) for k in range(1, n)), F.pow(F.col("a0") - F.col("x0"), 2))
     # equal points of a cell are one
-    points = celled.groupBy(*cells, "x0", "x1", "x2").agg(F.min("case_id").alias("case_id"))
+    points = celled.groupBy(*cells, *(f"x{k}" for k in range(n))).agg(F.min("case_id").alias("case_id"))
     met = near.join(points, cells).where((F.col("alone") != F.col("case_id")) & (gap <= eps * eps)).select(F.col("alone").alias("case_id")).distinct()
     return alone.select("case_id").join(met, "case_id", "left_anti")
 

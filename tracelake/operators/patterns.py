@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelake.sources.logs import variants
+
+
+def _held(acts: Column) -> Column:
+    """array<struct(activity, n, first, last)> of a trace's distinct activities."""
+    places = lambda a: F.filter(F.transform(acts, lambda x, i: F.when(x == a, i)), lambda i: i.isNotNull())
+    of = lambda a: F.transform(F.array(places(a)), lambda at: F.struct(a.alias("activity"), F.size(at).cast("long").alias("n"), F.get(at, F.lit(0)).cast("long").alias("first"), F.element_at(at, -1).cast("long").alias("last")))[0]
+    return F.transform(F.array_distinct(acts), of)
+
 
 def occurrences(log: DataFrame) -> DataFrame:
-    """(case_id, activity, n, first, last): one row per case and activity that it holds."""
-    return log.groupBy("case_id", "activity").agg(F.count("*").alias("n"), F.min("event_idx").alias("first"), F.max("event_idx").alias("last"))
+    """(count, activity, n, first, last): one row per variant and activity that it holds, ``count`` its cases."""
+    return variants(log).select("count", F.inline(_held(F.col("acts"))))
 
 
 def _couples(log: DataFrame) -> DataFrame:
-    """(case_id, a, b, ...) for each two activities of a case, itself included: at most the alphabet squared a case."""
-    seen = occurrences(log)
-    left = seen.select("case_id", F.col("activity").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"), F.col("last").alias("la"))
-    right = seen.select("case_id", F.col("activity").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb"), F.col("last").alias("lb"))
-    return left.join(right, "case_id")
+    """(count, acts, a, b, ...) for each two activities of a variant, itself included: the alphabet squared a variant, no shuffle."""
+    left = variants(log).select("count", "acts", _held(F.col("acts")).alias("held"))
+    left = left.select("count", "acts", "held", F.explode("held").alias("x")).select("count", "acts", F.col("x.activity").alias("a"), F.col("x.n").alias("na"), F.col("x.first").alias("fa"), F.col("x.last").alias("la"), F.explode("held").alias("y"))
+    return left.select("count", "acts", "a", "na", "fa", "la", F.col("y.activity").alias("b"), F.col("y.n").alias("nb"), F.col("y.first").alias("fb"), F.col("y.last").alias("lb"))
+
+
+def _cases_if(condition: Column) -> Column:
+    """Cases of the variants where the condition holds."""
+    return F.coalesce(F.sum(F.when(condition, F.col("count"))), F.lit(0))
 
 
 def log_skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
@@ -28,11 +41,11 @@ def log_skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
     no noise.
     """
     seen, both = occurrences(log), _couples(log)
-    totals = seen.groupBy(F.col("activity").alias("a")).agg(F.count("*").alias("cases"), F.sum("n").alias("events"))
+    totals = seen.groupBy(F.col("activity").alias("a")).agg(F.sum("count").alias("cases"), F.sum(F.col("count") * F.col("n")).alias("events"))
     per = both.groupBy("a", "b").agg(
-        F.sum(F.when(F.col("na") == F.col("nb"), F.col("na") * F.col("nb") - F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(0)).otherwise(0)).alias("equal"),
-        F.count_if(F.col("fa") < F.col("lb")).alias("after"),
-        F.count_if(F.col("fb") < F.col("la")).alias("before"),
+        F.sum(F.col("count") * F.when(F.col("na") == F.col("nb"), F.col("na") * F.col("nb") - F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(0)).otherwise(0)).alias("equal"),
+        _cases_if(F.col("fa") < F.col("lb")).alias("after"),
+        _cases_if(F.col("fb") < F.col("la")).alias("before"),
     )
     follows = Window.partitionBy("case_id").orderBy("event_idx")
     edges = log.select(F.col("activity").alias("a"), F.lead("activity").over(follows).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("follows"))
@@ -51,13 +64,29 @@ def log_skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
     return found.unionByName(never)
 
 
-def activity_frequencies(log: DataFrame) -> DataFrame:
-    """(activity, n, cases): in how many cases an activity occurs n times, 0 included."""
+def activity_frequencies(log: DataFrame, noise: float | None = None) -> DataFrame:
+    """(activity, n, cases): in how many cases an activity occurs n times, 0 included.
+
+    With ``noise``, of each activity only the most frequent numbers (ties: the smaller first) that together first reach
+    the share 1 - noise of all cases.
+    """
     seen = occurrences(log)
     total = log.agg(F.count_distinct("case_id").alias("total"))
-    some = seen.groupBy("activity", "n").agg(F.count("*").alias("cases"))
-    zero = seen.groupBy("activity").agg(F.count("*").alias("with")).join(F.broadcast(total)).where("total > with").select("activity", F.lit(0).cast("long").alias("n"), (F.col("total") - F.col("with")).alias("cases"))
-    return some.unionByName(zero)
+    some = seen.groupBy("activity", "n").agg(F.sum("count").alias("cases"))
+    zero = seen.groupBy("activity").agg(F.sum("count").alias("with")).join(F.broadcast(total)).where("total > with").select("activity", F.lit(0).cast("long").alias("n"), (F.col("total") - F.col("with")).alias("cases"))
+    every = some.unionByName(zero)
+    if noise is None:
+        return every
+    ranked = Window.partitionBy("activity").orderBy(F.desc("cases"), "n")  # as many rows as an activity has numbers
+    before = F.sum("cases").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cases")
+    return every.withColumn("before", before).join(F.broadcast(total)).where(F.col("before") < (1 - noise) * F.col("total")).select("activity", "n", "cases")
+
+
+def _alternates(acts: Column, a: Column, b: Column) -> Column:
+    """Whether between any two of a trace's ``a``, and after the last, there is a ``b``."""
+    start = F.struct(F.lit(False).alias("open"), F.lit(True).alias("ok"))
+    step = lambda s, x: F.when(x == a, F.struct(F.lit(True).alias("open"), (s["ok"] & ~s["open"]).alias("ok"))).when(x == b, F.struct(F.lit(False).alias("open"), s["ok"].alias("ok"))).otherwise(s)
+    return F.aggregate(acts, start, step, lambda s: s["ok"] & ~s["open"])
 
 
 def declare(log: DataFrame, min_support: float = 0.0, min_confidence: float = 0.0) -> DataFrame:
@@ -66,51 +95,80 @@ def declare(log: DataFrame, min_support: float = 0.0, min_confidence: float = 0.
     support: cases where the rule is activated among all; confidence: those of them that satisfy it.
     existence, absence, exactly_one and init are activated in every case; responded_existence, response
     (last a before first b), coexistence and succession by a; precedence by b (first a before first b).
-    alternate and chain rules look at every occurrence: between two a's a b (response), right after each
-    a a b (chain_response), and the same backwards.
+    alternate and chain rules look at every occurrence: a b between any two a's and after the last (alternate_response),
+    right after each a (chain_response), and the same backwards from b for the two precedences. The alternate and chain
+    successions are the weaker of both. non_coexistence: no case with both, among cases with either.
+    Pairs are looked at in weighted variants.
     """
-    seen, both = occurrences(log), _couples(log).where("a != b")
+    both = _couples(log).where("a != b")
+    seen = occurrences(log)
     total = log.agg(F.count_distinct("case_id").alias("total"))
     starts = log.where("event_idx = 0").groupBy("activity").agg(F.count("*").alias("starts"))
-    one = seen.groupBy("activity").agg(F.count("*").alias("with"), F.count_if(F.col("n") == 1).alias("once")).join(starts, "activity", "left").join(F.broadcast(total))
+    one = seen.groupBy("activity").agg(F.sum("count").alias("with"), _cases_if(F.col("n") == 1).alias("once")).join(starts, "activity", "left").join(F.broadcast(total))
     rule = lambda name, yes: F.struct(F.lit(name).alias("template"), F.lit(1.0).alias("support"), (yes / F.col("total")).alias("confidence"))
     single = one.select("activity", F.inline(F.array(rule("existence", F.col("with")), rule("absence", F.col("total") - F.col("with")), rule("exactly_one", F.col("once")), rule("init", F.coalesce("starts", F.lit(0))))))
     single = single.select("template", F.col("activity").alias("a"), F.lit("").alias("b"), "support", "confidence")
 
-    cases = seen.groupBy("activity").agg(F.count("*").alias("with"))
-    steps = log.select("case_id", "event_idx", F.col("activity").alias("a"), F.lead("activity").over(Window.partitionBy("case_id").orderBy("event_idx")).alias("b"))
-    chains = steps.where("b is not null and a != b").groupBy("case_id", "a", "b").agg(F.count("*").alias("next"))
-    met = both.join(chains, ["case_id", "a", "b"], "left").groupBy("a", "b").agg(
-        F.count("*").alias("both"), F.count_if(F.col("la") < F.col("fb")).alias("response"), F.count_if(F.col("fa") < F.col("fb")).alias("precedence"),
-        F.count_if(F.col("next") == F.col("na")).alias("chain_response"), F.count_if(F.col("next") == F.col("nb")).alias("chain_precedence"),
+    cases = seen.groupBy("activity").agg(F.sum("count").alias("with"))
+    next_is = F.size(F.filter(F.transform("acts", lambda x, i: (x == F.col("a")) & (F.get("acts", i + 1) == F.col("b"))), lambda x: x))
+    met = both.withColumn("next", next_is).groupBy("a", "b").agg(
+        F.sum("count").alias("both"), _cases_if(F.col("la") < F.col("fb")).alias("response"), _cases_if(F.col("fa") < F.col("fb")).alias("precedence"),
+        _cases_if(F.col("next") == F.col("na")).alias("chain_response"), _cases_if(F.col("next") == F.col("nb")).alias("chain_precedence"),
+        _cases_if(_alternates(F.col("acts"), F.col("a"), F.col("b"))).alias("alternate_response"), _cases_if(_alternates(F.reverse("acts"), F.col("b"), F.col("a"))).alias("alternate_precedence"),
     )
     with_a, with_b = cases.select(F.col("activity").alias("a"), F.col("with").alias("wa")), cases.select(F.col("activity").alias("b"), F.col("with").alias("wb"))
     pair = met.join(with_a, "a").join(with_b, "b").join(F.broadcast(total))
     two = lambda name, active, yes: F.struct(F.lit(name).alias("template"), (active / F.col("total")).alias("support"), (yes / active).alias("confidence"))
     wa, wb, yes = F.col("wa"), F.col("wb"), F.col("both")
+    weaker = lambda name, response, precedence: F.struct(F.lit(name).alias("template"), (F.least(wa, wb) / F.col("total")).alias("support"), F.least(response / wa, precedence / wb).alias("confidence"))
     rules = F.array(
         two("responded_existence", wa, yes), two("response", wa, F.col("response")), two("precedence", wb, F.col("precedence")),
+        two("alternate_response", wa, F.col("alternate_response")), two("alternate_precedence", wb, F.col("alternate_precedence")),
         two("chain_response", wa, F.col("chain_response")), two("chain_precedence", wb, F.col("chain_precedence")),
-        F.struct(F.lit("succession").alias("template"), (F.least(wa, wb) / F.col("total")).alias("support"), F.least(F.col("response") / wa, F.col("precedence") / wb).alias("confidence")),
-        F.struct(F.lit("coexistence").alias("template"), (F.least(wa, wb) / F.col("total")).alias("support"), F.least(yes / wa, yes / wb).alias("confidence")),
+        weaker("succession", F.col("response"), F.col("precedence")), weaker("alternate_succession", F.col("alternate_response"), F.col("alternate_precedence")),
+        weaker("chain_succession", F.col("chain_response"), F.col("chain_precedence")), weaker("coexistence", yes, yes),
     )
     double = pair.select("a", "b", F.inline(rules)).select("template", "a", "b", "support", "confidence")
-    found = single.unionByName(double).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
+    # of the alphabet, not of events
+    apart = with_a.join(with_b, F.col("a") < F.col("b")).join(met.select("a", "b", "both"), ["a", "b"], "left").fillna(0, ["both"]).join(F.broadcast(total))
+    either = wa + wb - yes
+    apart = apart.select(F.lit("non_coexistence").alias("template"), "a", "b", (either / F.col("total")).alias("support"), (1 - yes / either).alias("confidence"))
+    found = single.unionByName(double).unionByName(apart).where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
     return found.select("template", "a", "b", F.round("support", 9).alias("support"), F.round("confidence", 9).alias("confidence"))
 
 
-def batches(log: DataFrame, gap_s: int = 900, least_cases: int = 2, many: int = 5) -> DataFrame:
+def without_implied(rules: DataFrame) -> DataFrame:
+    """``rules`` of :func:`declare` without those that others among them stand for: the response and precedence of each
+    kind of succession that is there, and existence where there is an absence."""
+    implied = [("existence", "absence")] + [(kind + part, kind + "succession") for kind in ("", "alternate_", "chain_") for part in ("response", "precedence")]
+    by = F.create_map(*(F.lit(x) for pair in implied for x in pair))
+    named = rules.withColumn("stands", F.try_element_at(by, F.col("template")))
+    kept = rules.select(F.col("template").alias("stands"), "a", "b")
+    return named.join(kept, ["stands", "a", "b"], "left_anti").select("template", "a", "b", "support", "confidence")
+
+
+def batches(log: DataFrame, gap_s: int = 900, least_cases: int = 2, many: int = 5, bucket_s: int = 21_600) -> DataFrame:
     """(activity, start_s, cases, events, kind): runs of one activity whose neighbours lie at most ``gap_s`` seconds apart.
 
-    Gaps and islands: one window over the activity's events, a running sum, one aggregation. Point events:
+    Gaps and islands, within ranges of ``bucket_s`` seconds (at least the gap) so that no activity is one task's: only the
+    first and last island of a range can go on in another, and those few are joined up in order. Point events:
     all at one second is parallel, a shared first or last second concurrent, else disruptive from
     ``many`` events on and concurrent below.
     """
-    rows = log.where("ts_ms is not null").select("activity", "case_id", "event_idx", F.floor(F.col("ts_ms") / 1000).alias("s"))
-    order = Window.partitionBy("activity").orderBy("s", "case_id", "event_idx")
+    bucket_s = max(bucket_s, gap_s + 1)
+    rows = log.where("ts_ms is not null").select("activity", "case_id", "event_idx", F.floor(F.col("ts_ms") / 1000).alias("s")).withColumn("range", F.floor(F.col("s") / bucket_s))
+    order = Window.partitionBy("activity", "range").orderBy("s", "case_id", "event_idx")
     rows = rows.withColumn("new", F.when(F.col("s") - F.lag("s").over(order) <= gap_s, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = rows.groupBy("activity", "island").agg(F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.count_distinct("case_id").alias("cases"), F.count("*").alias("events"))
+    edges = rows.groupBy("activity", "range", "island").agg(F.min("s").alias("from"), F.max("s").alias("to"))
+    last = F.max("island").over(Window.partitionBy("activity", "range"))
+    edges = edges.withColumn("last", last).where((F.col("island") == 1) | (F.col("island") == F.col("last")))  # two a range at most
+    along = Window.partitionBy("activity").orderBy("from")
+    edges = edges.withColumn("opens", F.when(F.col("from") - F.lag("to").over(along) <= gap_s, None).otherwise(F.col("from")))
+    edges = edges.select("activity", "range", "island", F.last("opens", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("begin"))
+    local = rows.groupBy("activity", "range", "island").agg(F.min("s").alias("from")).join(edges, ["activity", "range", "island"], "left")
+    named = rows.join(local.select("activity", "range", "island", F.coalesce("begin", "from").alias("start")), ["activity", "range", "island"])
+    edge = named.groupBy("activity", "start").agg(F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.count_distinct("case_id").alias("cases"), F.count("*").alias("events"))
     kind = F.when(F.col("start_s") == F.col("end_s"), "parallel").when(F.col("events") >= many, "disruptive").otherwise("concurrent")
     return edge.where(F.col("cases") >= least_cases).select("activity", "start_s", "cases", "events", kind.alias("kind"))
 
@@ -127,6 +185,6 @@ def precedes(log: DataFrame) -> DataFrame:
     last = log.groupBy("activity").agg(F.max("ts_ms").alias("last"), F.count("*").alias("n"))
     target = last.select(F.col("activity").alias("target"), "last", F.col("n").alias("nt"))
     names = last.select(F.col("activity").alias("source"), F.col("n").alias("ns"))
-    rows = log.select(F.col("activity").alias("source"), "ts_ms").join(F.broadcast(target), F.col("ts_ms") < F.col("last"), "left")  # one row an activity
-    counted = rows.where("target is not null").groupBy("source", "target", "nt").agg(F.count("*").alias("n"))
+    rows = log.select(F.col("activity").alias("source"), "ts_ms").join(target, F.col("ts_ms") < F.col("last"))  # one row an activity
+    counted = rows.groupBy("source", "target", "nt").agg(F.count("*").alias("n"))
     return counted.join(names, "source").select("source", "target", F.round(F.col("n") / (F.col("ns") * F.col("nt")), 12).alias("share"))

@@ -27,14 +27,17 @@ def end_activities(log: DataFrame) -> DataFrame:
 
 def variant_counts(log: DataFrame) -> DataFrame:
     """(variant, n, percentage): activities joined by >."""
-    found = variants(log).select(variant(), F.col("count").alias("n"))
-    return found.join(F.broadcast(found.agg(F.sum("n").alias("total")))).select("variant", "n", (100.0 * F.col("n") / F.col("total")).alias("percentage"))
+    return _counted(log).select(variant(), "n", "percentage")
+
+
+def _counted(log: DataFrame) -> DataFrame:
+    found = variants(log).select("acts", F.col("count").alias("n"))
+    return found.join(F.broadcast(found.agg(F.sum("n").alias("total")))).select("acts", "n", (100.0 * F.col("n") / F.col("total")).alias("percentage"))
 
 
 def top_variants(log: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most frequent, ties in order of the variant."""
-    found = variant_counts(log)
-    return found.orderBy(F.desc("n"), "variant").limit(k).select("variant", "n", (F.col("percentage") / 100).alias("frequency"))
+    return _counted(log).orderBy(F.desc("n"), "acts").limit(k).select(variant(), "n", (F.col("percentage") / 100).alias("frequency"))
 
 
 def _spans(log: DataFrame) -> DataFrame:
@@ -52,7 +55,8 @@ def variant_durations(log: DataFrame) -> DataFrame:
     rows = log.groupBy("case_id").agg(acts.alias("acts"), F.min_by("ts_ms", "event_idx").alias("first"), F.max_by("ts_ms", "event_idx").alias("last"))
     long = F.when(F.col("last") > F.col("first"), F.col("last") - F.col("first"))
     none = F.lit(0).cast("long")
-    return rows.groupBy(variant()).agg(F.count("*").alias("n"), F.coalesce(F.sum(long), none).alias("total_ms"), F.coalesce(F.round(F.avg(long), 3), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.min(long), none).alias("min_ms"), F.coalesce(F.max(long), none).alias("max_ms"))
+    found = rows.groupBy("acts").agg(F.count("*").alias("n"), F.coalesce(F.sum(long), none).alias("total_ms"), F.coalesce(F.round(F.avg(long), 3), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.min(long), none).alias("min_ms"), F.coalesce(F.max(long), none).alias("max_ms"))
+    return found.select(variant(), "n", "total_ms", "avg_ms", "min_ms", "max_ms")
 
 
 def event_attributes(log: DataFrame) -> DataFrame:
@@ -105,7 +109,8 @@ def case_overlap(log: DataFrame) -> DataFrame:
 def prefixes(log: DataFrame) -> DataFrame:
     """(prefix, n): every prefix of every case, made from weighted variants."""
     rows = variants(log).select("acts", "count", F.explode(F.sequence(F.lit(1), F.size("acts"))).alias("k"))
-    return rows.groupBy(F.array_join(F.slice("acts", 1, F.col("k")), ">").alias("prefix")).agg(F.sum("count").alias("n"))
+    found = rows.groupBy(F.slice("acts", 1, F.col("k")).alias("acts")).agg(F.sum("count").alias("n"))
+    return found.select(F.array_join("acts", ">").alias("prefix"), "n")
 
 
 def performance_stats(log: DataFrame) -> DataFrame:

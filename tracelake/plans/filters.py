@@ -24,6 +24,7 @@ QUERIES = {
     "filter_eventually_follows": _on_day(lambda x: R.eventually_follows(x, "click", "view")),
     "filter_case_size": _on_day(lambda x: R.case_size(x, 2, 3)),
     "filter_time_range": _on_day(lambda x: R.time_range(x, START_MS, END_MS)),
+    "filter_time_range_iso": _on_day(lambda x: R.time_range(x, "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z")),
     "filter_time_range_events": _on_day(lambda x: R.time_range(x, START_MS, END_MS, grain="event")),
     "filter_variants_top_k": _on_day(lambda x: R.top_variants(x, 7)),
     "filter_variants_coverage": _on_day(lambda x: R.variant_coverage(x, 0.5)),
@@ -45,7 +46,7 @@ def _cases(condition: str, *tables: str) -> str:
     return on("day", f"SELECT case_id, event_idx, activity FROM log WHERE case_id IN ({condition})", *tables)
 
 
-_RANKED = TRACES + ", ranked AS (SELECT variant, c, row_number() OVER w AS place, sum(c) OVER w - c AS before, sum(c) OVER () AS total FROM (SELECT variant, count(*) AS c FROM traces GROUP BY 1) WINDOW w AS (ORDER BY c DESC, variant ROWS UNBOUNDED PRECEDING))"
+_RANKED = TRACES + ", ranked AS (SELECT acts, c, row_number() OVER w AS place, sum(c) OVER w - c AS before, sum(c) OVER () AS total FROM (SELECT acts, count(*) AS c FROM traces GROUP BY 1) WINDOW w AS (ORDER BY c DESC, acts ROWS UNBOUNDED PRECEDING))"
 ORACLES = {
     "filter_start_activities": _cases("SELECT case_id FROM ends WHERE a IN ('click', 'view')", _ENDS),
     "filter_end_activities": _cases("SELECT case_id FROM ends WHERE z = 'click'", _ENDS),
@@ -57,9 +58,10 @@ ORACLES = {
     "filter_eventually_follows": _cases("SELECT case_id FROM ends WHERE f <= l", _ENDS),
     "filter_case_size": _cases("SELECT case_id FROM ends WHERE n BETWEEN 2 AND 3", _ENDS),
     "filter_time_range": _cases(f"SELECT case_id FROM log WHERE ts_ms BETWEEN {START_MS} AND {END_MS}"),
+    "filter_time_range_iso": _cases(f"SELECT case_id FROM log WHERE ts_ms BETWEEN {START_MS} AND {END_MS}"),
     "filter_time_range_events": on("day", f"SELECT case_id, event_idx, activity FROM log WHERE ts_ms BETWEEN {START_MS} AND {END_MS}"),
-    "filter_variants_top_k": _cases("SELECT case_id FROM traces JOIN ranked USING (variant) WHERE place <= 7", _RANKED),
-    "filter_variants_coverage": _cases("SELECT case_id FROM traces JOIN ranked USING (variant) WHERE before < 0.5 * total", _RANKED),
+    "filter_variants_top_k": _cases("SELECT case_id FROM traces JOIN ranked USING (acts) WHERE place <= 7", _RANKED),
+    "filter_variants_coverage": _cases("SELECT case_id FROM traces JOIN ranked USING (acts) WHERE before < 0.5 * total", _RANKED),
     "filter_event_attribute": _cases("""SELECT case_id FROM log WHERE props IN ('{"k": 1}', '{"k": 2}')"""),
     "filter_event_attribute_out": on("day", "SELECT case_id, event_idx, activity FROM log WHERE case_id NOT IN (SELECT case_id FROM log WHERE activity = 'error')"),
     "filter_case_ids": _cases("VALUES ('8-2024-01-01'), ('16-2024-01-01')"),

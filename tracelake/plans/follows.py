@@ -43,6 +43,8 @@ QUERIES = {
     "activity_frequencies": lambda s, d: P.activity_frequencies(DAY(s, d)),
     "declare": lambda s, d: P.declare(DAY(s, d)),
     "declare_thresholds": lambda s, d: P.declare(logs.conversation_log(s, d), 0.2, 0.8),
+    "declare_reduced": lambda s, d: P.without_implied(P.declare(logs.conversation_log(s, d), 0.1, 0.3)),
+    "activity_frequencies_noise": lambda s, d: P.activity_frequencies(DAY(s, d), 0.2),
     "batches": lambda s, d: P.batches(logs.day_log(s, d)),
     "sessions": lambda s, d: P.sessions(USER(s, d)),
     "correlation_precedes": lambda s, d: P.precedes(DAY(s, d)),
@@ -60,14 +62,21 @@ UNION ALL SELECT 'never_together', x.activity, y.activity FROM (SELECT DISTINCT
 WHERE NOT EXISTS (SELECT 1 FROM seen p JOIN seen q USING (case_id) WHERE p.activity = x.activity AND q.activity = y.activity)"""
 _DECLARE = """, total AS (SELECT count(DISTINCT case_id) AS t FROM log), nexts AS (SELECT case_id, source AS a, target AS b, count(*) AS nx FROM pairs WHERE source <> target GROUP BY ALL),
 w AS (SELECT activity, count(*) AS c FROM seen GROUP BY 1),
+marks AS (SELECT x.case_id, x.activity AS a, y.activity AS b, string_agg(CASE l.activity WHEN x.activity THEN 'A' WHEN y.activity THEN 'B' ELSE '-' END, '' ORDER BY l.event_idx) AS s
+  FROM seen x JOIN seen y ON x.case_id = y.case_id AND x.activity <> y.activity JOIN log l ON l.case_id = x.case_id GROUP BY 1, 2, 3),
 met AS (SELECT x.activity AS a, y.activity AS b, count(*) AS both_n, count(*) FILTER (x.l < y.f) AS resp, count(*) FILTER (x.f < y.f) AS prec,
-  count(*) FILTER (nx = x.n) AS cr, count(*) FILTER (nx = y.n) AS cp FROM seen x JOIN seen y ON x.case_id = y.case_id AND x.activity <> y.activity
-  LEFT JOIN nexts k ON k.case_id = x.case_id AND k.a = x.activity AND k.b = y.activity GROUP BY 1, 2),
+  count(*) FILTER (nx = x.n) AS cr, count(*) FILTER (nx = y.n) AS cp, count(*) FILTER (NOT regexp_matches(s, 'A[^B]*A|A[^B]*$')) AS ar, count(*) FILTER (NOT regexp_matches(s, 'B[^A]*B|^[^A]*B')) AS ap
+  FROM seen x JOIN seen y ON x.case_id = y.case_id AND x.activity <> y.activity
+  LEFT JOIN nexts k ON k.case_id = x.case_id AND k.a = x.activity AND k.b = y.activity
+  JOIN marks g ON g.case_id = x.case_id AND g.a = x.activity AND g.b = y.activity GROUP BY 1, 2),
 m AS (SELECT met.*, wa.c AS wa, wb.c AS wb, t FROM met JOIN w wa ON wa.activity = a JOIN w wb ON wb.activity = b, total),
 one AS (SELECT activity, count(*) AS c, count(*) FILTER (n = 1) AS once, any_value(s) AS s, any_value(t) AS t FROM seen LEFT JOIN (SELECT activity, count(*) AS s FROM log WHERE event_idx = 0 GROUP BY 1) USING (activity), total GROUP BY 1),
 rules AS (SELECT 'existence' AS template, activity AS a, '' AS b, 1.0::DOUBLE AS support, c / t AS confidence FROM one
 UNION ALL SELECT 'absence', activity, '', 1.0, (t - c) / t FROM one UNION ALL SELECT 'exactly_one', activity, '', 1.0, once / t FROM one UNION ALL SELECT 'init', activity, '', 1.0, coalesce(s, 0) / t FROM one
 UNION ALL SELECT 'responded_existence', a, b, wa / t, both_n / wa FROM m UNION ALL SELECT 'response', a, b, wa / t, resp / wa FROM m UNION ALL SELECT 'precedence', a, b, wb / t, prec / wb FROM m
+UNION ALL SELECT 'alternate_response', a, b, wa / t, ar / wa FROM m UNION ALL SELECT 'alternate_precedence', a, b, wb / t, ap / wb FROM m
+UNION ALL SELECT 'alternate_succession', a, b, least(wa, wb) / t, least(ar / wa, ap / wb) FROM m UNION ALL SELECT 'chain_succession', a, b, least(wa, wb) / t, least(cr / wa, cp / wb) FROM m
+UNION ALL SELECT 'non_coexistence', wa.activity, wb.activity, (wa.c + wb.c - coalesce(both_n, 0)) / t, 1 - coalesce(both_n, 0) / (wa.c + wb.c - coalesce(both_n, 0)) FROM w wa JOIN w wb ON wa.activity < wb.activity LEFT JOIN met ON met.a = wa.activity AND met.b = wb.activity, total
 UNION ALL SELECT 'chain_response', a, b, wa / t, cr / wa FROM m UNION ALL SELECT 'chain_precedence', a, b, wb / t, cp / wb FROM m
 UNION ALL SELECT 'succession', a, b, least(wa, wb) / t, least(resp / wa, prec / wb) FROM m UNION ALL SELECT 'coexistence', a, b, least(wa, wb) / t, least(both_n / wa, both_n / wb) FROM m)"""
 _RULES = "SELECT template, a, b, round(support, 9) AS support, round(confidence, 9) AS confidence FROM rules"
@@ -89,12 +98,14 @@ ORACLES = {
     "performance_spectrum": on("user", "SELECT target AS next, count(*) AS n, min(gap_ms) AS min_ms, max(gap_ms) AS max_ms, round(avg(gap_ms), 3) AS mean_ms, CAST(median(gap_ms) AS DOUBLE) AS median_ms FROM pairs WHERE source = 'click' AND gap_ms IS NOT NULL GROUP BY 1", PAIRS),
     "temporal_profile": on("user", "SELECT source, target, round(avg(gap_ms), 2) AS mean_ms, round(stddev_pop(gap_ms), 1) AS stdev_ms, count(*) AS n FROM pairs WHERE gap_ms > 0 GROUP BY ALL", PAIRS),
     "temporal_conformance": on("day", "SELECT case_id, coalesce(steps, 0) AS steps, coalesce(dev, 0) AS deviations, CASE WHEN steps > 0 THEN round(1 - dev / steps, 9) ELSE 1.0 END AS fitness FROM (SELECT DISTINCT case_id FROM log) LEFT JOIN (SELECT case_id, count(*) AS steps, count(*) FILTER (CASE WHEN sd > 0 THEN abs(gap_ms - m) / sd ELSE 0 END > 1.5) AS dev FROM pairs JOIN (SELECT source, target, avg(gap_ms) AS m, stddev_pop(gap_ms) AS sd FROM pairs WHERE gap_ms > 0 GROUP BY ALL) USING (source, target) WHERE gap_ms > 0 GROUP BY 1) USING (case_id)", PAIRS),
-    "footprint_conformance": on("day", "SELECT round(b / l, 9) AS fitness, round(b / m, 9) AS precision, round(CASE WHEN b > 0 THEN 2 * (b / l) * (b / m) / (b / l + b / m) ELSE 0 END, 9) AS f1 FROM (SELECT (SELECT count(*) FROM edges) AS l, (SELECT count(*) FROM model) AS m, (SELECT count(*) FROM edges JOIN model USING (source, target)) AS b)", EDGES, _MODEL),
+    "footprint_conformance": on("day", "SELECT round(b / l, 9) AS fitness, round(b / l, 9) AS recall, round(b / m, 9) AS precision, round(CASE WHEN b > 0 THEN 2 * (b / l) * (b / m) / (b / l + b / m) ELSE 0 END, 9) AS f1 FROM (SELECT (SELECT count(*) FROM edges) AS l, (SELECT count(*) FROM model) AS m, (SELECT count(*) FROM edges JOIN model USING (source, target)) AS b)", EDGES, _MODEL),
     "log_skeleton": on("conversation", _SKELETON.format(share=1), EDGES, SEEN),
     "log_skeleton_noise": on("day", _SKELETON.format(share="(1 - 0.7::DOUBLE)"), EDGES, SEEN),
     "activity_frequencies": on("day", "SELECT activity, n, count(*) AS cases FROM (SELECT a.activity, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT activity FROM log) a CROSS JOIN (SELECT DISTINCT case_id FROM log) c LEFT JOIN seen s ON s.case_id = c.case_id AND s.activity = a.activity) GROUP BY ALL", SEEN),
     "declare": on("day", _RULES, PAIRS, SEEN + _DECLARE),
     "declare_thresholds": on("conversation", _RULES + " WHERE support >= 0.2 AND confidence >= 0.8", PAIRS, SEEN + _DECLARE),
+    "declare_reduced": on("conversation", "SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.a = k.a AND o.b = k.b AND o.template = CASE WHEN k.template = 'existence' THEN 'absence' WHEN k.template IN ('response', 'precedence') THEN 'succession' WHEN k.template IN ('alternate_response', 'alternate_precedence') THEN 'alternate_succession' WHEN k.template IN ('chain_response', 'chain_precedence') THEN 'chain_succession' END)", PAIRS, SEEN + _DECLARE + f", kept AS ({_RULES} WHERE support >= 0.1 AND confidence >= 0.3)"),
+    "activity_frequencies_noise": on("day", "SELECT activity, n, cases FROM (SELECT *, sum(cases) OVER (PARTITION BY activity ORDER BY cases DESC, n ROWS UNBOUNDED PRECEDING) - cases AS before, sum(cases) OVER (PARTITION BY activity) AS total FROM (SELECT activity, n, count(*) AS cases FROM (SELECT a.activity, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT activity FROM log) a CROSS JOIN (SELECT DISTINCT case_id FROM log) c LEFT JOIN seen s ON s.case_id = c.case_id AND s.activity = a.activity) GROUP BY ALL)) WHERE before < (1 - 0.2::DOUBLE) * total", SEEN),
     "batches": on("day", "SELECT activity, min(s) AS start_s, count(DISTINCT case_id) AS cases, count(*) AS events, CASE WHEN min(s) = max(s) THEN 'parallel' WHEN count(*) >= 5 THEN 'disruptive' ELSE 'concurrent' END AS kind FROM islands GROUP BY activity, island HAVING count(DISTINCT case_id) >= 2", _ISLANDS),
     "sessions": on("user", "SELECT case_id, count(*) FILTER (g > 3600000) + 1 AS sessions FROM (SELECT case_id, ts_ms - lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx) AS g FROM log) GROUP BY 1"),
     "correlation_precedes": on("day", "SELECT x.activity AS source, y.activity AS target, round(count(*) / (any_value(x.n) * any_value(y.n)), 12) AS share FROM (SELECT activity, ts_ms, count(*) OVER (PARTITION BY activity) AS n FROM log) x JOIN (SELECT activity, max(ts_ms) AS m, count(*) AS n FROM log GROUP BY 1) y ON x.ts_ms < y.m GROUP BY 1, 2"),

@@ -19,9 +19,12 @@ def series(s, d):
 
 
 DAY = logs.day_log
+#: The reach of an anomaly's neighbours; small enough that the test tables hold some.
+ANOMALY = 0.2
 QUERIES = {
     "ocel_flatten": lambda s, d: O.flatten(O.sales(s, d), "order"),
     "ocel_flatten_customer": lambda s, d: O.flatten(O.sales(s, d), "customer"),
+    "ocel_flattened_cases": lambda s, d: O.flattened_cases(O.sales(s, d), "customer"),
     "ocel_etot": lambda s, d: O.etot(O.sales(s, d)),
     "ocel_types_of_activity": lambda s, d: O.types_of_activity(O.sales(s, d), "Ship"),
     "ocel_activities_of_type": lambda s, d: O.activities_of_type(O.sales(s, d), "order"),
@@ -36,7 +39,7 @@ QUERIES = {
     "arrivals": lambda s, d: T.arrivals(DAY(s, d)),
     "arrival_forecast": lambda s, d: T.arrival_forecast(DAY(s, d)),
     "seasonality": lambda s, d: T.seasonality(DAY(s, d)),
-    "anomalies": lambda s, d: T.anomalies(DAY(s, d)),
+    "anomalies": lambda s, d: T.anomalies(DAY(s, d), ANOMALY),
     "cluster_traces": lambda s, d: T.cluster(DAY(s, d)),
     "next_activity": lambda s, d: T.next_activity(DAY(s, d)),
     "smooth_ewma": lambda s, d: C.ewma(series(s, d)).withColumn("ewma", F.round("ewma", 6)),
@@ -48,11 +51,11 @@ QUERIES = {
 }
 
 _SERIES = "series AS (SELECT event_type AS key, row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) - 1 AS pos, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type, CAST(ts AS DATE))"
-_LINES = "lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_returnflag) AS flag, min(l_shipdate) AS shipped FROM lineitem GROUP BY ALL)"
+_LINES = "lines AS (SELECT l_orderkey, l_partkey AS part, l_suppkey AS supp, l_returnflag AS flag, l_shipdate AS shipped, 'l:' || l_orderkey || '-' || l_linenumber || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_returnflag) AS k FROM lineitem))"
 _OCEL = f"""WITH {_LINES},
-e AS (SELECT 'o:' || o_orderkey AS event_id, 'Place' AS activity, epoch_us(o_orderdate) // 1000 AS ts_ms FROM orders UNION ALL SELECT 'l:' || l_orderkey || '-' || l_linenumber, CASE flag WHEN 'R' THEN 'Return' ELSE 'Ship' END, epoch_us(shipped) // 1000 FROM lines),
+e AS (SELECT 'o:' || o_orderkey AS event_id, 'Place' AS activity, epoch_us(o_orderdate) // 1000 AS ts_ms FROM orders UNION ALL SELECT line, CASE flag WHEN 'R' THEN 'Return' ELSE 'Ship' END, epoch_us(shipped) // 1000 FROM lines),
 o AS (SELECT DISTINCT 'o:' || o_orderkey AS object_id, 'order' AS type FROM orders UNION ALL SELECT DISTINCT 'c:' || o_custkey, 'customer' FROM orders UNION ALL SELECT DISTINCT 'p:' || part, 'part' FROM lines UNION ALL SELECT DISTINCT 's:' || supp, 'supplier' FROM lines),
-r AS (SELECT 'o:' || o_orderkey AS event_id, unnest(['o:' || o_orderkey, 'c:' || o_custkey]) AS object_id FROM orders UNION ALL SELECT 'l:' || l_orderkey || '-' || l_linenumber, unnest(['o:' || l_orderkey, 'p:' || part, 's:' || supp]) FROM lines)
+r AS (SELECT 'o:' || o_orderkey AS event_id, unnest(['o:' || o_orderkey, 'c:' || o_custkey]) AS object_id FROM orders UNION ALL SELECT line, unnest(['o:' || l_orderkey, 'p:' || part, 's:' || supp]) FROM lines)
 """
 _FLAT = "SELECT object_id AS case_id, row_number() OVER (PARTITION BY object_id ORDER BY ts_ms, event_id) - 1 AS event_idx, activity, ts_ms FROM o JOIN (SELECT DISTINCT * FROM r) USING (object_id) JOIN e USING (event_id) WHERE type = '{}'"
 _ETOT = "SELECT activity, type, count(*) AS n FROM r JOIN e USING (event_id) JOIN o USING (object_id) GROUP BY ALL"
@@ -74,26 +77,27 @@ f AS (SELECT *, count(*) FILTER (d > 2) OVER w3 AS u2, count(*) FILTER (d < -2)
   WINDOW w3 AS (PARTITION BY key ORDER BY pos ROWS 2 PRECEDING), w5 AS (PARTITION BY key ORDER BY pos ROWS 4 PRECEDING), w8 AS (PARTITION BY key ORDER BY pos ROWS 7 PRECEDING), w12 AS (PARTITION BY key ORDER BY pos ROWS 11 PRECEDING)),
 g AS (SELECT key, pos, round(d, 6) AS distance, concat_ws(',', CASE WHEN abs(d) > 3 THEN '1' END, CASE WHEN d > 2 AND u2 >= 2 OR d < -2 AND l2 >= 2 THEN '2' END, CASE WHEN d > 1 AND u1 >= 4 OR d < -1 AND l1 >= 4 THEN '3' END, CASE WHEN u0 = 8 OR l0 = 8 THEN '4' END, CASE WHEN pos >= 7 AND (up = 5 OR down = 5) THEN '5' END, CASE WHEN turns = 12 THEN '6' END) AS rules,
   CASE WHEN abs(d) > 4 THEN 'critical' WHEN abs(d) > 3 THEN 'severe' WHEN abs(d) > 2 THEN 'moderate' ELSE 'minor' END AS severity FROM f)"""
-_SCALED = "ends AS (SELECT min(length) AS a, max(length) AS b, min(distinct_acts) AS c, max(distinct_acts) AS d, min(duration_ms) AS e, max(duration_ms) AS f FROM features), scaled AS (SELECT case_id, CASE WHEN b > a THEN (length - a) / (b - a) ELSE 0.0 END AS x, CASE WHEN d > c THEN (distinct_acts - c) / (d - c) ELSE 0.0 END AS y, CASE WHEN f > e THEN (duration_ms - e) / (f - e) ELSE 0.0 END AS z FROM features, ends)"
+_SCALED = "scaled AS (SELECT case_id, " + ", ".join(f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0.0 END AS {c}" for c in ("length", "distinct_acts", "duration_ms", "first_idx", "last_idx")) + " FROM features)"
 ORACLES = {
     "ocel_flatten": _OCEL + _FLAT.format("order"),
     "ocel_flatten_customer": _OCEL + _FLAT.format("customer"),
+    "ocel_flattened_cases": _OCEL + "SELECT object_id AS case_id, count(event_id) AS events FROM o LEFT JOIN (SELECT DISTINCT * FROM r) USING (object_id) WHERE type = 'customer' GROUP BY 1",
     "ocel_etot": _OCEL + _ETOT,
     "ocel_types_of_activity": _OCEL + f"SELECT type FROM ({_ETOT}) WHERE activity = 'Ship'",
     "ocel_activities_of_type": _OCEL + f"SELECT activity FROM ({_ETOT}) WHERE type = 'order'",
     "ocel_object_types": _OCEL + "SELECT type, count(*) AS n FROM o GROUP BY 1",
     "ocel_event_types": _OCEL + "SELECT activity, count(*) AS n FROM e GROUP BY 1",
-    "ocel_summary": _OCEL + "SELECT (SELECT count(*) FROM e) AS events, (SELECT count(DISTINCT activity) FROM e) AS event_types, (SELECT count(*) FROM o) AS objects, (SELECT count(DISTINCT type) FROM o) AS object_types, (SELECT count(*) FROM r) AS relations",
+    "ocel_summary": _OCEL + "SELECT (SELECT count(*) FROM e) AS events, (SELECT count(DISTINCT activity) FROM e) AS event_types, (SELECT count(*) FROM o) AS objects, (SELECT count(DISTINCT type) FROM o) AS object_types, (SELECT count(*) FROM r) AS relations, (SELECT string_agg(DISTINCT activity, ',' ORDER BY activity) FROM e) AS event_type_names, (SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM o) AS object_type_names, false AS is_ocel20",
     "ocel_objects_of_event": _OCEL + "SELECT object_id, type FROM o WHERE object_id IN (SELECT object_id FROM r WHERE event_id = 'o:1')",
     "ocel_events_of_object": _OCEL + "SELECT event_id, activity, ts_ms FROM e WHERE event_id IN (SELECT event_id FROM r WHERE object_id = 'c:1')",
     "trace_features": on("day", "SELECT * FROM features", _FEATURES),
-    "remaining_time": on("day", "SELECT case_id, round(greatest(0.0, b + m * passed), 3) AS predicted_s FROM rows_, (SELECT regr_slope(rest, passed) AS m, regr_intercept(rest, passed) AS b FROM rows_) WHERE event_idx = n // 2", "rows_ AS (SELECT case_id, event_idx, n, (ts_ms - s) / 1000.0 AS passed, (e - ts_ms) / 1000.0 AS rest FROM (SELECT *, min(ts_ms) OVER w AS s, max(ts_ms) OVER w AS e, count(*) OVER w AS n FROM log WINDOW w AS (PARTITION BY case_id)) WHERE e > s)"),
-    "duration_trend": on("day", "SELECT round(regr_slope(v, x), 4) AS slope, round(regr_r2(v, x), 6) AS r2 FROM (SELECT v, row_number() OVER (ORDER BY day) - 1 AS x FROM (SELECT s // 86400000 AS day, round(avg((e - s) / 1000.0), 6) AS v FROM (SELECT min(ts_ms) AS s, max(ts_ms) AS e FROM log GROUP BY case_id) GROUP BY 1))"),
+    "remaining_time": on("day", "SELECT case_id, event_idx, round(greatest(0.0, b + m * passed), 3) AS predicted_s FROM rows_, (SELECT regr_slope(rest, passed) AS m, regr_intercept(rest, passed) AS b FROM rows_)", "rows_ AS (SELECT case_id, event_idx, (ts_ms - s) / (e - s) AS passed, (e - ts_ms) / 1000.0 AS rest FROM (SELECT *, min(ts_ms) OVER w AS s, max(ts_ms) OVER w AS e FROM log WINDOW w AS (PARTITION BY case_id)) WHERE e > s)"),
+    "duration_trend": on("day", "SELECT step, round(b + m * (n + step - 1), 2) AS predicted_s, round(m, 4) AS slope, round(q, 6) AS r2, CASE WHEN m > 0 THEN 'increasing' WHEN m < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM (SELECT regr_slope(v, x) AS m, regr_intercept(v, x) AS b, regr_r2(v, x) AS q, count(*) AS n FROM (SELECT (e - s) / 1000.0 AS v, row_number() OVER (ORDER BY s, case_id) - 1 AS x FROM (SELECT case_id, min(ts_ms) AS s, max(ts_ms) AS e FROM log GROUP BY 1))), range(1, 6) t(step)"),
     "arrivals": on("day", "SELECT * FROM arrivals", _ARRIVALS),
     "arrival_forecast": on("day", "SELECT round(regr_slope(n, x), 9) AS slope, round(regr_intercept(n, x), 6) AS intercept, round(greatest(0.0, regr_intercept(n, x) + regr_slope(n, x) * count(*)), 6) AS next FROM hours", _ARRIVALS, _LINE),
-    "seasonality": on("day", "SELECT bucket % 24 AS phase, round(avg(n) - (SELECT avg(n) FROM arrivals), 9) AS seasonal FROM arrivals GROUP BY 1", _ARRIVALS),
-    "anomalies": on("day", "SELECT case_id FROM scaled p WHERE NOT EXISTS (SELECT 1 FROM scaled q WHERE q.case_id <> p.case_id AND pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) <= 0.05::DOUBLE * 0.05::DOUBLE)", _FEATURES, _SCALED),
-    "smooth_ewma": _of("SELECT key, pos, value, round(list_reduce(list(value) OVER (PARTITION BY key ORDER BY pos ROWS 199 PRECEDING), lambda a, b: 0.2::DOUBLE * b + (1 - 0.2::DOUBLE) * a), 6) AS ewma FROM series", _SERIES),
+    "seasonality": on("day", "SELECT phase, round(v - avg(v) OVER (), 6) AS seasonal FROM (SELECT x % p AS phase, avg(n - trend) AS v FROM (SELECT h.x, h.n, p, sum(o.n * CASE WHEN p % 2 = 0 AND abs(o.x - h.x) = p // 2 THEN 0.5 ELSE 1.0 END) / p AS trend FROM hours h, size_ JOIN hours o ON abs(o.x - h.x) <= p // 2 WHERE h.x >= p // 2 AND h.x < k - p // 2 GROUP BY h.x, h.n, p) GROUP BY 1)", _ARRIVALS, _LINE, "size_ AS (SELECT count(*) AS k, greatest(2, count(*) // 4) AS p FROM hours)"),
+    "anomalies": on("day", "SELECT case_id FROM scaled p WHERE NOT EXISTS (SELECT 1 FROM scaled q WHERE q.case_id <> p.case_id AND " + " + ".join(f"pow(p.{c} - q.{c}, 2)" for c in ("length", "distinct_acts", "duration_ms", "first_idx", "last_idx")) + " <= {eps}::DOUBLE * {eps}::DOUBLE)".format(eps=ANOMALY), _FEATURES, _SCALED),
+    "smooth_ewma": _of("SELECT key, pos, value, round(list_reduce(list(value) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING), lambda a, b: 0.2::DOUBLE * b + (1 - 0.2::DOUBLE) * a), 6) AS ewma FROM series", _SERIES),
     "smooth_sma": _of("SELECT key, pos, value, round(avg(value) OVER (PARTITION BY key ORDER BY pos ROWS 4 PRECEDING), 9) AS average FROM series", _SERIES),
     "extrema": _of(f"SELECT key, pos, value, kind FROM (SELECT *, CASE WHEN value > lag(value) OVER w AND value > lead(value) OVER w THEN 'peak' WHEN value < lag(value) OVER w AND value < lead(value) OVER w THEN 'trough' END AS kind FROM series {_W}) WHERE kind IS NOT NULL", _SERIES),
     "rate_of_change": _of(f"SELECT key, pos, value, CASE WHEN lag(value) OVER w <> 0 THEN round((value - lag(value) OVER w) / lag(value) OVER w, 9) END AS change FROM series {_W}", _SERIES),

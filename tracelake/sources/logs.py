@@ -66,7 +66,8 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traces(log: DataFrame) -> DataFrame:
-    """(case_id, acts array<string> in order, n): one shuffle by case."""
+    """(case_id, acts array<string> in order, n): one shuffle by case. A case's activities meet in one row, so the longest
+    case has to fit a task; operators that need no whole sequence use windows instead."""
     acts = F.transform(F.array_sort(F.collect_list(F.struct("event_idx", "activity"))), lambda e: e["activity"])
     return log.groupBy("case_id").agg(acts.alias("acts"), F.count("*").alias("n"))
 
@@ -77,57 +78,97 @@ def variants(log: DataFrame) -> DataFrame:
 
 
 def read_csv_log(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, columns found by name whatever their case. Rows with a blank activity go;
-    a missing case id makes a case of its own; order is that of the rows."""
+    """A CSV file with a header, columns found by name whatever their case; an error without one of the case or the activity.
+
+    Rows with a blank activity go; a blank case id makes a case of its own; order is that of the rows. Further columns
+    are attributes.
+    """
     rows = spark.read.option("header", True).csv(path)
     found = {c.strip().lower(): c for c in rows.columns}
-    pick = lambda names: next((F.trim(F.col(f"`{found[n]}`")) for n in names if n in found), F.lit(None).cast("string"))
-    line = F.monotonically_increasing_id()
-    rows = rows.select(pick(CASE_HEADERS).alias("case"), pick(ACTIVITY_HEADERS).alias("activity"), pick(TIME_HEADERS).alias("ts"), line.alias("line"))
-    rows = rows.where("activity is not null and activity != ''")
-    return as_log(rows, F.coalesce("case", F.concat(F.lit("case_"), F.col("line"))), F.col("activity"), F.try_to_timestamp("ts"), [F.col("line")])
+    named = {part: next((found[n] for n in names if n in found), None) for part, names in (("case", CASE_HEADERS), ("activity", ACTIVITY_HEADERS), ("ts", TIME_HEADERS))}
+    for part, names in (("case", CASE_HEADERS), ("activity", ACTIVITY_HEADERS)):
+        if named[part] is None:
+            raise ValueError(f"no {part} column in {path}: one of {', '.join(names)}")
+    column = lambda name: F.col("`" + name.replace("`", "``") + "`")
+    value = lambda part: F.nullif(F.trim(column(named[part])), F.lit("")) if named[part] else F.lit(None).cast("string")
+    rest = [c for c in rows.columns if c not in named.values()]
+    others = F.map_filter(F.create_map(*(x for c in rest for x in (F.lit(c.strip()), column(c)))), lambda _, v: v.isNotNull()) if rest else F.create_map().cast("map<string,string>")
+    rows = rows.select(value("case").alias("case"), value("activity").alias("activity"), value("ts").alias("ts"), others.alias("others"), F.monotonically_increasing_id().alias("line")).where("activity is not null")
+    return as_log(rows, F.coalesce("case", F.concat(F.lit("case_"), F.col("line"))), F.col("activity"), F.try_to_timestamp("ts"), [F.col("line")], F.col("others"))
 
 
 _XES_VALUES = "array<struct<_key:string,_value:string>>"
-_XES_EVENT = ",".join(f"`{kind}`:{_XES_VALUES}" for kind in ("string", "date", "int", "float", "boolean"))
+_XES_KINDS = ("string", "date", "int", "float", "boolean")
+_XES_EVENT = ",".join(f"`{kind}`:{_XES_VALUES}" for kind in _XES_KINDS)
+_XES_TRACE = f"`string` {_XES_VALUES}, event array<struct<{_XES_EVENT}>>"
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
-    """An XES file, traces split by the XML source; attributes are strings, and nested ones are not read."""
-    schema = f"`string` {_XES_VALUES}, event array<struct<{_XES_EVENT}>>"
-    rows = spark.read.format("xml").option("rowTag", "trace").schema(schema).load(path).withColumn("trace", F.monotonically_increasing_id())
+    """XES files, traces split by the XML source; attributes are strings, and nested ones are not read.
+
+    Of a key that an event repeats the last value counts, strings before dates, numbers and truth values.
+    """
+    rows = spark.read.format("xml").option("rowTag", "trace").schema(_XES_TRACE).load(path).withColumn("trace", F.monotonically_increasing_id())
     name = F.get(F.filter("string", lambda a: a["_key"] == "concept:name"), F.lit(0))["_value"]
-    rows = rows.select(F.coalesce(name, F.concat(F.lit("case_"), F.col("trace"))).alias("case"), F.posexplode("event").alias("place", "event"))
+    rows = rows.select(F.coalesce(name, F.concat(F.lit("case_"), F.col("trace"))).alias("case"), "trace", F.posexplode("event").alias("place", "event"))
     empty = F.array().cast(_XES_VALUES)
-    values = F.concat(*(F.coalesce(F.col(f"event.{kind}"), empty) for kind in ("string", "date", "int", "float", "boolean")))
-    rows = rows.select("case", "place", F.map_from_entries(F.transform(values, lambda a: F.struct(a["_key"], a["_value"]))).alias("all"))
+    values = F.filter(F.concat(*(F.coalesce(F.col(f"event.{kind}"), empty) for kind in _XES_KINDS)), lambda a: a["_key"].isNotNull())
+    rows = rows.select("case", "trace", "place", values.alias("values"))
+    keys = F.transform("values", lambda a: a["_key"])
+    last = F.filter("values", lambda a, i: ~F.array_contains(F.slice(keys, i + 2, F.size("values")), a["_key"]))
+    rows = rows.select("case", "trace", "place", F.map_from_entries(F.transform(last, lambda a: F.struct(a["_key"], a["_value"]))).alias("all"))
     named = F.map_filter("all", lambda k, _: ~k.isin("concept:name", "time:timestamp"))
-    return as_log(rows.withColumn("named", named), F.col("case"), F.col("all")["concept:name"], F.try_to_timestamp(F.col("all")["time:timestamp"]), [F.col("place")], F.col("named"))
-
-
-def _xml(text: Column) -> Column:
-    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
-        text = F.replace(text, F.lit(mark), F.lit(name))
-    return text
+    return as_log(rows.withColumn("named", named), F.col("case"), F.col("all")["concept:name"], F.try_to_timestamp(F.col("all")["time:timestamp"]), [F.col("trace"), F.col("place")], F.col("named"))
 
 
-def xes_lines(log: DataFrame) -> DataFrame:
-    """(case_id, value): each case's <trace> element as text; every attribute is written as a string."""
-    tag = lambda key, value: F.concat(F.lit('<string key="'), _xml(key), F.lit('" value="'), _xml(value), F.lit('"/>'))
-    stamp = F.when(F.col("ts_ms").isNotNull(), F.concat(F.lit('<date key="time:timestamp" value="'), F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit('"/>')))
-    rest = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: tag(e["key"], F.coalesce(e["value"], F.lit("")))), "")
-    event = F.concat(F.lit("<event>"), tag(F.lit("concept:name"), F.col("activity")), F.coalesce(stamp, F.lit("")), rest, F.lit("</event>"))
-    events = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_idx", "event"))), lambda e: e["event"]), "")
-    rows = log.select("case_id", "event_idx", event.alias("event")).groupBy("case_id").agg(events.alias("events"))
-    return rows.select("case_id", F.concat(F.lit("<trace>"), tag(F.lit("concept:name"), F.col("case_id")), "events", F.lit("</trace>")).alias("value"))
+def _stamp() -> Column:
+    return F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 
 
 def write_xes(log: DataFrame, path: str) -> None:
-    """A folder of text files of <trace> elements, one line a case; :func:`read_xes` reads it back."""
-    xes_lines(log).select("value").write.text(path)
+    """A folder of XES files, each a whole document; every attribute is written as a string, times as dates.
+
+    A case is gathered in one task, as it is one element of a file. :func:`read_xes` reads the folder back.
+    """
+    pair = lambda key, value: F.struct(key.alias("_key"), value.alias("_value"))
+    rest = F.transform(F.array_sort(F.map_entries(F.map_filter("attributes", lambda _, v: v.isNotNull()))), lambda e: pair(e["key"], e["value"]))
+    event = F.struct(F.concat(F.array(pair(F.lit("concept:name"), F.col("activity"))), rest).alias("string"), F.when(F.col("ts_ms").isNotNull(), F.array(pair(F.lit("time:timestamp"), _stamp()))).alias("date"))
+    rows = log.select("case_id", "event_idx", event.alias("event")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "event"))).alias("events"))
+    rows = rows.select(F.array(pair(F.lit("concept:name"), F.col("case_id"))).alias("string"), F.transform("events", lambda e: e["event"]).alias("event"))
+    rows.write.format("xml").option("rootTag", 'log xes.version="1.0"').option("rowTag", "trace").option("declaration", 'version="1.0" encoding="UTF-8"').save(path)
 
 
 def write_csv_log(log: DataFrame, path: str) -> None:
     """Columns case_id, activity, timestamp, in order of case and place."""
-    stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
-    log.orderBy("case_id", "event_idx").select("case_id", "activity", stamp.alias("timestamp")).write.option("header", True).csv(path)
+    log.orderBy("case_id", "event_idx").select("case_id", "activity", _stamp().alias("timestamp")).write.option("header", True).csv(path)
+
+
+_JSON_LOG = "traces array<struct<case_id:string,events:array<struct<name:string,timestamp:string,lifecycle:string,attributes:map<string,string>>>>>"
+
+
+def read_json_log(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, each with ``traces`` of a case_id and events (name, timestamp, lifecycle, attributes). A document is read by one
+    task, so a large log is many documents; the parts of a case that several hold follow one another."""
+    rows = spark.read.schema(_JSON_LOG).json(path).withColumn("doc", F.monotonically_increasing_id())
+    rows = rows.select("doc", F.posexplode("traces").alias("nth", "trace")).select("doc", "nth", "trace.case_id", F.posexplode("trace.events").alias("place", "event"))
+    own = F.coalesce(F.col("event.attributes"), F.create_map().cast("map<string,string>"))
+    lifecycle = F.when(F.col("event.lifecycle").isNotNull() & ~F.coalesce(F.map_contains_key(own, "lifecycle:transition"), F.lit(False)), F.map_concat(own, F.create_map(F.lit("lifecycle:transition"), F.col("event.lifecycle")))).otherwise(own)
+    return as_log(rows, F.col("case_id"), F.col("event.name"), F.try_to_timestamp(F.col("event.timestamp")), [F.col("doc"), F.col("nth"), F.col("place")], lifecycle)
+
+
+def write_json_log(log: DataFrame, path: str) -> None:
+    """JSON lines as :func:`read_json_log` reads them, one case each."""
+    event = F.struct(F.col("activity").alias("name"), _stamp().alias("timestamp"), "attributes")
+    in_order = lambda a, b: F.signum(a["event_idx"] - b["event_idx"]).cast("int")  # noqa: E731  maps have no order of their own
+    rows = log.select("case_id", "event_idx", event.alias("event")).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("event_idx", "event")), in_order).alias("events"))
+    rows.select(F.array(F.struct("case_id", F.transform("events", lambda e: e["event"]).alias("events"))).alias("traces")).write.json(path)
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """The rows of a directly-follows graph (source, target, n and any measures) as JSON lines."""
+    pairs.write.json(path)
+
+
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(source, target, n) as :func:`write_pairs` wrote them."""
+    return spark.read.schema("source string, target string, n long").json(path)
