@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tracelake.llm import shared
 from tracelake.llm.components import components
 
-#: Shorter lines are linked to equal ones only.
+#: The threshold is one edit from this many code points on. In a shorter line an edit is over a tenth of it, so its threshold
+#: is none; pairs are measured by the shorter line, and ``longer`` gives larger thresholds for longer ones.
 MIN_CHARS = 10
 #: A bucket of more lines is not paired; its window is halved instead.
 PAIRED = 32
@@ -103,7 +104,10 @@ def _met(entries: DataFrame) -> DataFrame:
     """The entries whose bucket holds an index entry and another entry, with the bucket's counts, written."""
     entries = shared.stored(entries, "line-entries")  # read twice
     sizes = entries.groupBy("key").agg(F.count_if("indexed").alias("n_indexed"), F.count("*").alias("n")).where("n_indexed > 0 and n > 1")
-    return shared.stored(entries.join(sizes, "key"), "line-buckets")
+    # joined in one way at every size: the buckets grow with the lines
+    met = shared.stored(entries.join(sizes.hint("merge"), "key"), "line-buckets")
+    shared.release(entries)
+    return met
 
 
 def _candidates(met: DataFrame, where: Column) -> DataFrame:
@@ -236,10 +240,11 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED
     dropped = shared.stored(going.groupBy("id", "h").agg(F.collect_set("pos").alias("going"), F.collect_set(F.when(F.col("near"), F.col("pos"))).alias("near")), "dropped-lines")
     text = shared.text_of(text_col)
     rows = docs.select(F.col(id_col).alias("own_id"), text.alias("own_text"), F.xxhash64(text).alias("own_h"))
-    rows = rows.join(dropped, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left")
+    rows = rows.join(dropped.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left")
     split = F.split("own_text", "\n")
     n_lines = F.size(F.filter(split, lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
-    left = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("going", i)), "\n")
+    staying = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "going")
+    left = F.array_join(F.transform(staying, lambda i: F.get(split, i)), "\n")
     count = lambda name: F.coalesce(F.size(name), F.lit(0)).cast("long").alias
     return rows.select(F.col("own_id").alias(id_col), F.when(F.col("going").isNull(), F.col("own_text")).otherwise(left).alias("text"), n_lines.cast("long").alias("n_lines"), count("going")("n_dropped"), count("near")("n_near"))
 
