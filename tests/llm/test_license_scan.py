@@ -86,3 +86,37 @@ def test_prefilter_hides_no_match():
     assert labels("GNU General Public\nLicense, version 3") == ["gpl-3.0"]
     assert labels("This software is provided as is, without any express or implied warranty") == ["zlib"]
     assert labels("Creative\n// Commons  Attribution 4.0") == ["cc-by-4.0"]
+
+
+def brute_detections(text):
+    """Every rule over the whole text, each match kept unless one that comes before it by priority, length and place contains it."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    matches = sorted((-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label) for rule in scanner().rules for m in rule.pattern.finditer(lowered))
+    kept = []
+    for priority, _, start, end, label in matches:
+        if not any(s <= start and end <= e for s, e, *_ in kept):
+            kept.append((start, end, label, -priority))
+    return sorted(kept)
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(8)
+    rules = scanner().rules
+    lines = LINES + [example(rng, _parser.parse(r.pattern.pattern)) for r in rng.sample(rules, 120)]
+    rows = [(k, " ".join(rng.choice(lines) + rng.choice(["", "\n", ". ", " and ", "\n# "]) for _ in range(rng.randint(0, 12))), "x", "y") for k in range(120)] + [(None, None, None, None)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for key, text, *_ in rows:
+        found, base = brute_detections(text), set(filter(None, brute(text)[-1].split(",")))
+        assert [(d.start, d.end, d.label, round(d.score * 100)) for d in got[key].detections] == found, text
+        assert got[key].labels == ",".join(sorted(base | {label for _, _, label, _ in found}))
+        assert got[key].score == max([p / 100 for *_, p in found] + [0.7] * bool(base), default=0.0)
+
+
+def test_signatures_written_by_hand():
+    from tracelake.llm.license_rules import SIGNATURES
+
+    assert len(SIGNATURES) > 200 and len({pattern for *_, pattern in SIGNATURES}) == len(SIGNATURES)
+    assert labels("See the License for the specific language governing permissions and\n * limitations under the License.") == ["apache-2.0"]
+    assert labels("The above copyright notice and this permission notice shall be included in all copies") == ["mit"]
+    assert labels("You should have received a copy of the GNU Lesser General Public License") == ["lgpl"]
+    assert labels("EUPL, CERN Open Hardware Licence; Blue Oak Model License 1.0.0") == ["cern-ohl", "blueoak-1.0.0"]

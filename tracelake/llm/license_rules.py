@@ -120,6 +120,150 @@ SIGNATURES = [
     ("openrail", 70, "rail", r"\b(?:bigscience_|creativeml_)?open_?rail(?:-m)?\b"),
     ("proprietary", 60, "confidential", r"\bproprietary_and_confidential\b"),
     ("all-rights-reserved", 60, "rights reserved", r"\ball_rights_reserved\b"),
+    ("apache-2.0", 91, "licensed apache", r"licensed_under_the_apache_licen[sc]e_version_2\.0"),
+    ("apache-2.0", 80, "limitations", r"see_the_licen[sc]e_for_the_specific_language_governing_permissions_and_limitations"),
+    ("apache-2.0", 80, "distributed basis", r"distributed_under_the_licen[sc]e_is_distributed_on_an_as_is_basis"),
+    ("apache-2.0-llvm-exception", 95, "llvm", r"\bapache[\s-]2\.0_with_llvm_exceptions?\b|\bllvm_exceptions_to_the_apache_2\.0_licen[sc]e\b"),
+    ("mit", 80, "above notice included", r"the_above_copyright_notice_and_this_permission_notice_shall_be_included_in_all_copies"),
+    ("mit", 70, "mit", r"\blicensed_under_(?:the_)?mit\b"),
+    ("mit-feh", 70, "feh", r"\bfeh_licen[sc]e\b"),
+    ("mit-enna", 70, "enna", r"\benna_licen[sc]e\b"),
+    ("mit-cmu", 70, "cmu", r"\bcmu_licen[sc]e\b"),
+    ("hpnd", 80, "permission modify purpose fee", r"permission_to_use_copy_modify_and_distribute_this_software_and_its_documentation_for_any_purpose_(?:and_)?without_fee"),
+    ("hpnd", 70, "historical permission", r"\bhistorical_permission_notice_and_disclaimer\b"),
+    ("bsd", 80, "redistributions retain", r"redistributions_of_source_code_must_retain_the_above_copyright"),
+    ("bsd", 80, "redistributions reproduce", r"redistributions_in_binary_form_must_reproduce_the_above_copyright"),
+    ("bsd-4-clause", 85, "advertising", r"all_advertising_materials_mentioning_features_or_use_of_this_software_must_display"),
+    ("bsd-3-clause-clear", 95, "clear bsd", r"\bclear_bsd_licen[sc]e\b|\bbsd_3_clause_clear\b"),
+    ("bsd-3-clause-lbnl", 90, "lawrence berkeley", r"\blawrence_berkeley_national_labs?_bsd\b"),
+    ("bsd-2-clause-patent", 95, "bsd patent", r"\bbsd_(?:2_clause_)?(?:plus_)?patent(?:_licen[sc]e)?\b"),
+    ("bsd-1-clause", 90, "bsd", r"\b(?:1|one)_clause_bsd\b|\bbsd_(?:1|one)_clause\b"),
+    ("bsd-source-code", 70, "bsd source", r"\bbsd_source_code_attribution\b"),
+    ("bsd-protection", 70, "bsd protection", r"\bbsd_protection_licen[sc]e\b"),
+    ("isc", 80, "permission distribute granted", r"permission_to_use_copy_modify_and(?:_or)?_distribute_this_software_(?:and_its_documentation_)?for_any_purpose_with_or_without_fee_is_hereby_granted"),
+    ("zlib", 80, "altered plainly", r"altered_source_versions_must_be_plainly_marked_as_such"),
+    ("bsl-1.0", 80, "obtaining accompanying", r"obtaining_a_copy_of_the_software_and_accompanying_documentation_covered_by_this_licen[sc]e"),
+    ("unlicense", 80, "anyone publish", r"anyone_is_free_to_copy_modify_publish_use_compile_sell_or_distribute_this_software"),
+    ("public-domain", 60, "dedicated public domain", r"\bdedicated_to_the_public_domain\b"),
+    ("public-domain", 60, "placed public domain", r"\bplaced_in_(?:the_)?public_domain\b"),
+    ("blessing", 80, "blessing", r"in_place_of_a_legal_notice_here_is_a_blessing"),
+    ("cc0-1.0", 85, "waive", r"\bwaived?_all_copyright_and_related_(?:or_neighbou?ring_)?rights\b"),
+    ("cc0-1.0", 85, "creative commons zero", r"\bcreative_commons_zero\b"),
+    ("gpl", 80, "free redistribute modify gnu", r"free_software_you_can_redistribute_it_and(?:_or)?_modify_it_under_the_terms_of_the_gnu_general_public_licen[sc]e"),
+    ("lgpl", 80, "free redistribute modify gnu", r"free_software_you_can_redistribute_it_and(?:_or)?_modify_it_under_the_terms_of_the_gnu_(?:lesser|library)_general_public_licen[sc]e"),
+    ("agpl", 80, "free redistribute modify affero", r"free_software_you_can_redistribute_it_and(?:_or)?_modify_it_under_the_terms_of_the_gnu_affero_general_public_licen[sc]e"),
+    ("gpl", 71, "received gnu", r"you_should_have_received_a_copy_of_the_gnu_general_public_licen[sc]e"),
+    ("lgpl", 71, "received gnu", r"you_should_have_received_a_copy_of_the_gnu_(?:lesser|library)_general_public_licen[sc]e"),
+    ("agpl", 71, "received affero", r"you_should_have_received_a_copy_of_the_gnu_affero_general_public_licen[sc]e"),
+    ("gpl", 55, "gnu.org/licenses", r"gnu\.org/licenses/gpl\b"),
+    ("gpl-2.0", 85, "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", 85, "gnu.org/licenses", r"gnu\.org/licenses/gpl-3\.0"),
+    ("lgpl-2.1", 85, "gnu.org/licenses", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", 85, "gnu.org/licenses", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("agpl-3.0", 85, "gnu.org/licenses", r"gnu\.org/licenses/agpl-3\.0"),
+    ("gfdl", 80, "gnu.org/licenses", r"gnu\.org/licenses/fdl\b"),
+    ("gfdl", 70, "gfdl", r"\bgfdl\b"),
+    ("gpl-font-exception", 90, "font", r"\bfont_(?:embedding_)?exception_to_the_gpl\b|\bgpl_font_exception\b"),
+    ("gpl-autoconf-exception", 90, "autoconf", r"\bautoconf_(?:configure_script_)?exception\b"),
+    ("gpl-bison-exception", 90, "bison", r"\bbison_(?:parser_)?exception\b"),
+    ("gpl-linking-exception", 90, "linking", r"\blinking_exception\b"),
+    ("gpl-openssl-exception", 90, "openssl", r"\bopenssl_(?:linking_)?exception\b"),
+    ("gpl-syscall-note", 90, "linux-syscall-note", r"\blinux-syscall-note\b"),
+    ("mpl-2.0", 80, "mozilla.org/mpl", r"mozilla\.org/mpl/2\.0"),
+    ("mpl-2.0", 80, "subject terms mozilla", r"subject_to_the_terms_of_the_mozilla_public_licen[sc]e_v(?:ersion)?_?\.?_?2\.0"),
+    ("mpl-2.0-no-copyleft-exception", 95, "incompatible secondary", r"incompatible_with_secondary_licen[sc]es"),
+    ("npl-1.1", 70, "netscape public", r"\bnetscape_public_licen[sc]e\b"),
+    ("epl-1.0", 80, "eclipse.org/legal", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", 80, "eclipse.org/legal", r"eclipse\.org/legal/epl-2\.0"),
+    ("edl-1.0", 70, "eclipse distribution", r"\beclipse_distribution_licen[sc]e\b"),
+    ("cddl", 80, "opensource.org/licenses/cddl", r"opensource\.org/licenses/cddl"),
+    ("cddl", 65, "cddl", r"\bcddl\b"),
+    ("osi-mit", 60, "opensource.org/licenses/mit", r"opensource\.org/licenses/mit\b"),
+    ("osi-bsd", 60, "opensource.org/licenses/bsd", r"opensource\.org/licenses/bsd"),
+    ("osi-isc", 60, "opensource.org/licenses/isc", r"opensource\.org/licenses/isc\b"),
+    ("osi-apache", 60, "opensource.org/licenses/apache", r"opensource\.org/licenses/apache"),
+    ("osi-artistic", 60, "opensource.org/licenses/artistic", r"opensource\.org/licenses/artistic"),
+    ("artistic-1.0-perl", 90, "artistic perl", r"\bperl_artistic_licen[sc]e\b|\bartistic_licen[sc]e_perl\b"),
+    ("clarified-artistic", 90, "clarified artistic", r"\bclarified_artistic_licen[sc]e\b"),
+    ("qpl-1.0", 70, "public", r"\bq_public_licen[sc]e\b"),
+    ("spl-1.0", 70, "sun public", r"\bsun_public_licen[sc]e\b"),
+    ("sissl", 70, "sun industry", r"\bsun_industry_standards_source_licen[sc]e\b"),
+    ("rpsl-1.0", 70, "realnetworks", r"\brealnetworks_public_source_licen[sc]e\b"),
+    ("nokia", 70, "nokia open", r"\bnokia_open_source_licen[sc]e\b"),
+    ("intel", 70, "intel open", r"\bintel_open_source_licen[sc]e\b"),
+    ("nasa-1.3", 70, "nasa open", r"\bnasa_open_source_agreement\b"),
+    ("ngpl", 70, "nethack", r"\bnethack_general_public_licen[sc]e\b"),
+    ("motosoto", 70, "motosoto", r"\bmotosoto_open_source_licen[sc]e\b"),
+    ("sybase", 70, "sybase open watcom", r"\bsybase_open_watcom_public_licen[sc]e\b"),
+    ("watcom-1.0", 65, "open watcom", r"\bopen_watcom_licen[sc]e\b"),
+    ("xnet", 70, "net", r"\bx\.net_licen[sc]e\b"),
+    ("xfree86-1.1", 70, "xfree86", r"\bxfree86_licen[sc]e\b"),
+    ("vsl-1.0", 70, "vovida", r"\bvovida_software_licen[sc]e\b"),
+    ("fair", 70, "fair", r"\bfair_licen[sc]e\b"),
+    ("frameworx", 70, "frameworx", r"\bframeworx_(?:open_)?licen[sc]e\b"),
+    ("entessa", 70, "entessa", r"\bentessa_public_licen[sc]e\b"),
+    ("eudatagrid", 70, "datagrid", r"\beu_datagrid_software_licen[sc]e\b"),
+    ("eiffel-forum", 70, "eiffel forum", r"\beiffel_forum_licen[sc]e\b"),
+    ("lucent-plan9", 70, "lucent public", r"\blucent_public_licen[sc]e\b"),
+    ("catosl-1.1", 70, "computer associates", r"\bcomputer_associates_trusted_open_source_licen[sc]e\b"),
+    ("cnri-python", 70, "cnri", r"\bcnri_(?:python_)?(?:open_source_)?licen[sc]e\b"),
+    ("cpal-1.0", 70, "common public attribution", r"\bcommon_public_attribution_licen[sc]e\b"),
+    ("cua-opl-1.0", 70, "cua office", r"\bcua_office_public_licen[sc]e\b"),
+    ("liliq", 70, "liliq", r"\bliliq-(?:p|r|rplus)\b"),
+    ("multics", 70, "multics", r"\bmultics_licen[sc]e\b"),
+    ("naumen", 70, "naumen", r"\bnaumen_public_licen[sc]e\b"),
+    ("oclc-2.0", 70, "oclc", r"\boclc_(?:research_)?public_licen[sc]e\b"),
+    ("ogtsl", 70, "open group test", r"\bopen_group_test_suite_licen[sc]e\b"),
+    ("rscpl", 70, "ricoh", r"\bricoh_source_code_public_licen[sc]e\b"),
+    ("simpl-2.0", 70, "simple public", r"\bsimple_public_licen[sc]e\b"),
+    ("wxwindows", 70, "wxwindows", r"\bwxwindows_library_licen[sc]e\b"),
+    ("bittorrent-1.1", 70, "bittorrent", r"\bbittorrent_open_source_licen[sc]e\b"),
+    ("cal-1.0", 70, "cryptographic autonomy", r"\bcryptographic_autonomy_licen[sc]e\b"),
+    ("mulanpsl-2.0", 80, "mulan psl", r"\bmulan_psl_v?2\b"),
+    ("mulanpsl", 70, "mulan permissive", r"\bmulan_permissive_software_licen[sc]e\b"),
+    ("etalab-2.0", 70, "etalab", r"\b(?:etalab_)?licence_ouverte_(?:open_licence_)?etalab\b|\betalab_open_licen[sc]e\b"),
+    ("ogl-uk-3.0", 90, "open government", r"\bopen_government_licen[sc]e_v(?:ersion)?_?3\.0\b"),
+    ("ogl-uk", 70, "open government", r"\bopen_government_licen[sc]e\b"),
+    ("cdla-permissive", 70, "community data permissive", r"\bcommunity_data_licen[sc]e_agreement_permissive\b"),
+    ("cdla-sharing", 70, "community data sharing", r"\bcommunity_data_licen[sc]e_agreement_sharing\b"),
+    ("free-art-1.3", 70, "free art", r"\bfree_art_licen[sc]e\b"),
+    ("cern-ohl", 70, "cern hardware", r"\bcern_open_hardware_licen[sc]e\b"),
+    ("tapr-ohl-1.0", 70, "tapr hardware", r"\btapr_open_hardware_licen[sc]e\b"),
+    ("solderpad", 70, "solderpad", r"\bsolderpad_hardware_licen[sc]e\b"),
+    ("bitstream-vera", 70, "bitstream vera", r"\bbitstream_vera_(?:fonts?_)?(?:copyright|licen[sc]e)\b"),
+    ("arphic", 70, "arphic", r"\barphic_public_licen[sc]e\b"),
+    ("ipa", 70, "ipa font", r"\bipa_font_licen[sc]e\b"),
+    ("ubuntu-font-1.0", 70, "ubuntu font", r"\bubuntu_font_licen[sc]e\b"),
+    ("gust-font", 70, "gust font", r"\bgust_font_licen[sc]e\b"),
+    ("knuth-ctan", 70, "knuth ctan", r"\bknuth_ctan_licen[sc]e\b"),
+    ("imagemagick", 70, "imagemagick", r"\bimagemagick_licen[sc]e\b"),
+    ("bzip2", 70, "bzip2", r"\bbzip2_licen[sc]e\b"),
+    ("libtiff", 70, "libtiff", r"\blibtiff_licen[sc]e\b"),
+    ("netcdf", 70, "netcdf", r"\bnetcdf_licen[sc]e\b"),
+    ("sgi-b-2.0", 70, "sgi free", r"\bsgi_free_software_licen[sc]e\b"),
+    ("tcp-wrappers", 70, "tcp wrappers", r"\btcp_wrappers_licen[sc]e\b"),
+    ("info-zip", 70, "info-zip", r"\binfo-zip_licen[sc]e\b"),
+    ("wordnet", 70, "wordnet", r"\bwordnet_licen[sc]e\b"),
+    ("naist-2003", 70, "naist", r"\bnaist_licen[sc]e\b"),
+    ("hippocratic", 70, "hippocratic", r"\bhippocratic_licen[sc]e\b"),
+    ("parity", 70, "parity public", r"\bparity_public_licen[sc]e\b"),
+    ("prosperity", 70, "prosperity public", r"\bprosperity_public_licen[sc]e\b"),
+    ("blueoak-1.0.0", 70, "blue oak", r"\bblue_oak_model_licen[sc]e\b"),
+    ("anti-996", 70, "996", r"\banti[\s-]996_licen[sc]e\b"),
+    ("confluent-community", 70, "confluent community", r"\bconfluent_community_licen[sc]e\b"),
+    ("redis-sal", 70, "redis source", r"\bredis_source_available_licen[sc]e\b"),
+    ("timescale", 70, "timescale", r"\btimescale_licen[sc]e\b"),
+    ("polyform-shield", 70, "polyform shield", r"\bpolyform_shield_licen[sc]e\b"),
+    ("polyform-small-business", 70, "polyform small business", r"\bpolyform_small_business_licen[sc]e\b"),
+    ("llama-community", 70, "llama community", r"\bllama(?:_\d(?:\.\d)?)?_community_licen[sc]e\b"),
+    ("gemma-terms", 70, "gemma terms", r"\bgemma_terms_of_use\b"),
+    ("proprietary", 60, "trade secrets", r"\bcontains_(?:proprietary_)?(?:information_and_)?trade_secrets\b"),
+    ("proprietary", 60, "reproduction forbidden", r"\breproduction_(?:or_(?:distribution|disclosure)_)?is_strictly_forbidden\b"),
+    ("proprietary", 60, "end user agreement", r"\bend[\s-]user_licen[sc]e_agreement\b"),
+    ("non-commercial", 55, "non commercial only", r"\bfor_non[\s-]?commercial_(?:use|purposes)_only\b"),
+    ("evaluation", 55, "evaluation only", r"\bfor_evaluation_(?:use|purposes)_only\b"),
+    ("freeware", 50, "freeware", r"\bfreeware_licen[sc]e\b"),
+    ("shareware", 50, "shareware", r"\bshareware_licen[sc]e\b"),
 ]
 
 #: Families built by rule: name, keyword, versions.
