@@ -157,3 +157,25 @@ def test_near_copies_leave_one_of_a_chain(spark):
     assert len(set(root.values())) == 6 and any(jaccard(sets[k], sets[v]) < 0.7 for k, v in root.items())
     stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(stay) == sorted(set(root.values()))
+
+
+def test_near_copies_of_a_large_loose_group(spark):
+    """One group whose members are mostly not alike in pairs, in one block and in many, against brute force."""
+    random.seed(17)
+    base = ["w%d" % k for k in range(120)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(random.choice([1, 2, 3, 5, 8])):
+            text[random.randrange(120)] = "x%d" % random.randrange(10**6)
+        rows.append((random.randrange(10**9), " ".join(text), "", k))
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    root = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 20 < len(set(root.values())) < 130
+    for block in (1 << 20, 5000):
+        stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA), block=block).collect()]
+        assert sorted(stay) == sorted(set(root.values())), block

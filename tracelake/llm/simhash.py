@@ -201,38 +201,98 @@ def verified(pairs: DataFrame, sets: DataFrame, a: str, b: str, similarity: floa
     return both.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select(a, b)
 
 
-def near_links(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the components of all pairs that meet in a bucket of ``alive`` (bucket, r, n) and have this similarity or more.
-
-    Leaders by rounds: one, then two, four and so on of each bucket's members, in their order, are compared with
-    those after them. A pair whose ends are known to be in one component by then is not compared, as it adds nothing;
-    a bucket in one component is done. So every pair is compared or not needed, and a group of copies, which the first
-    leaders join up, costs rows in proportion to its size. Only members that are not alike, yet met, remain to be paired.
+def first_links(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(r, lead): each member compared with one other, the first of a bucket that it meets in most buckets. Rows in proportion to ``alive``."""
+    leads = alive.groupBy("bucket").agg(F.min(F.struct("r", "n")).alias("lead"))
+    met = alive.join(leads, "bucket").where(F.col("lead.r") < F.col("r")).where(F.least("n", "lead.n") / F.greatest("n", "lead.n") >= similarity)
+    counted = met.groupBy("r", F.col("lead.r").alias("lead")).agg(F.count("*").alias("k"))
+    best = counted.groupBy("r").agg(F.max_by("lead", F.struct("k", -F.col("lead"))).alias("lead"))
+    return shared.stored(verified(best, sets, "r", "lead", similarity), "similar")
+
+
+def _compared(similarity: float, least_bands: int):
+    """What compares the members of one block, see :func:`block_links`: a table of them to one of links (r, lead)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        column = lambda name: block.column(name).chunk(0).to_numpy(zero_copy_only=False)
+        r, root, n, side, band = (column(c) for c in ("r", "root", "n", "side", "band"))
+        both_sides = bool(column("within")[0])
+        bands = block.column("bands").chunk(0).flatten().to_numpy().reshape(len(r), -1).view(np.int32)[:, ::2]
+        held = block.column("set").chunk(0)
+        ends, values = held.offsets.to_numpy(), held.values.to_numpy()
+        near = []
+        for i in range(len(r) - 1):
+            may = (root[i + 1 :] != root[i]) & (np.minimum(n[i + 1 :], n[i]) >= similarity * np.maximum(n[i + 1 :], n[i]))
+            if not both_sides:
+                may &= side[i + 1 :] != side[i]
+            at = np.flatnonzero(may) + i + 1
+            if len(at):
+                agree = bands[at] == bands[i]
+                shared_bands = agree.sum(axis=1)
+                good = (shared_bands >= least_bands) & ~agree[:, : band[0]].any(axis=1)  # a pair is compared where it meets first
+                near += zip((-shared_bands[good]).tolist(), [i] * int(good.sum()), at[good].tolist())
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        sets: dict[int, set] = {}
+        of = lambda k: sets[k] if k in sets else sets.setdefault(k, set(values[ends[k] : ends[k + 1]].tolist()))
+        links = []
+        for _, i, j in sorted(near):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y and (both := len(of(i) & of(j))) >= similarity * (n[i] + n[j] - both):
+                parent[x] = y
+                links.append((max(r[i], r[j]), min(r[i], r[j])))
+        return pa.table({"r": pa.array([x for x, _ in links], pa.int64()), "lead": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
+def block_links(alive: DataFrame, roots: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int) -> DataFrame:
+    """(r, lead): links of this similarity or more, as many as join up all members of ``alive`` (bucket, band, r, n) that are alike but not of one root yet.
+
+    Buckets of one root are done. Of any other, the members of its first member's root and the rest are cut by hash into
+    chunks of some ``block`` shingles (a member counts a thousand more), and every chunk meets the chunks of the rest, each two in a
+    block of their own. A block holds its members' sets, skips pairs of one root, and gives no more links than join its members; so
+    no pair that is not alike ever becomes a row, and what is not alike costs the square of its number, not of the group's.
+    """
+    rooted = alive.join(roots, "r", "left").withColumn("root", F.coalesce("root", "r"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "r").alias("lead_root")).where("low < high").select("bucket", "lead_root")
+    rows = shared.stored(rooted.join(mixed, "bucket").withColumn("rest", F.col("root") != F.col("lead_root")).drop("lead_root"), "mixed-buckets")
+    weight = F.col("n") + F.lit(1000)
+    size = lambda rest: F.ceil(F.sum(F.when(F.col("rest") == rest, weight)) / block).cast("int")
+    sizes = rows.groupBy("bucket").agg(size(False).alias("firsts"), size(True).alias("rests"))
+    rows = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("r"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("firsts"))).cast("int"))
+    pair = lambda within, i, j, side: F.struct(within.alias("within"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    no, chunk = F.lit(False), F.col("chunk")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    first = F.transform(upto("rests"), lambda j: pair(no, -1 - chunk, j, F.lit(0)))
+    rest = F.concat(F.transform(upto("firsts"), lambda i: pair(no, -1 - i, chunk, F.lit(1))), F.transform(upto("rests"), lambda k: pair(k == chunk, F.least(k, chunk), F.greatest(k, chunk), chunk < k)))
+    placed = rows.select("bucket", "band", "r", "n", "root", F.explode(F.when(F.col("rest"), rest).otherwise(first)).alias("p")).select("bucket", "band", "r", "n", "root", "p.*")
+    members = placed.join(features, "r")
+    return members.groupBy("bucket", "i", "j").applyInArrow(_compared(similarity, least_bands), "r long, lead long")
+
+
+def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int = 1 << 20) -> DataFrame:
+    """(node, root) of the components of the pairs of ``alive`` (bucket, band, r, n) that share ``least_bands`` buckets and have this similarity or more.
+
+    A first comparison for every member joins most copies; :func:`block_links` finds what joins the rest. ``features``: r, bands, set.
     """
-    placed = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("r")))
-    alive = shared.stored(placed.withColumn("root", F.col("r")), "buckets")
-    found = roots = None
-    done, leaders = 0, 1
-    while not alive.isEmpty():
-        lead = alive.where((F.col("place") > done) & (F.col("place") <= done + leaders)).select("bucket", F.col("r").alias("lead"), F.col("n").alias("lead_n"), F.col("place").alias("lead_place"), F.col("root").alias("lead_root"))
-        alike = F.least("n", "lead_n") / F.greatest("n", "lead_n") >= similarity
-        met = alive.join(lead, "bucket").where((F.col("lead_place") < F.col("place")) & (F.col("root") != F.col("lead_root")) & alike).select("r", "lead").distinct()
-        similar = shared.stored(verified(met, sets, "r", "lead", similarity), "similar")
-        found = similar if found is None else found.unionByName(similar)
-        if not similar.isEmpty():
-            roots = components(found, "r", "lead").select(F.col("node").alias("r"), "root")
-        done, leaders = done + leaders, 2 * leaders
-        rest = alive if roots is None else alive.drop("root").join(roots, "r", "left").withColumn("root", F.coalesce("root", "r"))
-        more = rest.groupBy("bucket").agg(F.max("place").alias("last"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("last") > done + 1) & (F.col("low") < F.col("high"))).select("bucket")
-        alive = shared.stored(rest.select("bucket", "r", "n", "place", "root").join(more, "bucket"), "buckets")
-    return roots if roots is not None else alive.select(F.col("r"), "root")
-
-
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    found = first_links(alive, features.select("r", "set"), similarity)
+    roots = components(found, "r", "lead").select(F.col("node").alias("r"), "root")
+    more = shared.stored(block_links(alive, roots, features, similarity, least_bands, block), "similar")
+    return components(found.unionByName(more), "r", "lead").select(F.col("node").alias("r"), "root")
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, least_bands: int = 3, block: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, stay): stay = true for the smallest document (id and the hash h of its text) of each group that links reach.
 
-    Documents meet when ``rows`` min-hashes agree in one of ``bands`` bands. At a similarity of 0.8 a pair misses all
-    of them with a probability of (1 - 0.8 ** 6) ** 60, one in 80 million, and less above. Whoever meets is compared by
+    Documents meet when ``rows`` min-hashes agree in ``least_bands`` of ``bands`` bands. At a similarity of 0.8 a pair agrees in
+    fewer than three with a probability of three in a million, and less above. Whoever meets is compared by
     the exact Jaccard similarity of the sets of distinct shingles (64-bit hashes), so no pair below ``similarity`` is
     linked. Groups are the components of the links, so of a chain of versions one document stays.
     """
@@ -241,12 +301,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     best = raw.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "bands")).alias("best"))
     distinct = best.select("k1", "k2", "best.*").repartitionByRange("none", "id", "h").sortWithinPartitions("none", "id", "h").select("id", "h", "k1", "k2", "n", "bands", F.monotonically_increasing_id().alias("r"))
     distinct = shared.stored(distinct, "distinct-sets")
-    every = distinct.select("r", "n", F.explode("bands").alias("bucket"))
+    every = distinct.select("r", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     alive = shared.stored(every.join(sizes, "bucket"), "buckets")
     wanted = distinct.join(alive.select("r").distinct(), "r", "left_semi").select("r", "id", "h")
-    sets = shared.stored(shingle_sets(docs, wanted, width, id_col, text_col), "shingle-sets")
-    going = near_links(alive, sets, similarity).where("r > root").select("r")
+    sets = shingle_sets(docs, wanted, width, id_col, text_col)
+    features = shared.stored(sets.join(distinct.select("r", "bands"), "r"), "shingle-sets")
+    going = near_links(alive, features, similarity, least_bands, block).where("r > root").select("r")
     left = distinct.select("k1", "k2", "r", F.col("id").alias("keep"), F.col("h").alias("keep_h")).join(going, "r", "left_anti")
     stay = F.col("keep_h").isNotNull() & F.col("keep").eqNullSafe(F.col("id")) & (F.col("keep_h") == F.col("h"))
     return raw.select("id", "h", "k1", "k2").join(left.drop("r"), ["k1", "k2"], "left").select("id", "h", F.coalesce(stay, F.lit(False)).alias("stay"))
