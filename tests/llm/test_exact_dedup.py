@@ -60,10 +60,18 @@ def test_later_runs_are_merged(spark, tmp_path):
     index.append(log([("a", 0, 3, 10, 0), ("b", 0, 1, 11, 1), ("c", 0, 1, 12, 2)]))
     index.compact()
     index.append(log([("a", 0, 3, 2, 5), ("b", 0, 9, 99, 6)]))
+    assert sorted((r.digest, r.id) for r in index.find(["a", "c", *"defghijklmnop"]).collect()) == [("a", 2), ("a", 10), ("c", 12)] and index.find([]).count() == 0
     got = {r.digest: (r.id, r.n, r.copies) for r in index.compact().collect()}
     assert got == {"a": (2, 3, 2), "b": (99, 9, 2), "c": (12, 1, 1)}
 
 
+def test_the_row_that_stays_is_the_one_of_the_index(spark):
+    rows = [(k % 90, "same  text" if k % 3 else "same text", "x", k) for k in range(300)] + [(None, "same  text", "y", 0), (500, "other", "z", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert sorted((r.doc_id, r.text) for r in drop_copies(df).collect()) == [(1, "same  text"), (500, "other")]
+    assert {r.doc_id for r in exact_dedup(df).where("kept").collect()} == {1, 500}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert exact_dedup(df).count() == 0 and drop_copies(df).count() == 0

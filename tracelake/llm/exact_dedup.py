@@ -9,6 +9,8 @@ kept apart.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import shared
 
-#: Entries of a memtable, and bits of the filter of hits (its size whatever the input: 8 MB).
-MEMTABLE, FILTER_BITS = 200_000, 1 << 26
+#: Entries of a memtable, and the least and most bits of the filter of hits: 16 for each hit in between, at most 16 MB.
+MEMTABLE, FILTER_LEAST, FILTER_MOST = 200_000, 1 << 20, 1 << 27
 _PROBES = 4
 
 
@@ -86,15 +88,30 @@ class DigestIndex:
         self.runs, self.level = [], level
         return self.spark.read.parquet(level)
 
+    def find(self, digests: list[str]) -> DataFrame:
+        """The entries of a few digests in the runs and the level, the first-ranking one a run; files whose filters rule them out are skipped.
+
+        Ten digests at a time, as more would be pushed into the files as a mere range.
+        """
+        parts = [*self.runs, *([self.level] if self.level else [])]
+        rows = self.spark.read.parquet(*parts)
+        some = [rows.where(F.col("digest").isin(digests[k : k + 10])) for k in range(0, len(digests), 10)] or [rows.limit(0)]
+        return reduce(DataFrame.unionByName, some)
+
+
+def _hit_filter(level: DataFrame, bits: int | None) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the digests with several documents, and its bits (from their count where None): built by partial aggregation, at most bits / 64 rows reach the driver.
 
-def _hit_filter(level: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of the digests with several documents, ``bits`` in size: built by partial aggregation, at most bits / 64 rows reach the driver."""
+    Of more hits than it is large for, it lets through more that are none: they are shuffled and compared too, and no result changes.
+    """
+    if bits is None:
+        bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (16 * level.where("copies > 1").count()).bit_length()))
     places = F.explode(F.array(*(F.pmod(F.xxhash64("digest", F.lit(k)), F.lit(bits)) for k in range(_PROBES)))).alias("place")
     words = level.where("copies > 1").select(places).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     filled = np.zeros(bits // 64, np.int64)
     filled[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64)
-    return filled.view(np.uint64)
+    return filled.view(np.uint64), bits
 
 
 def _in_filter(filled: np.ndarray, bits: int):
@@ -111,7 +128,7 @@ def _in_filter(filled: np.ndarray, bits: int):
     return may(*(F.pmod(F.xxhash64("digest", F.lit(k)), F.lit(bits)) for k in range(_PROBES)))
 
 
-def _indexed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, memtable: int, filter_bits: int):
+def _indexed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, memtable: int, filter_bits: int | None):
     """(log, level, hits, filter): the logged rows, the compacted index with verified variants, and what finds its hits."""
     spark = docs.sparkSession
     text = shared.text_of(text_col)
@@ -121,7 +138,7 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, mem
     index = DigestIndex(spark, shared.shared_path(spark, "digest-runs"), memtable)
     index.append(log)
     level = index.compact()
-    filled = _hit_filter(level, filter_bits)
+    filled, filter_bits = _hit_filter(level, filter_bits)
 
     # byte verification: the distinct normalised texts of each hit; copies meet in the map-side aggregation
     plain = docs.select(normalised(text).alias("plain"))
@@ -136,10 +153,10 @@ def _indexed(docs: DataFrame, id_col: str, text_col: str, digest_chars: int, mem
         index = DigestIndex(spark, shared.shared_path(spark, "digest-runs"), memtable)
         index.append(log)
         level = index.compact()
-    return log, level, variants, filled
+    return log, level, variants, (filled, filter_bits)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, memtable: int = MEMTABLE, filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_chars: int = 64, memtable: int = MEMTABLE, filter_bits: int | None = None) -> DataFrame:
     """One row per document, dropped ones too: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when the same after deleting space and the controls 9-13; a null text is empty. Of equal
@@ -154,19 +171,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return log.join(best, ["digest", "variant"]).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of equal texts, chosen as in :func:`exact_dedup`, all columns as they were.
 
-    Rows outside the filter of hits stay where they are; only hits are shuffled. Columns of any name may be there.
+    Rows outside the filter of hits stay where they are. Of the others each task first keeps the row that ranks first of
+    each digest, so a group of copies moves no more rows than there are tasks; the index then says which of these stays.
+    Rows repeated with one id and text, null ids, null and empty texts and columns of any name may be there; an empty
+    table gives an empty result.
     """
-    _, level, variants, filled = _indexed(docs, id_col, text_col, 64, MEMTABLE, filter_bits)
+    _, level, _, (filled, bits) = _indexed(docs, id_col, text_col, 64, MEMTABLE, filter_bits)
     text = shared.text_of(text_col)
-    held = docs.select(F.struct("*").alias("held"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n"), F.sha2(F.encode(normalised(text), "UTF-8"), 256).alias("digest"))
-    held = held.withColumn("may", _in_filter(filled, filter_bits))
+    held = docs.select(F.struct("*").alias("held"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n"), F.xxhash64(text).alias("h"), F.sha2(F.encode(normalised(text), "UTF-8"), 256).alias("digest"))
+    held = held.withColumn("may", _in_filter(filled, bits))
     alone, hits = held.where("not may"), held.where("may")
+    first = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), "id", "h"))
+    firsts = hits.groupBy("digest").agg(first.alias("first"), F.min_by("held", F.struct(-F.col("n"), F.col("id").isNull(), "id", "h")).alias("held"))
     best = level.where("copies > 1").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("keep_n"))
-    joined = hits.join(best, "digest", "left").where(F.col("keep_n").isNull() | ((F.col("n") == F.col("keep_n")) & F.col("id").eqNullSafe(F.col("keep_id"))))
-    once = joined.dropDuplicates(["digest", "id", "n"])  # repeated rows
+    joined = firsts.join(best, "digest", "left")
+    once = joined.where(F.col("keep_n").isNull() | ((-F.col("first.n") == F.col("keep_n")) & F.col("first.id").eqNullSafe(F.col("keep_id"))))
     return alone.select("held.*").unionByName(once.select("held.*"))
 
 
