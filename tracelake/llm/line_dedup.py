@@ -153,7 +153,7 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
         pairs = pairs.unionByName(more)
     pairs = shared.stored(pairs.distinct(), "line-pairs")
     ids = pairs.select(F.explode(F.array("x", "y")).alias("line_id")).distinct()
-    texts = shared.stored(lines.select("line_id", "line").join(ids, "line_id", "left_semi"), "paired-lines").toDF("x", "x_line")
+    texts = shared.stored(lines.select("line_id", "line").join(ids.hint("merge"), "line_id", "left_semi"), "paired-lines").toDF("x", "x_line")
     both = pairs.join(texts, "x").join(texts.toDF("y", "y_line"), "y")
     # a probing line is one code point longer than an indexed one
     both = without_ends(both, "x_line", "y_line")
