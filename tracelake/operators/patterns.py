@@ -180,6 +180,19 @@ def sessions(log: DataFrame, gap_ms: int = 3_600_000) -> DataFrame:
     return rows.groupBy("case_id").agg((F.count_if("new") + 1).alias("sessions"))
 
 
+def stream_sessions(log: DataFrame, gap_ms: int = 3_600_000) -> DataFrame:
+    """(sessions): 1 and the gaps over ``gap_ms`` between all events in order of time, whatever their case; 0 without a timed event.
+
+    Gaps are counted within each hour, and between the last and first events of hours that follow one another, one row an hour.
+    """
+    rows = log.where("ts_ms is not null").select("ts_ms", F.floor(F.col("ts_ms") / 3_600_000).alias("hour"))
+    gap = F.col("ts_ms") - F.lag("ts_ms").over(Window.partitionBy("hour").orderBy("ts_ms"))
+    hours = rows.withColumn("wide", gap > gap_ms).groupBy("hour").agg(F.count_if("wide").alias("inside"), F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+    between = F.col("first") - F.lag("last").over(Window.orderBy("hour")) > gap_ms
+    found = hours.withColumn("between", between).agg(F.count("*").alias("hours"), (F.coalesce(F.sum("inside"), F.lit(0)) + F.count_if("between")).alias("gaps"))
+    return found.select(F.when(F.col("hours") > 0, F.col("gaps") + 1).otherwise(0).cast("long").alias("sessions"))
+
+
 def precedes(log: DataFrame) -> DataFrame:
     """(source, target, share): events of source before the last of target, over the product of both counts; case ids are not read."""
     last = log.groupBy("activity").agg(F.max("ts_ms").alias("last"), F.count("*").alias("n"))

@@ -47,6 +47,7 @@ QUERIES = {
     "activity_frequencies_noise": lambda s, d: P.activity_frequencies(DAY(s, d), 0.2),
     "batches": lambda s, d: P.batches(logs.day_log(s, d)),
     "sessions": lambda s, d: P.sessions(USER(s, d)),
+    "stream_sessions": lambda s, d: P.stream_sessions(DAY(s, d), 240_000),
     "correlation_precedes": lambda s, d: P.precedes(DAY(s, d)),
 }
 
@@ -108,5 +109,6 @@ ORACLES = {
     "activity_frequencies_noise": on("day", "SELECT activity, n, cases FROM (SELECT *, sum(cases) OVER (PARTITION BY activity ORDER BY cases DESC, n ROWS UNBOUNDED PRECEDING) - cases AS before, sum(cases) OVER (PARTITION BY activity) AS total FROM (SELECT activity, n, count(*) AS cases FROM (SELECT a.activity, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT activity FROM log) a CROSS JOIN (SELECT DISTINCT case_id FROM log) c LEFT JOIN seen s ON s.case_id = c.case_id AND s.activity = a.activity) GROUP BY ALL)) WHERE before < (1 - 0.2::DOUBLE) * total", SEEN),
     "batches": on("day", "SELECT activity, min(s) AS start_s, count(DISTINCT case_id) AS cases, count(*) AS events, CASE WHEN min(s) = max(s) THEN 'parallel' WHEN count(*) >= 5 THEN 'disruptive' ELSE 'concurrent' END AS kind FROM islands GROUP BY activity, island HAVING count(DISTINCT case_id) >= 2", _ISLANDS),
     "sessions": on("user", "SELECT case_id, count(*) FILTER (g > 3600000) + 1 AS sessions FROM (SELECT case_id, ts_ms - lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx) AS g FROM log) GROUP BY 1"),
+    "stream_sessions": on("day", "SELECT count(*) FILTER (g > 240000) + 1 AS sessions FROM (SELECT ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms) AS g FROM log)"),
     "correlation_precedes": on("day", "SELECT x.activity AS source, y.activity AS target, round(count(*) / (any_value(x.n) * any_value(y.n)), 12) AS share FROM (SELECT activity, ts_ms, count(*) OVER (PARTITION BY activity) AS n FROM log) x JOIN (SELECT activity, max(ts_ms) AS m, count(*) AS n FROM log GROUP BY 1) y ON x.ts_ms < y.m GROUP BY 1, 2"),
 }
