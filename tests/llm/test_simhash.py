@@ -176,6 +176,6 @@ def test_near_copies_of_a_large_loose_group(spark):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     assert 20 < len(set(root.values())) < 130
-    for block in (1 << 20, 5000):
+    for block in (1 << 21, 5000):
         stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA), block=block).collect()]
         assert sorted(stay) == sorted(set(root.values())), block

@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from tracelake.llm import shared
 from tracelake.llm.components import components
@@ -210,6 +209,10 @@ def first_links(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return shared.stored(verified(best, sets, "r", "lead", similarity), "similar")
 
 
+#: Shingles that the sets of one block's comparisons hold at a time.
+_SETS = 500_000
+
+
 def _compared(similarity: float, least_bands: int):
     """What compares the members of one block, see :func:`block_links`: a table of them to one of links (r, lead)."""
 
@@ -240,7 +243,18 @@ def _compared(similarity: float, least_bands: int):
             return x
 
         sets: dict[int, set] = {}
-        of = lambda k: sets[k] if k in sets else sets.setdefault(k, set(values[ends[k] : ends[k + 1]].tolist()))
+        room = _SETS
+
+        def of(k: int) -> set:
+            nonlocal room
+            if k not in sets:
+                if room < 0:
+                    sets.clear()
+                    room = _SETS
+                room -= ends[k + 1] - ends[k]
+                sets[k] = set(values[ends[k] : ends[k + 1]].tolist())
+            return sets[k]
+
         links = []
         for _, i, j in sorted(near):
             x, y = top(int(root[i])), top(int(root[j]))
@@ -255,29 +269,30 @@ def _compared(similarity: float, least_bands: int):
 def block_links(alive: DataFrame, roots: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int) -> DataFrame:
     """(r, lead): links of this similarity or more, as many as join up all members of ``alive`` (bucket, band, r, n) that are alike but not of one root yet.
 
-    Buckets of one root are done. Of any other, the members of its first member's root and the rest are cut by hash into
-    chunks of some ``block`` shingles (a member counts a thousand more), and every chunk meets the chunks of the rest, each two in a
+    Buckets of one root are done, and any other of up to ``block`` shingles (a member counts 500 more) is one block. In a
+    larger one the members of its first member's root and the rest are cut by hash into
+    chunks of that size, and every chunk meets the chunks of the rest, each two in a
     block of their own. A block holds its members' sets, skips pairs of one root, and gives no more links than join its members; so
     no pair that is not alike ever becomes a row, and what is not alike costs the square of its number, not of the group's.
     """
     rooted = alive.join(roots, "r", "left").withColumn("root", F.coalesce("root", "r"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "r").alias("lead_root")).where("low < high").select("bucket", "lead_root")
     rows = shared.stored(rooted.join(mixed, "bucket").withColumn("rest", F.col("root") != F.col("lead_root")).drop("lead_root"), "mixed-buckets")
-    weight = F.col("n") + F.lit(1000)
+    weight = F.col("n") + F.lit(500)
     size = lambda rest: F.ceil(F.sum(F.when(F.col("rest") == rest, weight)) / block).cast("int")
-    sizes = rows.groupBy("bucket").agg(size(False).alias("firsts"), size(True).alias("rests"))
+    sizes = rows.groupBy("bucket").agg(size(False).alias("firsts"), size(True).alias("rests"), (F.sum(weight) <= block).alias("small"))
     rows = rows.join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("r"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("firsts"))).cast("int"))
     pair = lambda within, i, j, side: F.struct(within.alias("within"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     no, chunk = F.lit(False), F.col("chunk")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     first = F.transform(upto("rests"), lambda j: pair(no, -1 - chunk, j, F.lit(0)))
     rest = F.concat(F.transform(upto("firsts"), lambda i: pair(no, -1 - i, chunk, F.lit(1))), F.transform(upto("rests"), lambda k: pair(k == chunk, F.least(k, chunk), F.greatest(k, chunk), chunk < k)))
-    placed = rows.select("bucket", "band", "r", "n", "root", F.explode(F.when(F.col("rest"), rest).otherwise(first)).alias("p")).select("bucket", "band", "r", "n", "root", "p.*")
+    placed = rows.select("bucket", "band", "r", "n", "root", F.explode(F.when(F.col("small"), F.array(pair(F.lit(True), F.lit(0), F.lit(0), F.lit(0)))).when(F.col("rest"), rest).otherwise(first)).alias("p")).select("bucket", "band", "r", "n", "root", "p.*")
     members = placed.join(features, "r")
     return members.groupBy("bucket", "i", "j").applyInArrow(_compared(similarity, least_bands), "r long, lead long")
 
 
-def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int = 1 << 20) -> DataFrame:
+def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int = 1 << 21) -> DataFrame:
     """(node, root) of the components of the pairs of ``alive`` (bucket, band, r, n) that share ``least_bands`` buckets and have this similarity or more.
 
     A first comparison for every member joins most copies; :func:`block_links` finds what joins the rest. ``features``: r, bands, set.
@@ -288,7 +303,7 @@ def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_b
     return components(found.unionByName(more), "r", "lead").select(F.col("node").alias("r"), "root")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, least_bands: int = 3, block: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, least_bands: int = 3, block: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, stay): stay = true for the smallest document (id and the hash h of its text) of each group that links reach.
 
     Documents meet when ``rows`` min-hashes agree in ``least_bands`` of ``bands`` bands. At a similarity of 0.8 a pair agrees in
