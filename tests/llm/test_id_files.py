@@ -56,6 +56,30 @@ def test_orc_round_trip(spark, tmp_path):
     assert offsets(read_orc(spark, str(tmp_path / "b")).select("id", "file", "place", "ids")).count() == 0
 
 
+def test_orc_metadata_and_skipped_rows(spark, tmp_path):
+    data = [(k, "some words " * (k % 5), "x", 1) for k in range(9_000)]
+    write_orc(spark.createDataFrame(data, SCHEMA), str(tmp_path / "m"), partitions=2)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = 0
+    for file in (tmp_path / "m").glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1_000 and "ZSTD" in str(reader.getCompressionKind())
+        rows += reader.getNumberOfRows()
+        scan = reader.rows()
+        for stripe in reader.getStripes():
+            streams = [(str(x.getKind()), x.getColumn()) for x in scan.readStripeFooter(stripe).getStreamsList()]
+            assert any(kind.startswith("BLOOM_FILTER") and column == 1 for kind, column in streams) and ("ROW_INDEX", 1) in streams
+        scan.close()
+    assert rows == len(data)
+    # a reader of one id is given its row group alone, or a few at most
+    wanted = read_orc(spark, str(tmp_path / "m")).where("id = 4321")
+    query = wanted._jdf.queryExecution()
+    assert [r.id for r in wanted.collect()] == [4321]
+    leaves = query.executedPlan().collectLeaves()
+    read = [leaves.apply(k).metrics().get("numOutputRows").get().value() for k in range(leaves.size())]
+    assert sum(read) <= 1_000, read
+
+
 def test_cuts():
     for n in range(1, 5000):
         lengths = cuts(n)

@@ -2,6 +2,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import xxhash
@@ -96,3 +97,12 @@ def test_every_trusted_document_counts(spark):
     known = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     # all documents are trusted, so target and raw counts are the same
     assert quality(df, known).where("score <> 0").count() == 0
+
+
+def test_a_filter_on_the_result_works_nothing_out_again(spark):
+    rows = [(1, " ".join("w%d" % k for k in range(30_000)), "x", 1), (2, "short", "x", 1)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    began = time.time()
+    assert [r.doc_id for r in quality(docs, labels).where("kept and n_words > 20").collect()] == [1]
+    assert time.time() - began < 120  # it grew with the square of the words

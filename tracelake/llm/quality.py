@@ -118,7 +118,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
     """
     table = weights(docs, labels, id_col, text_col)
     rows = measures(docs.select(F.col(id_col).alias("id"), shared.text_of(text_col).alias("text")), table, threshold)
-    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    # through a generator of one row, below which a later filter on these columns is not moved
+    return rows.select(F.col("id").alias(id_col), F.inline_outer(F.array(found)))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
