@@ -241,10 +241,11 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRED
     text = shared.text_of(text_col)
     rows = docs.select(F.col(id_col).alias("own_id"), text.alias("own_text"), F.xxhash64(text).alias("own_h"))
     rows = rows.join(dropped.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h")), "left")
-    split = F.split("own_text", "\n")
-    n_lines = F.size(F.filter(split, lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
-    staying = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "going")
-    left = F.array_join(F.transform(staying, lambda i: F.get(split, i)), "\n")
+    # through a generator of one row: within the lambdas the lines would else be split anew for each of them
+    rows = rows.select("*", F.explode(F.array(F.split("own_text", "\n"))).alias("lines"))
+    n_lines = F.size(F.filter("lines", lambda line: F.btrim(line, F.lit(BLANKS)) != ""))
+    staying = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "going")
+    left = F.array_join(F.transform(staying, lambda i: F.get("lines", i)), "\n")
     count = lambda name: F.coalesce(F.size(name), F.lit(0)).cast("long").alias
     return rows.select(F.col("own_id").alias(id_col), F.when(F.col("going").isNull(), F.col("own_text")).otherwise(left).alias("text"), n_lines.cast("long").alias("n_lines"), count("going")("n_dropped"), count("near")("n_near"))
 
