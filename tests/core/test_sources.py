@@ -74,7 +74,8 @@ def test_object_log(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc))
     log = objects.read_json(spark, str(tmp_path / "a.json"))
     objects.write_json(log, str(tmp_path / "w"), rows=1)
-    for read in (log, objects.read_json(spark, str(tmp_path / "w"))):
+    (tmp_path / "long.json").write_text(json.dumps(doc, indent=2))
+    for read in (log, objects.read_json(spark, str(tmp_path / "long.json"), multi_line=True), objects.read_json(spark, str(tmp_path / "w"))):
         assert sorted((r.event_id, r.activity, r.ts_ms, r.attributes) for r in read.events.collect()) == [("e1", "Create", 1577872800000, {"cost": "5", "who": "x"}), ("e2", "Pay", 1577876400000, {})]
         assert sorted((r.object_id, r.type, r.attributes) for r in read.objects.collect()) == [("o1", "order", {"total": "9"}), ("o2", "order", {})]
         assert sorted(map(str, (tuple(r) for r in read.relations.collect()))) == sorted(map(str, [("e1", "o1", "q"), ("e2", "o1", None)]))

@@ -33,14 +33,14 @@ def _attributes(row: Column, own: tuple[str, ...]) -> Column:
     return F.map_concat(F.map_filter(every, lambda k, _: ~k.isin(*own, "attributes") & ~F.map_contains_key(nested, k)), nested)
 
 
-def read_json(spark: SparkSession, path: str) -> ObjectLog:
+def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> ObjectLog:
     """JSON lines, each a document with ``events``, ``objects``, ``relations``, and ``o2o`` and ``e2e`` links where there are any.
 
     A line is read by one task, so a large log is written as many lines, see :func:`write_json`. Keys of events and objects
-    beyond their own are attributes. A single document over several lines has to be folded into one line first.
+    beyond their own are attributes. With ``multi_line`` each file is one document, over as many lines as it likes, read by one task.
     """
     schema = f"events array<string>, objects array<string>, relations array<struct<event_id:string,object_id:string,qualifier:string>>, o2o array<struct<{_LINK}>>, e2e array<struct<{_LINK}>>"
-    doc = spark.read.schema(schema).json(path)
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     value = lambda key: F.get_json_object("row", f"$.{key}")
     events = doc.select(F.explode("events").alias("row")).select(value("id").alias("event_id"), value("activity").alias("activity"), parsed_millis(value("timestamp")).alias("ts_ms"), _attributes(F.col("row"), _OWN["event"]).alias("attributes"))
     objects = doc.select(F.explode("objects").alias("row")).select(value("id").alias("object_id"), value("type").alias("type"), _attributes(F.col("row"), _OWN["object"]).alias("attributes"))

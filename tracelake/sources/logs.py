@@ -146,10 +146,11 @@ def write_csv_log(log: DataFrame, path: str) -> None:
 _JSON_LOG = "traces array<struct<case_id:string,events:array<struct<name:string,timestamp:string,lifecycle:string,attributes:map<string,string>>>>>"
 
 
-def read_json_log(spark: SparkSession, path: str) -> DataFrame:
+def read_json_log(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """JSON lines, each with ``traces`` of a case_id and events (name, timestamp, lifecycle, attributes). A document is read by one
-    task, so a large log is many documents; the parts of a case that several hold follow one another."""
-    rows = spark.read.schema(_JSON_LOG).json(path).withColumn("doc", F.monotonically_increasing_id())
+    task, so a large log is many documents; the parts of a case that several hold follow one another. With ``multi_line`` a
+    file is one document."""
+    rows = spark.read.schema(_JSON_LOG).option("multiLine", multi_line).json(path).withColumn("doc", F.monotonically_increasing_id())
     rows = rows.select("doc", F.posexplode("traces").alias("nth", "trace")).select("doc", "nth", "trace.case_id", F.posexplode("trace.events").alias("place", "event"))
     own = F.coalesce(F.col("event.attributes"), F.create_map().cast("map<string,string>"))
     lifecycle = F.when(F.col("event.lifecycle").isNotNull() & ~F.coalesce(F.map_contains_key(own, "lifecycle:transition"), F.lit(False)), F.map_concat(own, F.create_map(F.lit("lifecycle:transition"), F.col("event.lifecycle")))).otherwise(own)
