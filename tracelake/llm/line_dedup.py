@@ -88,13 +88,13 @@ def _halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
 def _entries(line: Column, chars: Column, windows: list[tuple[Column, Column]], more: int) -> Column:
     """An array: the index entries (``more`` = 0) or probes (1) of a line for both halves of windows (start, width).
 
-    ``a`` and ``b`` are hashes of what the entry's own window has before and after its middle: linked lines of a bucket agree in one of them.
+    ``a`` and ``b`` are short hashes (they only spare comparisons) of what the entry's own window has before and after its middle: linked lines of a bucket agree in one of them.
     """
 
     def entry(start: Column, width: Column) -> Column:
         low = F.floor(width / 2).cast("int")
         inside = F.substring(line, start + 1, width + more)
-        a, b = F.xxhash64(F.substring(inside, F.lit(1), low)), F.xxhash64(F.substring(inside, low + more + 1, width - low))
+        a, b = F.hash(F.substring(inside, F.lit(1), low)), F.hash(F.substring(inside, low + more + 1, width - low))
         return F.struct(_key(line, chars, start, width, more).alias("key"), F.lit(more == 0).alias("indexed"), start.alias("start"), width.alias("width"), a.alias("a"), b.alias("b"))
 
     return F.array(*(entry(s, w) for window in windows for s, w in _halves(*window)))
