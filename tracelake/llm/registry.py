@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelake.llm.bpe_codec import op7_bpe_codec
+from tracelake.llm.collocations import OP11_SQL, op11_collocations
 from tracelake.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tracelake.llm.license_scan import op10_license_scan
 from tracelake.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op11_collocations": OP11_SQL,
 }
