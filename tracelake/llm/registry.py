@@ -11,6 +11,7 @@ from tracelake.llm.orc_tokens import op4_orc_tokens
 from tracelake.llm.packing import op2_packing
 from tracelake.llm.quality import op6_quality
 from tracelake.llm.simhash import op5_simhash
+from tracelake.llm.spelling import OP13_SQL, op13_spelling
 from tracelake.llm.token_counts import op3_token_counts
 from tracelake.llm.toxicity import op8_toxicity
 
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op9_line_dedup": OP9_SQL,
     "op11_collocations": OP11_SQL,
+    "op13_spelling": OP13_SQL,
 }
