@@ -14,6 +14,7 @@ from tracelake.llm.simhash import op5_simhash
 from tracelake.llm.spelling import OP13_SQL, op13_spelling
 from tracelake.llm.token_counts import op3_token_counts
 from tracelake.llm.toxicity import op8_toxicity
+from tracelake.llm.url_filters import OP12_SQL, op12_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op12_url_filter": op12_url_filter,
     "op13_spelling": op13_spelling,
 }
 
@@ -34,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op9_line_dedup": OP9_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_url_filter": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
