@@ -188,15 +188,37 @@ def _pairs(encoded: DataFrame) -> DataFrame:
     return encoded.select("block", "codes").mapInArrow(run, _COUNTED)
 
 
+_PACKED = "block long, keys binary, counts binary"
+#: Keys that a task gathers before it passes them on, a row for each block.
+_GATHERED = 200_000
+
+
+def _by_block(keys: list[np.ndarray], blocks: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each block with its keys one after the other."""
+    keys, blocks = np.concatenate(keys), np.concatenate(blocks)
+    order = np.argsort(blocks, kind="stable")
+    keys, blocks = keys[order], blocks[order]
+    first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    held = [keys[a:b].tobytes() for a, b in zip(first, [*first[1:], len(keys)])]
+    return pa.RecordBatch.from_arrays([pa.array(blocks[first]), pa.array(held, pa.binary()), pa.nulls(len(held), pa.binary())], ["block", "keys", "counts"])
+
+
+def _sums(keys: list[bytes], sums: list[np.ndarray]) -> pa.RecordBatch:
+    """One row, without a block: keys and how often each stands in the corpus."""
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([b"".join(keys)], pa.binary()), pa.array([np.concatenate(sums).astype("<i8").tobytes()], pa.binary())], ["block", "keys", "counts"])
+
+
 def _frequent(counted: DataFrame, n: int, least: int) -> DataFrame:
-    """The rows (key, block, n) of ``counted`` whose key sums up to ``least`` or more, by range partition, sort and run lengths.
+    """The keys of ``counted`` (key, block, n) that sum up to ``least`` or more, by range partition, sort and run lengths.
 
-    Tasks pass on the rows of a run once its sum is known to be enough: they hold fewer than ``least`` of them at a time.
+    Rows are (block, keys, counts): what each block holds of them, packed; and without a block, keys with their sums. A run's rows
+    are passed on once its sum is known to be enough, so a task holds fewer than ``least`` of them.
     """
     width = n * ID.itemsize
 
     def run(batches):
-        last, held, total = None, [], 0  # the run that may go on: its key, its rows not passed on yet, its sum so far
+        last, held, total = b"", [], 0  # the run that may go on: its key, its rows not passed on yet, the sum of those that were
+        keys, blocks, rows, whole, sums = [], [], 0, [], []
         for batch in batches:
             if held:
                 batch = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
@@ -204,20 +226,52 @@ def _frequent(counted: DataFrame, n: int, least: int) -> DataFrame:
             if not m:
                 continue
             data = batch.column(0)
-            start = data.offset
-            offsets = np.frombuffer(data.buffers()[1], np.int32)[start : start + 2]
-            raw = np.frombuffer(data.buffers()[2], np.uint8, m * width, int(offsets[0])).reshape(m, width)
+            start = int(np.frombuffer(data.buffers()[1], np.int32)[data.offset])
+            raw = np.frombuffer(data.buffers()[2], np.uint8, m * width, start).reshape(m, width)
             first = np.flatnonzero(np.append(True, (raw[1:] != raw[:-1]).any(axis=1)))
-            sums = np.add.reduceat(batch.column(2).to_numpy(), first)
+            here = np.add.reduceat(batch.column(2).to_numpy(), first)
             if last == raw[0].tobytes():
-                sums[0] += total  # of rows that were passed on; held rows are in the batch again
-            keep = np.repeat(sums >= least, np.diff(np.append(first, m)))
+                here[0] += total  # held rows are in the batch again
+            elif total:
+                whole.append(last)
+                sums.append(np.array([total]))
+            enough = here >= least
+            if enough.any():
+                keep = np.repeat(enough, np.diff(np.append(first, m)))
+                keys.append(raw[keep])
+                blocks.append(batch.column(1).to_numpy()[keep])
+                rows += int(keep.sum())
+                ended = enough.copy()
+                ended[-1] = False
+                whole.append(raw[first[ended]].tobytes())
+                sums.append(here[ended])
             last = raw[-1].tobytes()
-            held, total = ([], int(sums[-1])) if sums[-1] >= least else ([batch.slice(int(first[-1]))], 0)
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+            held, total = ([], int(here[-1])) if enough[-1] else ([batch.slice(int(first[-1]))], 0)
+            if rows >= _GATHERED:
+                yield _by_block(keys, blocks)
+                yield _sums(whole, sums)
+                keys, blocks, rows, whole, sums = [], [], 0, [], []
+        if total:
+            whole.append(last)
+            sums.append(np.array([total]))
+        if rows:
+            yield _by_block(keys, blocks)
+        if sums:
+            yield _sums(whole, sums)
+
+    return counted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _PACKED)
+
+
+def _sums_of(packed: DataFrame, n: int) -> DataFrame:
+    """(key, words, f) of the keys of ``n`` words with their sums."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                f = np.frombuffer(counts, "<i8")
+                yield pa.RecordBatch.from_arrays([_binary(np.frombuffer(keys, ID).reshape(len(f), n)), pa.array(np.full(len(f), n, np.int32)), pa.array(f)], ["key", "words", "f"])
 
-    return counted.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, _COUNTED)
+    return packed.where("block is null").select("keys", "counts").mapInArrow(run, "key binary, words int, f long")
 
 
 def _longer(encoded: DataFrame, frequent: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +284,7 @@ def _longer(encoded: DataFrame, frequent: DataFrame, n: int) -> tuple[DataFrame,
         rows = []
         if codes.num_rows and grams.num_rows:
             numbers = _numbers(codes.column("codes")[0].as_py())
-            held = np.frombuffer(b"".join(grams.column("key").to_pylist()), f"S{n * ID.itemsize}")
+            held = np.frombuffer(b"".join(grams.column("keys").to_pylist()), f"S{n * ID.itemsize}")
             whole = np.ones(max(len(numbers) - n + 1, 0), bool)
             for k in range(n):
                 whole &= numbers[k : k + len(whole)] > 0
@@ -251,7 +305,7 @@ def _longer(encoded: DataFrame, frequent: DataFrame, n: int) -> tuple[DataFrame,
             rows.append((_squeezed(kept[slim]), np.packbits(begins[slim]).tobytes()))
         return pa.table({"block": codes.column("block").slice(0, len(rows)), "codes": pa.array([r[0] for r in rows], pa.binary()), "begins": pa.array([r[1] for r in rows], pa.binary())})
 
-    sides = encoded.select("block", "codes").groupBy("block").cogroup(frequent.select("block", "key").toDF("home", "key").groupBy("home"))
+    sides = encoded.select("block", "codes").groupBy("block").cogroup(frequent.where("block is not null").select("block", "keys").toDF("home", "keys").groupBy("home"))
     slim = shared.stored(sides.applyInArrow(cut, "block long, codes binary, begins binary"), "spans")
 
     def run(batches):
@@ -315,7 +369,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     shared.release(held)
     grams = dictionary.select(F.unhex(F.lpad(F.hex("id"), 2 * ID.itemsize, "0")).alias("key"), F.lit(1).alias("words"), F.col("n").alias("f"))
     for words, level in enumerate(levels, 2):
-        grams = grams.unionByName(level.groupBy("key").agg(F.sum("n").alias("f")).select("key", F.lit(words).alias("words"), "f"))
+        grams = grams.unionByName(_sums_of(level, words))
     grams = shared.stored(grams, "grams")
     for level in levels:
         shared.release(level)
