@@ -28,6 +28,29 @@ def test_like_the_library(parts):
     assert bpe.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point():
+    """Between two letters, so that the character's class decides where words end."""
+    bpe = word_bpe(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k in range(0, len(points), 50_000):
+        texts = [f"a{chr(c)}b" for c in points[k : k + 50_000]]
+        for text, encoding in zip(texts, LIBRARY.encode_batch_fast(texts, add_special_tokens=False)):
+            assert bpe.encode(text) == encoding.ids, ascii(text)
+            assert bpe.count(text) == len(encoding.ids), ascii(text)
+
+
+#: The beginnings of blocks of many scripts, with marks that join to letters.
+SCRIPTS = [0x20, 0x41, 0xC0, 0x300, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0xB80, 0xE00, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x2080, 0x2100, 0x3000, 0x3040, 0x4E00, 0xA7C0, 0xAC00, 0xFB00, 0xFF00, 0x10400, 0x10D50, 0x18D80, 0x1F600, 0xE0000]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(SCRIPTS).flatmap(lambda c: st.integers(c, c + 0x6F)).map(chr), st.characters(exclude_categories=["Cs"])), max_size=40).map("".join))
+def test_mixed_scripts(text):
+    ids = LIBRARY.encode(text, add_special_tokens=False).ids
+    bpe = word_bpe(PATH)
+    assert bpe.encode(text) == ids and bpe.count(text) == len(ids)
+
+
 @pytest.fixture
 def docs(spark):
     return spark.createDataFrame([(None if k == 3 else k % 9, t, k, "clash") for k, t in enumerate(TEXTS)], SCHEMA)

@@ -3,12 +3,16 @@
 A word is a doubly linked list of symbols. A heap holds the ranks of adjacent pairs; the lowest rank
 (leftmost first) is merged, its two new neighbours are pushed, and entries whose symbols have changed
 since are skipped when popped. Each word is worked out once and remembered in a bounded memo.
+
+Folding and cutting into words are done here for Latin letters, digits and marks, whose tables are the same in every version of
+Unicode. Runs between white space with any other character are folded and cut by the library's own normaliser and pre-tokeniser; merging is always done here.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import os
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -17,6 +21,9 @@ import numpy as np
 import regex
 
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Characters whose class, lower case and normal form are the same by every version of the Unicode tables:
+#: up to Latin Extended-A, and the marks from hyphen to hyphenation point.
+PLAIN = re.compile("[\0-\u017f\u2010-\u2027]*").fullmatch
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
@@ -53,6 +60,11 @@ class WordBpe:
     """
 
     def __init__(self, path: str, memo: int = 100_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -66,15 +78,16 @@ class WordBpe:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self._count_of_word = Memo(self._count_word, memo)
         self._ids_of_word = Memo(self._ids_word, memo)
-        self._count_of_chunk = Memo(lambda c: sum(map(self._count_of_word.__getitem__, self.words(self._folded(c)))), memo)
-        self._ids_of_chunk = Memo(lambda c: b"".join(map(self._ids_of_word.__getitem__, self.words(self._folded(c)))), memo)
+        self._count_of_chunk = Memo(lambda c: sum(map(self._count_of_word.__getitem__, self._words(c))), memo)
+        self._ids_of_chunk = Memo(lambda c: b"".join(map(self._ids_of_word.__getitem__, self._words(c))), memo)
 
-    @staticmethod
-    def _folded(chunk: str) -> str:
-        """NFC and lower case; capital sigma is lowered without regard to its place, as the library does."""
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a run without white space, a byte's stand-in for each byte."""
+        if not (chunk.isascii() or PLAIN(chunk)):
+            return [word for word, _ in self.cut(self.normalize(chunk))]
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return chunk.lower()
+            chunk = unicodedata.normalize("NFC", chunk)
+        return ["".join([self.symbols[b] for b in w.encode("utf-8")]) for w in self.words(chunk.lower())]
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
@@ -84,7 +97,7 @@ class WordBpe:
         return self.specials.split(text) if self.specials and "<|" in text else [text]
 
     def start_symbols(self, word: str) -> list[str]:
-        symbols = [self.symbols[b] for b in word.encode("utf-8")]
+        symbols = list(word)
         symbols[-1] += self.end
         return symbols
 
@@ -116,7 +129,7 @@ class WordBpe:
         return symbols, following, merges
 
     def _count_word(self, word: str) -> int:
-        return len(word.encode("utf-8")) - self.merged(word)[2]
+        return len(word) - self.merged(word)[2]
 
     def _ids_word(self, word: str) -> bytes:
         symbols, following, _ = self.merged(word)

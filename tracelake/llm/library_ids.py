@@ -18,12 +18,7 @@ from itertools import chain
 
 import numpy as np
 
-from tracelake.llm.bpe import _SEPARATORS, _SPACE, byte_symbols
-
-#: Characters whose class, lower case and normal form are the same by every version of the Unicode tables:
-#: up to Latin Extended-A, and the marks from hyphen to hyphenation point.
-_PLAIN = re.compile("[\0-ſ‐-‧]*").fullmatch
-
+from tracelake.llm.bpe import _SEPARATORS, _SPACE, PLAIN, byte_symbols
 
 def _in_class(kind: str) -> str:
     """The plain characters of a general category, for use within square brackets."""
@@ -55,7 +50,7 @@ class LibraryIds:
     @staticmethod
     def _whole(run: str) -> bool:
         """Whether a run between white space has to go through the whole tokenizer."""
-        return "<|" in run or not (run.isascii() or _PLAIN(run))
+        return "<|" in run or not (run.isascii() or PLAIN(run))
 
     def _split(self, text: str) -> list[str]:
         """The text's words, lowered; runs for the whole tokenizer as they are."""
