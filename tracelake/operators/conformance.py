@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.alignments import aligned
+from tracelake.operators.alignments import Aligner
 from tracelake.operators.nets import Net, net_of, replayed
 from tracelake.sources.logs import traces, variants
 
@@ -113,22 +113,32 @@ def fitness_histogram(log: DataFrame, model: DataFrame, bins: int = 10) -> DataF
     return every.join(counted, "bin", "left").fillna(0, ["n"]).select("bin", (F.col("bin") / bins).alias("low"), ((F.col("bin") + 1) / bins).alias("high"), "n")
 
 
-def align(log: DataFrame, model: DataFrame, most: int = 100_000) -> DataFrame:
-    """(case_id, cost, fitness, fit, moves): a cheapest alignment of every case with a run of the model.
+def align(log: DataFrame, model: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(case_id, status, cost, bound, fitness, fit, moves): a cheapest alignment of every case with a run of the model.
 
     A move on both costs 0, on the log or a labelled transition alone 10,000, on a silent transition 1. Fitness is 1 less
-    cost over 10,000 an event, at least 0; an empty case fits; fit means cost 0. After ``most`` states the search of a
-    variant is given up: cost is null, fitness 0. ``moves`` are (log, model) with >> where one stands still.
+    cost over 10,000 an event, at least 0; an empty case fits; fit means cost 0. ``moves`` are (log, model) with >> where one stands still.
+
+    ``status`` is ``optimal``; or ``impossible`` where no run of the model ends: cost and bound are null then, fitness 0. A search of more
+    than ``most`` states is ``unfinished``: cost, fitness, fit and moves are null, and ``bound`` is what any alignment costs at least. Variants that share
+    a task share what was worked out for the net.
     """
     found = net_of(model)
 
     def run(batches):
         move = pa.struct([("log", pa.string()), ("model", pa.string())])
+        own = Aligner(found)
         for batch in batches:
-            rows = [aligned(found, acts, most) for acts in batch.column("acts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("acts"), pa.array([r and r[0] for r in rows], pa.int64()), pa.array([[{"log": a, "model": b} for a, b in r[1]] if r else None for r in rows], pa.list_(move))], ["acts", "cost", "moves"])
+            rows = [own.align(acts, most) for acts in batch.column("acts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("acts"), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([None if r[0] == "impossible" else r[2] for r in rows], pa.int64()),
+                pa.array([None if r[3] is None else [{"log": a, "model": b} for a, b in r[3]] for r in rows], pa.list_(move)),
+            ], ["acts", "status", "cost", "bound", "moves"])
 
     cases = traces(log).select("case_id", "acts")
-    made = cases.select("acts").distinct().mapInArrow(run, "acts array<string>, cost long, moves array<struct<log:string,model:string>>")
-    share = F.when(F.col("cost").isNull(), 0.0).when(F.size("acts") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("cost") / (10_000.0 * F.size("acts"))))
-    return cases.join(made, "acts").select("case_id", "cost", share.alias("fitness"), (F.coalesce("cost", F.lit(1)) == 0).alias("fit"), "moves")
+    context = log.sparkSession.sparkContext
+    # searches are long and rows are short, so variants are dealt out by number and not by size
+    made = cases.select("acts").distinct().repartition(2 * context.defaultParallelism).mapInArrow(run, "acts array<string>, status string, cost long, bound long, moves array<struct<log:string,model:string>>")
+    share = F.when(F.col("status") == "impossible", 0.0).when(F.col("status") == "unfinished", None).when(F.size("acts") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("cost") / (10_000.0 * F.size("acts"))))
+    fit = F.when(F.col("status") != "unfinished", F.coalesce(F.col("cost") == 0, F.lit(False)))
+    return cases.join(made, "acts").select("case_id", "status", "cost", "bound", share.alias("fitness"), fit.alias("fit"), "moves")

@@ -1,272 +1,92 @@
-"""Process discovery: relations are counted on executors, models are rows of a net or of a tree.
-
-The alpha miners are joins over pairs of activities. The inductive miner cuts the directly-follows relation, of at most the
-alphabet squared pairs, which alone is collected.
-"""
+"""The alpha miners: one pass over the log, then one row for each pair of activities, from which all rows of the net are read."""
 
 from __future__ import annotations
 
-from collections import deque
-from typing import Callable, Iterable, NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.follows import dfg, in_case
-from tracelake.operators.statistics import end_activities, start_activities
-
-
-def _rows(frame: DataFrame, kind: str, name: Column, label: Column | None = None, target: Column | None = None, n: int | None = None) -> DataFrame:
-    null = lambda c, t: F.lit(None).cast(t) if c is None else c
-    return frame.select(F.lit(kind).alias("kind"), name.alias("name"), null(label, "string").alias("label"), null(target, "string").alias("target"), F.lit(n).cast("int").alias("n"))
+from tracelake.operators.follows import in_case
 
+_FACTS = ("forth", "back", "start", "end", "known", "into", "out", "into_back", "out_back")
 
-def _of(activity: str) -> Column:
-    return F.concat(F.lit("t_"), F.col(activity))
 
+def _name(kind: str, *parts: Column) -> Column:
+    """A node's name: a JSON list, so that no two nodes share one whatever the activities are called."""
+    return F.to_json(F.array(F.lit(kind), *parts))
 
-def _between(frame: DataFrame, place: Column, source: str, target: str) -> list[DataFrame]:
-    return [_rows(frame, "place", place), _rows(frame, "arc", _of(source), target=place), _rows(frame, "arc", place, target=_of(target))]
-
-
-def _ends(log: DataFrame, names: DataFrame) -> list[DataFrame]:
-    """Rows of p_start and p_end and their arcs; none for an empty log."""
-    starts, ends = (side(log).select("activity").join(names, "activity", "left_semi") for side in (start_activities, end_activities))
-    any_case = log.select(F.lit(1)).limit(1)
-    start, end = F.lit("p_start"), F.lit("p_end")
-    return [
-        _rows(any_case, "place", start), _rows(any_case, "place", end), _rows(any_case, "initial", start, n=1), _rows(any_case, "final", end, n=1),
-        _rows(starts, "arc", start, target=_of("activity")), _rows(ends, "arc", _of("activity"), target=end),
-    ]
 
+def _pairs(log: DataFrame) -> DataFrame:
+    """(x, y, facts): a row for each two activities seen next to each other (x before y in order of name), and for each activity (x = y).
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
-
-
-def _two_way(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one way only, both ways) of the pairs (a, b) of different activities."""
-    apart = edges.where("source != target").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    back = apart.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return apart.join(back, ["a", "b"], "left_anti"), apart.join(back, ["a", "b"], "left_semi")
-
-
-def alpha(log: DataFrame) -> DataFrame:
-    """Rows of a net: a transition for every activity with a neighbour, a place for every pair that follows one way only.
-
-    Pairs are not merged into larger places. Arcs of activities without a neighbour are left out. See :mod:`nets` for the rows.
-    """
-    edges = dfg(log)
-    names = edges.select(F.explode(F.array("source", "target")).alias("activity")).distinct()
-    causal, _ = _two_way(edges)
-    return _union([_rows(names, "transition", _of("activity"), F.col("activity")), *_between(causal, F.concat_ws("_", F.lit("p"), "a", "b"), "a", "b"), *_ends(log, names)])
-
-
-def alpha_plus(log: DataFrame) -> DataFrame:
-    """:func:`alpha` with loops: two-way pairs share p_parallel_a_b; an activity that follows itself gets a transition
-    t_x_loop on a marked place p_loop_x; p_loop2_a_b joins a to b where b stands before a looping a and a after a looping b.
+    ``forth`` is x directly before y, ``back`` the other way; of one activity ``start`` and ``end`` say that it begins or ends a case, ``known``
+    that it has a neighbour. ``into`` and ``out`` are y before, and y after, an x that stands in a run of itself.
     """
-    edges = dfg(log)
-    looping = edges.where("source = target").select(F.col("source").alias("activity"))
-    names = edges.where("source != target").select(F.explode(F.array("source", "target")).alias("activity")).unionByName(looping).distinct()
-    causal, parallel = _two_way(edges)
-    shared = F.concat_ws("_", F.lit("p_parallel"), "a", "b")
-    loop, twin = F.concat(F.lit("p_loop_"), F.col("activity")), F.concat(F.lit("t_"), F.col("activity"), F.lit("_loop"))
     before, after = F.lag("activity").over(in_case()), F.lead("activity").over(in_case())
-    loops = (F.col("event_idx") > 0) & (F.coalesce(after == F.col("activity"), F.lit(False)) | F.coalesce(before == F.col("activity"), F.lit(False)))
-    rows = log.select("case_id", "event_idx", "activity", loops.alias("loops"), before.alias("before"), after.alias("after")).where("loops")
-    into = rows.where("before is not null").select(F.col("activity").alias("a"), F.col("before").alias("b")).distinct()
-    out = rows.where("after is not null").select(F.col("after").alias("a"), F.col("activity").alias("b")).distinct()
-    second = into.join(out, ["a", "b"], "left_semi")
-    return _union([
-        _rows(names, "transition", _of("activity"), F.col("activity")), *_between(causal, F.concat_ws("_", F.lit("p"), "a", "b"), "a", "b"), *_ends(log, names),
-        *_between(parallel, shared, "a", "b"), *_between(parallel, shared, "b", "a"),
-        _rows(looping, "transition", twin, F.concat("activity", F.lit("_loop"))), _rows(looping, "place", loop), _rows(looping, "initial", loop, n=1),
-        *(_rows(looping, "arc", a, target=b) for a, b in ((loop, twin), (twin, loop), (_of("activity"), loop), (loop, _of("activity")))),
-        *_between(second, F.concat_ws("_", F.lit("p_loop2"), "a", "b"), "a", "b"),
-    ])
-
-
-class Tree(NamedTuple):
-    """A leaf (operator None; label None where it is silent) or an operator: sequence, xor, parallel or loop (do, redo)."""
-
-    operator: str | None
-    label: str | None = None
-    children: tuple[Tree, ...] = ()
-
-    def __str__(self) -> str:
-        return f"{self.operator}({', '.join(map(str, self.children))})" if self.operator else self.label or "tau"
-
-
-class _Relation(NamedTuple):
-    edges: frozenset[tuple[str, str]]
-    starts: frozenset[str]
-    ends: frozenset[str]
-    names: tuple[str, ...]  # in order
+    rows = log.select("activity", "event_idx", before.alias("before"), after.alias("after"))
+    a = F.col("activity")
+    run = (F.col("event_idx") > 0) & (F.coalesce(F.col("after") == a, F.lit(False)) | F.coalesce(F.col("before") == a, F.lit(False)))
 
-    def only(self, group: Iterable[str]) -> _Relation:
-        held = set(group)
-        return _Relation(frozenset(e for e in self.edges if held.issuperset(e)), self.starts & held, self.ends & held, tuple(sorted(held)))
+    def fact(condition: Column, p: Column, q: Column, forth: str, back: str) -> Column:
+        swap = p > q
+        name = F.when(swap, F.lit(back)).otherwise(F.lit(forth))
+        return F.when(condition, F.struct(F.least(p, q).alias("x"), F.greatest(p, q).alias("y"), name.alias("fact")))
 
-    def reach(self, forward: bool = True) -> dict[str, set[str]]:
-        """What each activity leads to, or is reached from, over one edge or more."""
-        near: dict[str, set[str]] = {a: set() for a in self.names}
-        for a, b in self.edges:
-            near[a if forward else b].add(b if forward else a)
-        return {a: _closure(near[a], near) for a in self.names}
+    facts = F.array(
+        fact(F.col("after").isNotNull(), a, F.col("after"), "forth", "back"), fact(F.col("before").isNull(), a, a, "start", "start"), fact(F.col("after").isNull(), a, a, "end", "end"),
+        fact(F.col("after").isNotNull() | F.col("before").isNotNull(), a, a, "known", "known"),
+        fact(run & F.col("before").isNotNull(), a, F.col("before"), "into", "into_back"), fact(run & F.col("after").isNotNull(), a, F.col("after"), "out", "out_back"),
+    )
+    return rows.select(F.inline(F.array_compact(facts))).groupBy("x", "y").agg(*(F.bool_or(F.col("fact") == f).alias(f) for f in _FACTS))
 
 
-def _closure(first: Iterable[str], near: dict[str, set[str]]) -> set[str]:
-    seen, queue = set(first), deque(first)
-    while queue:
-        new = near[queue.popleft()] - seen
-        seen |= new
-        queue.extend(new)
-    return seen
+def _row(kind: str, name: Column, label: Column | None = None, target: Column | None = None, n: int | None = None) -> Column:
+    none = F.lit(None)
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), (none if label is None else label).cast("string").alias("label"), (none if target is None else target).cast("string").alias("target"), F.lit(n).cast("int").alias("n"))
 
 
-def _components(names: Iterable[str], edges: Iterable[tuple[str, str]]) -> list[set[str]]:
-    names = sorted(names)
-    near: dict[str, set[str]] = {a: set() for a in names}
-    for a, b in edges:
-        near[a].add(b)
-        near[b].add(a)
-    found: list[set[str]] = []
-    for a in names:
-        if not any(a in group for group in found):
-            found.append(_closure({a}, near))
-    return found
+def _between(place: Column, a: Column, b: Column) -> list[Column]:
+    return [_row("place", place), _row("arc", _name("do", a), target=place), _row("arc", place, target=_name("do", b))]
 
 
-def _merged(groups: list[set[str]], together: Callable[[set[str], set[str]], bool]) -> list[set[str]]:
-    """Groups joined, pass by pass, to the first earlier group that they belong together with as both stood before the pass."""
-    while True:
-        out: list[tuple[set[str], set[str]]] = []  # as before the pass, and as it grows
-        for group in groups:
-            home = next((grown for first, grown in out if together(first, group)), None)
-            if home is None:
-                out.append((group, set(group)))
-            else:
-                home |= group
-        if len(out) == len(groups):
-            return groups
-        groups = [grown for _, grown in out]
+def _net(pairs: DataFrame, rows: list[tuple[Column, list[Column]]]) -> DataFrame:
+    """Rows of a net: of every pair those whose condition holds."""
+    parts = F.array(*(F.when(condition, row) for condition, several in rows for row in several))
+    return pairs.select(F.inline(F.array_compact(parts))).distinct()
 
 
-def _sequence(r: _Relation) -> list[set[str]] | None:
-    after, before = r.reach(), r.reach(False)
-    unordered = lambda g, h: all((b in after[a]) == (a in after[b]) for a in g for b in h)
-    groups = _merged([{a} for a in r.names], unordered)
-    groups.sort(key=lambda g: len(before[min(g)]) - len(after[min(g)]))
-    leads = all(any(after[a] & later for a in earlier) for earlier, later in zip(groups, groups[1:]))
-    return groups if len(groups) > 1 and leads else None
-
-
-def _parallel(r: _Relation) -> list[set[str]] | None:
-    apart = lambda g, h: any((a, b) not in r.edges or (b, a) not in r.edges for a in g for b in h)
-    groups = _merged([{a} for a in r.names], apart)
-    groups = [g for g in groups if len(g) > 1 or g <= r.starts & r.ends] if len(groups) > 1 else []
-    return groups if len(groups) > 1 else None
-
-
-def _loop(r: _Relation) -> list[set[str]] | None:
-    body = set(r.starts | r.ends)
-    rest = set(r.names) - body
-    after, before = r.reach(), r.reach(False)
-    from_start, to_end = set().union(*(after[a] for a in r.starts)), set().union(*(before[a] for a in r.ends))
-    redo: set[str] = set()
-    for group in _components(rest, (e for e in r.edges if rest.issuperset(e))):
-        (body if group & from_start or group & to_end else redo).update(group)
-    return [body, redo] if redo and body else None
-
-
-def _mined(r: _Relation) -> Tree:
-    leaves = tuple(Tree(None, a) for a in r.names)
-    if len(leaves) < 2:
-        return leaves[0] if leaves else Tree(None)
-    if not r.edges:
-        return Tree("xor", None, leaves)
-    apart = _components(r.names, r.edges)
-    cuts: tuple[tuple[str, Callable[[], list[set[str]] | None]], ...] = (("xor", lambda: apart if len(apart) > 1 else None), ("sequence", lambda: _sequence(r)), ("parallel", lambda: _parallel(r)), ("loop", lambda: _loop(r)))
-    for operator, cut in cuts:
-        if groups := cut():
-            return Tree(operator, None, tuple(_mined(r.only(g)) for g in groups))
-    return Tree("loop", None, (Tree(None), Tree("parallel", None, leaves)))  # any order, any number of times
-
-
-def simplified(tree: Tree) -> Tree:
-    """Children of their parent's operator taken in its place, operators with one child replaced by it."""
-    if tree.operator is None:
-        return tree
-    flat = [x for child in map(simplified, tree.children) for x in (child.children if child.operator == tree.operator else (child,))]
-    return flat[0] if len(flat) == 1 else Tree(tree.operator, None, tuple(flat))
+def _alpha_rows() -> list[tuple[Column, list[Column]]]:
+    x, y, one = F.col("x"), F.col("y"), F.col("x") == F.col("y")
+    start, end = _name("begin"), _name("end")
+    return [
+        (one & F.col("known"), [_row("transition", _name("do", x), x)]),
+        (one & F.col("start"), [_row("place", start), _row("place", end), _row("initial", start, n=1), _row("final", end, n=1)]),
+        (one & F.col("start") & F.col("known"), [_row("arc", start, target=_name("do", x))]),
+        (one & F.col("end") & F.col("known"), [_row("arc", _name("do", x), target=end)]),
+        (~one & F.col("forth") & ~F.col("back"), _between(_name("then", x, y), x, y)),
+        (~one & F.col("back") & ~F.col("forth"), _between(_name("then", y, x), y, x)),
+    ]
 
 
-def inductive_tree(log: DataFrame) -> Tree:
-    """The tree of the inductive miner on the directly-follows relation. An activity's own repeats are not kept; a log has no empty cases.
+def alpha(log: DataFrame) -> DataFrame:
+    """Rows of a net: a transition for every activity with a neighbour, a place for every pair that follows one way only.
 
-    A part keeps the log's own first and last activities among its members. So a parallel part that never begins or ends a
-    case, and a loop whose redo part is reached from its body, become a loop of all their activities in any order.
+    Pairs are not merged into larger places. Arcs of activities without a neighbour are left out. See :mod:`nets` for the rows. Names
+    are JSON lists: ``["do","a"]`` and ``["then","a","b"]``, ``["begin"]`` and ``["end"]``.
     """
-    edges = frozenset((x.source, x.target) for x in dfg(log).select("source", "target").collect())
-    starts, ends = (frozenset(x.activity for x in side(log).select("activity").collect()) for side in (start_activities, end_activities))
-    return _mined(_Relation(edges, starts, ends, tuple(sorted({*starts, *ends}.union(*edges)))))
-
+    return _net(_pairs(log), _alpha_rows())
 
-def tree_rows(log: DataFrame, tree: Tree) -> DataFrame:
-    """(path, operator, label): one row a node, its path the places of its ancestors and itself among their children."""
-    rows: list[tuple[str, str | None, str | None]] = []
 
-    def walk(node: Tree, path: str) -> None:
-        rows.append((path, node.operator, node.label))
-        for k, child in enumerate(node.children):
-            walk(child, f"{path}.{k}")
-
-    walk(tree, "0")
-    return log.sparkSession.createDataFrame(rows, "path string, operator string, label string")
-
-
-def inductive(log: DataFrame) -> DataFrame:
-    return tree_rows(log, simplified(inductive_tree(log)))
-
-
-def tree_net(log: DataFrame, tree: Tree) -> DataFrame:
-    """Rows of a net with the runs of a tree: one source and one sink; silent transitions split, join, skip and repeat."""
-    rows: set[tuple[str, str, str | None, str | None, int | None]] = {("place", "source", None, None, None), ("place", "sink", None, None, None), ("initial", "source", None, None, 1), ("final", "sink", None, None, 1)}
-
-    def step(name: str, label: str | None, pre: list[str], post: list[str]) -> None:
-        rows.update({("transition", name, label, None, None), *(("arc", p, None, name, None) for p in pre), *(("arc", name, None, p, None) for p in post)})
-
-    def place(name: str) -> str:
-        rows.add(("place", name, None, None, None))
-        return name
-
-    def build(node: Tree, path: str, source: str, sink: str) -> None:
-        if node.operator is None:
-            step(f"t{path}", node.label, [source], [sink])
-        elif node.operator == "sequence":
-            between = [source, *(place(f"p{path}.{k}") for k in range(1, len(node.children))), sink]
-            for k, child in enumerate(node.children):
-                build(child, f"{path}.{k}", between[k], between[k + 1])
-        elif node.operator == "xor":
-            for k, child in enumerate(node.children):
-                build(child, f"{path}.{k}", source, sink)
-        elif node.operator == "parallel":
-            firsts, lasts = ([place(f"p{path}.{k}{side}") for k in range(len(node.children))] for side in ("a", "z"))
-            step(f"t{path}a", None, [source], firsts)
-            step(f"t{path}z", None, lasts, [sink])
-            for k, child in enumerate(node.children):
-                build(child, f"{path}.{k}", firsts[k], lasts[k])
-        else:
-            first, last = place(f"p{path}a"), place(f"p{path}z")
-            step(f"t{path}a", None, [source], [first])
-            step(f"t{path}z", None, [last], [sink])
-            build(node.children[0], f"{path}.0", first, last)
-            for k, child in enumerate(node.children[1:], 1):
-                build(child, f"{path}.{k}", last, first)
-
-    build(tree, "0", "source", "sink")
-    return log.sparkSession.createDataFrame(sorted(rows, key=str), "kind string, name string, label string, target string, n int")
+def alpha_plus(log: DataFrame) -> DataFrame:
+    """:func:`alpha` with loops: two-way pairs share the places ``["both","a","b"]`` and ``["both","b","a"]``; an activity that follows itself gets a transition
+    ``["again","a"]`` on a marked place ``["loop","a"]``; ``["short","a","b"]`` joins a to b where b stands before a repeated a, and a after a repeated b.
+    """
+    x, y, one = F.col("x"), F.col("y"), F.col("x") == F.col("y")
+    loop, again, do = _name("loop", x), _name("again", x), _name("do", x)
+    both = ~one & F.col("forth") & F.col("back")
+    return _net(_pairs(log), [
+        *_alpha_rows(),
+        (both, [*_between(_name("both", x, y), x, y), *_between(_name("both", y, x), y, x)]),
+        (one & F.col("forth"), [_row("transition", again, again), _row("place", loop), _row("initial", loop, n=1), *(_row("arc", a, target=b) for a, b in ((loop, again), (again, loop), (do, loop), (loop, do)))]),
+        (F.col("into") & F.col("out_back") | one & F.col("into") & F.col("out"), _between(_name("short", x, y), x, y)),
+        (~one & F.col("into_back") & F.col("out"), _between(_name("short", y, x), y, x)),
+    ])

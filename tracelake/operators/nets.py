@@ -2,15 +2,19 @@
 
 A net is rows (kind, name, label, target, n): ``transition`` (its label null where it is silent), ``place``, ``arc`` (from
 ``name`` to ``target``), ``initial`` and ``final`` (``n`` tokens in place ``name``). Its size follows the alphabet, not the
-log, so it is collected and sent along with the tasks that replay distinct variants.
+log, so it is collected, after a check of its size, and sent along with the tasks that replay distinct variants.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a net that goes along with tasks, and markings that a search for silent transitions looks at.
+MOST_ROWS, MOST_MARKINGS = 1_000_000, 10_000
 SCHEMA = "kind string, name string, label string, target string, n int"
 
 
@@ -41,7 +45,9 @@ class Net:
 
 def net_of(rows: DataFrame) -> Net:
     """The net of ``rows``, transitions in order of name. Arcs between nodes that are not there are left out."""
-    found = rows.collect()  # as many as the alphabet squared at most
+    found = rows.limit(MOST_ROWS + 1).collect()  # as many as the alphabet squared at most
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"a net of more than {MOST_ROWS} rows does not go along with tasks")
     of = lambda kind: [r for r in found if r.kind == kind]
     places, arcs = {r.name for r in of("place")}, sorted({(r.name, r.target) for r in of("arc")})
     transitions = (Transition(r.name, r.label, tuple(a for a, b in arcs if b == r.name and a in places), tuple(b for a, b in arcs if a == r.name and b in places)) for r in sorted(of("transition"), key=lambda r: r.name))
@@ -56,16 +62,49 @@ def net(spark: SparkSession, transitions: dict[str, tuple[str | None, list[str],
     return spark.createDataFrame(rows + [("initial", p, None, None, 1) for p in initial] + [("final", p, None, None, 1) for p in final], SCHEMA)
 
 
+def _silent_way(net: Net, marking: dict[str, int], reached: Callable[[dict[str, int]], bool]) -> list[Transition] | None:
+    """The shortest list of silent transitions that leads from ``marking`` to one that ``reached`` holds of, first in order first; None if there is none
+    among the ``MOST_MARKINGS`` nearest markings."""
+    if not net.silent:
+        return None
+    start = tuple(sorted((p, n) for p, n in marking.items() if n))
+    came: dict[tuple, tuple[tuple, Transition] | None] = {start: None}
+    queue = deque([start])
+    while queue and len(came) <= MOST_MARKINGS:
+        key = queue.popleft()
+        held = dict(key)
+        if reached(held):
+            way = []
+            while (step := came[key]) is not None:
+                key, t = step
+                way.append(t)
+            return way[::-1]
+        for t in net.silent:
+            if all(held.get(p, 0) for p in t.pre):
+                after = dict(held)
+                for p in t.pre:
+                    after[p] -= 1
+                for p in t.post:
+                    after[p] = after.get(p, 0) + 1
+                new = tuple(sorted((p, n) for p, n in after.items() if n))
+                if new not in came:
+                    came[new] = (key, t)
+                    queue.append(new)
+    return None
+
+
 def replayed(net: Net, acts: list[str]) -> tuple[int, int, int, int, int, list[str]]:
     """(produced, consumed, missing, remaining, escaping, transitions fired) of one trace.
 
-    Silent transitions fire as soon as they can, first in order first, at most 4 a transition and 16 at a time. Activities
-    that no transition bears are passed over. Of a label's transitions the first enabled one fires, or else the first, and
-    the tokens it lacks are put in and counted as missing. ``escaping`` sums, after each event, the input places of the
+    Silent transitions fire where they lead to a marking that enables the next activity, and at the end where they lead to the
+    final marking, the fewest of them. Activities that no transition bears are passed over. Of a label's transitions the first enabled one fires, or else the
+    first, and the tokens it lacks are put in and counted as missing. ``escaping`` sums, after each event, the input places of the
     transitions that are enabled and bear another label.
     """
     marking, produced, consumed, missing, escaping, fired = dict(net.initial), sum(net.initial.values()), 0, 0, 0, []
-    enabled = lambda t: all(marking.get(p, 0) > 0 for p in t.pre)
+
+    def enabled(t: Transition, held: dict[str, int] | None = None) -> bool:
+        return all((marking if held is None else held).get(p, 0) > 0 for p in t.pre)
 
     def fire(t: Transition) -> None:
         nonlocal produced, consumed
@@ -76,18 +115,13 @@ def replayed(net: Net, acts: list[str]) -> tuple[int, int, int, int, int, list[s
         consumed += len(t.pre)
         produced += len(t.post)
 
-    def settle() -> None:
-        for _ in range(4 * len(net.transitions) + 16):
-            ready = next((t for t in net.silent if enabled(t)), None)
-            if ready is None:
-                return
-            fire(ready)
-
-    settle()
     for activity in acts:
         bearing = net.by_label.get(activity)
         if not bearing:
             continue
+        if not any(map(enabled, bearing)):
+            for t in _silent_way(net, marking, lambda held: any(enabled(t, held) for t in bearing)) or ():
+                fire(t)
         chosen = next((t for t in bearing if enabled(t)), bearing[0])
         lacking = [p for p in chosen.pre if marking.get(p, 0) == 0]
         for p in lacking:
@@ -96,7 +130,10 @@ def replayed(net: Net, acts: list[str]) -> tuple[int, int, int, int, int, list[s
         produced += len(lacking)
         fire(chosen)
         fired.append(chosen.name)
-        settle()
         escaping += sum(len(t.pre) for t in net.transitions if t.pre and t.label != activity and enabled(t))
+    final = {p: n for p, n in net.final.items() if n}
+    if {p: n for p, n in marking.items() if n} != final:
+        for t in _silent_way(net, marking, lambda held: {p: n for p, n in held.items() if n} == final) or ():
+            fire(t)
     remaining = sum(n for p, n in marking.items() if net.final.get(p, 0) == 0)
     return produced, consumed + sum(net.final.values()), missing, remaining, escaping, fired
