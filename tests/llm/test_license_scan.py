@@ -120,3 +120,17 @@ def test_signatures_written_by_hand():
     assert labels("The above copyright notice and this permission notice shall be included in all copies") == ["mit"]
     assert labels("You should have received a copy of the GNU Lesser General Public License") == ["lgpl"]
     assert labels("EUPL, CERN Open Hardware Licence; Blue Oak Model License 1.0.0") == ["cern-ohl", "blueoak-1.0.0"]
+
+
+def test_gaps_of_any_length():
+    """Blanks, line ends and comment marks between a signature's words, 1 to 200 of them, change no label."""
+    rng = random.Random(6)
+    texts = ["apache license, version 2.0", "gnu general public license version 3", "permission is hereby granted free of charge to any person obtaining a copy", "mozilla public license version 2.0", "gnu lesser general public license version 2.1 or any later version", "creative commons attribution sharealike 4.0", "this software is provided as is without any express or implied warranty", "sil open font license 1.1", "redistribution and use in source and binary forms"]
+    for text in texts:
+        found = labels(text)
+        assert found, text
+        for _ in range(30):
+            wide = re.sub(" ", lambda _: "".join(rng.choice(" \t\n*#/") for _ in range(rng.randint(1, 200))), text)
+            assert labels(wide) == found, wide
+    assert labels("permission is hereby\n" + 17 * " " + "granted, free of charge, to any person obtaining a copy") == ["mit"]
+    assert labels("apache" + " " * 1_000_000 + "license") == ["apache"]

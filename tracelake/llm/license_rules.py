@@ -1,7 +1,8 @@
 """The signature rules of the license scan: (label, priority, keyword, pattern).
 
 A keyword's words, each by itself, are plain text in every match of its pattern; patterns run over text with A-Z lowered.
-``_`` in a pattern stands for a gap between words: white space, punctuation or comment marks.
+``_`` in a pattern stands for a gap between words, of any length: white space, punctuation or comment marks; ``_?`` may be none. No
+pattern has two gaps in a row, so a long one is passed once for each rule.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ class Rule(NamedTuple):
     pattern: re.Pattern
 
 
-GAP = r"[\s\"'(),./*#;:-]{1,12}"
-VERSION = r"(?:v|version|ver)?[\s.]{0,3}"
+GAP = r"[\s\"'(),./*#;:-]+"
+VERSION = r"_?(?:(?:v|version|ver)_?)?"
 
 #: Hand-written signatures. Priority 90: names a version; 80: a whole sentence of the license; 70: a plain name; 50: a hint.
 SIGNATURES = [
@@ -279,7 +280,7 @@ mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 osl-3.0 postgresq
 def _version(v: str) -> str:
     """The version's number, its closing .0 optional, in brackets or after a comma."""
     number = re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") else "")
-    return rf"(?:_|\s){{0,2}}{VERSION}{number}(?![\d.]*\d)"
+    return rf"{VERSION}{number}(?![\d.]*\d)"
 
 
 def _all() -> list[tuple[str, int, str, str]]:
@@ -289,33 +290,33 @@ def _all() -> list[tuple[str, int, str, str]]:
         out.append((label, 70, spelled, rf"\b{name}\b"))
         out.append((label, 60, keyword, rf"\b(?:gnu_)?{keyword}(?:_licen[sc]ed?|v\d)\b"))
         for v in versions:
-            for tail, later in (("-or-later", r"_(?:\([^)]{0,20}\)_)?(?:or_(?:\(at_your_option\)_)?(?:any_)?later|or_newer)"), ("-only", "_only"), ("", "")):
+            for tail, later in (("-or-later", r"_(?:\([^()]*\)_)?(?:or_(?:\(at_your_option\)_)?(?:any_)?later|or_newer)"), ("-only", "_only"), ("", "")):
                 priority = 96 if tail else 90
                 out.append((f"{label}-{v}{tail}", priority, spelled, rf"\b{name}{_version(v)}{later}"))
-                out.append((f"{label}-{v}{tail}", priority, keyword, rf"\b{keyword}[\s-]{{0,2}}{VERSION}{re.escape(v.removesuffix('.0'))}(?:\.0)?(?![\d.]*\d){later or ''}"))
+                out.append((f"{label}-{v}{tail}", priority, keyword, rf"\b{keyword}{VERSION}{re.escape(v.removesuffix('.0'))}(?:\.0)?(?![\d.]*\d){later or ''}"))
             out.append((f"{label}-{v}-or-later", 96, keyword, rf"\b{keyword}[\s-]?v?{re.escape(v.removesuffix('.0'))}(?:\.0)?\+"))
     for label, name, keyword, versions in PUBLIC:
         out.append((label, 70, keyword, rf"\b{name}\b"))
         for v in versions:
             out.append((f"{label}-{v}", 90, keyword, rf"\b{name}{_version(v)}"))
-            out.append((f"{label}-{v}", 85, label, rf"\b{label}[\s-]{{0,2}}{VERSION}{re.escape(v)}(?![\d.]*\d)"))
+            out.append((f"{label}-{v}", 85, label, rf"\b{label}{VERSION}{re.escape(v)}(?![\d.]*\d)"))
     for short, name in CC_ELEMENTS:
-        spelled = short.replace("-", r"[\s-]{1,2}")
-        out.append((f"cc-{short}", 60 + len(short), "cc", rf"\bcc[\s-]{{1,2}}{spelled}\b"))
+        spelled = short.replace("-", "_")
+        out.append((f"cc-{short}", 60 + len(short), "cc", rf"\bcc_{spelled}\b"))
         out.append((f"cc-{short}", 70 + len(short), "creative commons", rf"\bcreative_commons_{name}\b"))
         for v in CC_VERSIONS:
-            out.append((f"cc-{short}-{v}", 85 + len(short), "cc", rf"\bcc[\s-]{{1,2}}{spelled}[\s-]{{1,2}}{re.escape(v)}(?![\d.]*\d)"))
+            out.append((f"cc-{short}-{v}", 85 + len(short), "cc", rf"\bcc_{spelled}_{re.escape(v)}(?![\d.]*\d)"))
             out.append((f"cc-{short}-{v}", 85 + len(short), "creativecommons", rf"creativecommons\.org/licenses/{short}/{re.escape(v)}\b"))
             out.append((f"cc-{short}-{v}", 85 + len(short), "creative commons", rf"\bcreative_commons_{name}_(?:international_|unported_|generic_)?(?:public_)?(?:licen[sc]e_)?(?:version_)?{re.escape(v)}(?![\d.]*\d)"))
     out += [("cc0-1.0", 90, "cc0", r"\bcc0(?:_1\.0)?\b"), ("cc0-1.0", 90, "creativecommons", r"creativecommons\.org/publicdomain/zero/1\.0"), ("cc-pdm-1.0", 90, "creativecommons", r"creativecommons\.org/publicdomain/mark/1\.0")]
     for name in SPDX:
-        out.append((name, 99, "spdx-license-identifier", rf"spdx-license-identifier:\s{{0,4}}\(?{re.escape(name)}(?![\w.-])"))
+        out.append((name, 99, "spdx-license-identifier", rf"spdx-license-identifier:_?{re.escape(name)}(?![\w.-])"))
         if name.split("-")[0] in ("gpl", "lgpl", "agpl"):
-            out += [(f"{name}-{tail}", 99, "spdx-license-identifier", rf"spdx-license-identifier:\s{{0,4}}\(?{re.escape(name)}(?:-{tail}{'|[+]' if tail == 'or-later' else ''})(?![\w.-])") for tail in ("only", "or-later")]
+            out += [(f"{name}-{tail}", 99, "spdx-license-identifier", rf"spdx-license-identifier:_?{re.escape(name)}(?:-{tail}{'|[+]' if tail == 'or-later' else ''})(?![\w.-])") for tail in ("only", "or-later")]
     return out
 
 
 def compiled() -> list[Rule]:
     """All rules, their gaps written out, in order of priority."""
-    gap = lambda p: re.sub(r"(?<!\\)_(?![?{])", lambda m: GAP, p.replace("_?", GAP.replace("{1,12}", "{0,3}")))
+    gap = lambda p: re.sub(r"(?<!\\)_(?![?{])", lambda m: GAP, p.replace("_?", GAP[:-1] + "*"))
     return sorted((Rule(label, priority, keyword, re.compile(gap(pattern))) for label, priority, keyword, pattern in _all()), key=lambda r: (-r.priority, r.label))
