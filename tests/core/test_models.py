@@ -258,27 +258,48 @@ def test_ewma_folds_the_whole_series(spark):
         assert all((g is None) == (w is None) and (g is None or abs(g - w) < 1e-9) for g, w in itertools.zip_longest(got, want)), alpha
 
 
-def test_batches_over_the_edges_of_ranges(spark):
+def brute_batches(rows, gap):
+    out = []
+    for name in sorted({r[0] for r in rows}):
+        own = sorted((s, e, c) for a, c, s, e in rows if a == name)
+        islands, reach = [], None
+        for x in own:
+            if reach is None or x[0] - reach > gap:
+                islands.append([])
+            islands[-1].append(x)
+            reach = max(x[1], reach if reach is not None else x[1])
+        for island in islands:
+            cases = {c for *_, c in island}
+            if len(cases) < 2:
+                continue
+            held = [x for x in own if x[2] in cases]
+            starts, ends = {x[0] for x in held}, {x[1] for x in held}
+            if len(starts) == 1 or len(ends) == 1:
+                kind = "parallel" if len(starts) == len(ends) == 1 else "concurrent"
+            elif all(a[1] == b[0] for a, b in zip(held, held[1:])):
+                kind = "sequential"
+            else:
+                kind = "disruptive" if len(cases) >= 5 else "concurrent"
+            out.append((name, min(x[0] for x in island), max(x[1] for x in island), len(cases), len(island), kind))
+    return sorted(out)
+
+
+def test_batches_of_executions(spark):
     from tracelake.operators.patterns import batches
 
     random.seed(9)
     rows, at = [], 0
     for k in range(400):
-        at += random.choice([10, 300, 899, 900, 901, 5000, 30_000])
-        rows.append((f"c{k % 7}", k, random.choice("AB"), at * 1000))
-    log = spark.createDataFrame(rows, "case_id string, event_idx long, activity string, ts_ms long")
-    want = []
-    for name in "AB":
-        times = sorted((t // 1000, c) for c, _, a, t in rows if a == name)
-        island = [times[0]]
-        for x in [*times[1:], (1 << 40, "")]:
-            if x[0] - island[-1][0] > 900:
-                if len({c for _, c in island}) >= 2:
-                    want.append((name, island[0][0], len({c for _, c in island}), len(island)))
-                island = []
-            island.append(x)
-    for bucket in (901, 3600, 21_600):
-        assert sorted((r.activity, r.start_s, r.cases, r.events) for r in batches(log, bucket_s=bucket).collect()) == sorted(want)
+        at += random.choice([0, 10, 300, 899, 900, 901, 5000, 30_000])
+        rows.append((random.choice("AB"), f"c{k % 90}", at, at + random.choice([0, 0, 10, 2000])))
+    rows += [("S", f"s{k}", 10 * k, 10 * k + 10) for k in range(4)] + [("P", f"p{k}", 7, 9) for k in range(3)] + [("Q", f"p{k}", 7, 7) for k in range(3)] + [("R", f"p{k}", 7, 9 + k) for k in range(3)] + [("T", "alone", 1, 2), ("T", "alone", 2, 3)]
+    log = spark.createDataFrame([(c, k, a, e * 1000, s * 1000) for k, (a, c, s, e) in enumerate(rows)], "case_id string, event_idx long, activity string, ts_ms long, start_ms long")
+    got = sorted(tuple(r) for r in batches(log, start_ms="start_ms").collect())
+    assert got == brute_batches(rows, 900)
+    assert {"parallel", "concurrent", "sequential", "disruptive"} == {r[-1] for r in got}
+    points = [(a, c, e, e) for a, c, _, e in rows]
+    assert sorted(tuple(r) for r in batches(log).collect()) == brute_batches(points, 900)
+    assert batches(log.limit(0)).count() == 0 and batches(log.withColumn("ts_ms", F.lit(None).cast("long"))).count() == 0
 
 
 def test_sample_clusters_and_next_activity(spark):
@@ -289,5 +310,8 @@ def test_sample_clusters_and_next_activity(spark):
     assert {r.case_id for r in filters.sample_cases(log, 5, 1).collect()} == {r.case_id for r in filters.sample_cases(log.repartition(7), 5, 1).collect()}
     groups = {r.case_id: r.cluster for r in forecasts.cluster(log.withColumn("ts_ms", F.col("event_idx") * 1000), 2).collect()}
     assert len({groups[f"c{k:03d}"] for k in range(12)}) == 1 == len({groups[f"c{k:03d}"] for k in range(12, 18)}) and groups["c000"] != groups["c017"]
+    timed = lambda *acts: log_of(spark, *acts).withColumn("ts_ms", F.col("event_idx") * 1000)
+    assert {r.cluster for r in forecasts.cluster(timed("AB", "AB"), 3).collect()} == {0} and len({r.cluster for r in forecasts.cluster(timed("AB", "ABC"), 3).collect()}) == 2
+    assert forecasts.cluster(timed()).count() == 0 == forecasts.next_activity(log_of(spark)).count() == forecasts.next_activity(log_of(spark, "A", "B")).count()
     said = {r.predicted for r in forecasts.next_activity(log_of(spark, *["ABABAB"] * 6)).collect()}
     assert said == {"A"}

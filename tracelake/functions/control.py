@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelake.functions.scans import SUM, blocks, scanned
+
 
 def order():
     return Window.partitionBy("key").orderBy("pos")
@@ -17,29 +19,32 @@ def order():
 BLOCK = 64
 
 
-def ewma(series: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """``series`` with ``ewma``: the first value starts it, null values are passed over (null before the first).
+def folded(rows: DataFrame, columns: dict[str, str], alpha: float) -> DataFrame:
+    """``rows`` (key, pos, _nth) with columns smoothed under other names; ``_nth`` counts a key's values so far, from 1, 0 before the first.
 
-    A series is cut into blocks. Each row folds its own block from its beginning; each block's end is folded with those
-    of the blocks before it, back to where a double no longer holds their weight. So no series is gathered, and nothing
-    that a double can tell is left out, whatever ``alpha`` in (0, 1].
+    A key is cut into blocks. Each row folds its own block from its beginning; each block's end goes to the blocks after it, as far as a double holds
+    its weight, and is folded there. So no key is gathered or walked by one task, and nothing that a double can tell is left out, whatever ``alpha`` in (0, 1].
     """
     keep = 1 - alpha
     whole = keep**BLOCK
-    back = 1 if whole < 2.0**-60 else ceil(60 * log(2) / -log(whole)) + 1
-    fold = lambda values, step: F.aggregate(values, F.lit(0.0), step)
-    so_far = order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = series.withColumn("_nth", F.count("value").over(so_far))  # values up to here
-    block = F.floor(F.greatest(F.col("_nth") - 1, F.lit(0)) / BLOCK)
-    rows = rows.withColumn("_block", block).withColumn("_value", F.col("value").cast("double") * F.when(F.col("_nth") == 1, 1.0).otherwise(alpha))
-    within = Window.partitionBy("key", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_own", fold(F.collect_list("_value").over(within), lambda s, x: x + keep * s))
-    ends = rows.groupBy("key", "_block").agg(F.max_by("_own", "pos").alias("_end"))
-    before = F.collect_list("_end").over(Window.partitionBy("key").orderBy("_block").rowsBetween(-back, -1))
-    ends = ends.select("key", "_block", fold(before, lambda s, x: x + whole * s).alias("_before"))
-    rows = rows.join(ends, ["key", "_block"])
-    value = F.when(F.col("_nth") > 0, F.col("_own") + F.pow(F.lit(keep), F.col("_nth") - F.col("_block") * BLOCK) * F.col("_before"))
-    return rows.withColumn("ewma", value).select(*series.columns, "ewma")
+    on = 1 if whole < 2.0**-60 else ceil(60 * log(2) / -log(whole)) + 1
+    fold = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: x + keep * s)
+    rows = rows.withColumn("_group", F.floor(F.greatest(F.col("_nth") - 1, F.lit(0)) / BLOCK))
+    within = Window.partitionBy("key", "_group").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.when(F.col("_nth") == 1, 1.0).otherwise(alpha)
+    rows = rows.withColumns({out: fold(F.collect_list(F.col(c).cast("double") * weight).over(within)) for c, out in columns.items()})
+    ends = rows.groupBy("key", "_group").agg(F.max_by(F.struct(*columns.values()), "pos").alias("end"))
+    later = ends.select("key", "end.*", F.explode(F.sequence(F.lit(1), F.lit(on))).alias("far"), "_group").withColumn("_group", F.col("_group") + F.col("far"))
+    before = later.groupBy("key", "_group").agg(*(F.sum(F.col(out) * F.pow(F.lit(whole), F.col("far") - 1)).alias(f"_{out}") for out in columns.values()))
+    both = rows.join(before, ["key", "_group"], "left")
+    left = F.pow(F.lit(keep), F.col("_nth") - F.col("_group") * BLOCK)
+    return both.withColumns({out: F.when(F.col("_nth") > 0, F.col(out) + left * F.coalesce(f"_{out}", F.lit(0.0))) for out in columns.values()}).drop("_group", *(f"_{out}" for out in columns.values()))
+
+
+def ewma(series: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """``series`` with ``ewma``: the first value starts it, null values are passed over (null before the first). See :func:`folded`."""
+    rows = scanned(blocks(series, ["key"], ["pos"]), ["key"], ["pos"], _nth=(SUM, F.col("value").isNotNull().cast("long")))
+    return folded(rows, {"value": "ewma"}, alpha).select(*series.columns, "ewma")
 
 
 def moving_average(series: DataFrame, width: int = 5) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tracelake.functions.control import ewma, order
+from tracelake.functions.control import folded
+from tracelake.functions.scans import SUM, blocks, scanned
 from tracelake.operators.conformance import token_fitness
+from tracelake.sources.tables import stored
 
 #: Traces of the window, the weight of a new value, and what raises an alert.
 WINDOW, ALPHA = 100, 0.2
@@ -16,21 +17,23 @@ _TOKENS = ("produced", "consumed", "missing", "remaining")
 
 
 def running(arrivals: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, pos, fitness, windowed_fitness, perfect_rate, avg_missing) after each trace: over all so far, or the last ``window``.
+    """(key, pos, nth, fitness, windowed_fitness, perfect_rate, avg_missing) after each trace, the nth of its key: over all so far, or the last ``window``.
 
-    Sums over a window from the first row on, which Spark keeps as it passes; a key's traces are read in order by one task.
+    Sums run over blocks of a key (:mod:`scans`); those of the last traces are differences to the sums ``window`` traces before. ``arrivals`` are worked out and stored once.
     """
-    so_far = order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = order().rowsBetween(1 - window, Window.currentRow)
-    of = lambda frame: token_fitness(*(F.sum(c).over(frame) for c in _TOKENS))
-    return arrivals.select("key", "pos", of(so_far).alias("fitness"), of(last).alias("windowed_fitness"), F.avg(F.col("fit").cast("double")).over(so_far).alias("perfect_rate"), F.avg("missing").over(so_far).alias("avg_missing"))
+    rows = blocks(arrivals.select("key", "pos", *_TOKENS, "fit"), ["key"], ["pos"])
+    sums = scanned(rows, ["key"], ["pos"], nth=(SUM, F.lit(1).cast("long")), perfect=(SUM, F.col("fit").cast("long")), **{f"all_{c}": (SUM, F.col(c)) for c in _TOKENS})
+    sums = stored(sums.select("key", "pos", "nth", "perfect", *(f"all_{c}" for c in _TOKENS)), "running")
+    before = sums.select("key", (F.col("nth") + window).alias("nth"), *(F.col(f"all_{c}").alias(f"old_{c}") for c in _TOKENS))
+    both = sums.join(before, ["key", "nth"], "left")
+    last = token_fitness(*(F.col(f"all_{c}") - F.coalesce(f"old_{c}", F.lit(0)) for c in _TOKENS))
+    return both.select("key", "pos", "nth", token_fitness(*(F.col(f"all_{c}") for c in _TOKENS)).alias("fitness"), last.alias("windowed_fitness"), (F.col("perfect") / F.col("nth")).alias("perfect_rate"), (F.col("all_missing") / F.col("nth")).alias("avg_missing"))
 
 
 def smoothed(found: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """:func:`running` with ``fitness``, ``perfect_rate`` and ``avg_missing`` smoothed, as smooth_fitness and so on."""
-    for name in ("fitness", "perfect_rate", "avg_missing"):
-        found = ewma(found.withColumn("value", F.col(name)), alpha).withColumnRenamed("ewma", f"smooth_{name}").drop("value")
-    return found
+    """:func:`running` with ``fitness``, ``perfect_rate`` and ``avg_missing`` smoothed in one pass, as smooth_fitness and so on."""
+    names = ("fitness", "perfect_rate", "avg_missing")
+    return folded(stored(found.withColumn("_nth", F.col("nth")), "running"), {c: f"smooth_{c}" for c in names}, alpha).drop("_nth")
 
 
 def alert_kinds(fitness: Column, perfect: Column, missing: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelake.functions.scans import exact_median
 from tracelake.sources.logs import variants
 
 
@@ -30,23 +31,30 @@ def performance_dfg(log: DataFrame) -> DataFrame:
     return pairs(log).groupBy("source", "target").agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg("gap_ms"), 3), F.lit(0.0)).alias("avg_ms"), F.coalesce(F.min("gap_ms"), zero).alias("min_ms"), F.coalesce(F.max("gap_ms"), zero).alias("max_ms"))
 
 
+#: Running counts of so many activities are kept in one pass over the log.
+_AT_ONCE = 64
+
+
 def eventually_follows(log: DataFrame) -> DataFrame:
     """(source, target, n): every ordered pair of places of a case counts.
 
-    Not pairs but running counts, over weighted variants: a place stands after as many events of an activity as a map
-    of counts says that is folded along the trace, so work follows events times activities.
+    Not pairs but running counts: a window over the case counts the events of every activity before each event, and those
+    counts are summed by the event's activity. Activities are taken so many a pass, so work follows events times activities.
     """
-    zero = F.create_map().cast("map<struct<source:string,target:string>,bigint>")
-    state = F.struct(F.create_map().cast("map<string,bigint>").alias("seen"), zero.alias("pairs"))
-
-    def step(s, act):
-        now = F.map_from_entries(F.transform(F.map_entries(s["seen"]), lambda e: F.struct(F.struct(e["key"].alias("source"), act.alias("target")), e["value"])))
-        pairs = F.map_zip_with(s["pairs"], now, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
-        one = F.create_map(act, F.lit(1).cast("long"))
-        return F.struct(F.map_zip_with(s["seen"], one, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))).alias("seen"), pairs.alias("pairs"))
-
-    rows = variants(log).select("count", F.explode(F.aggregate("acts", state, step)["pairs"]).alias("pair", "n"))
-    return rows.groupBy("pair.source", "pair.target").agg(F.sum(F.col("count") * F.col("n")).alias("n"))
+    names = sorted(r.activity for r in log.select("activity").distinct().collect())  # the alphabet
+    before = in_case().rowsBetween(Window.unboundedPreceding, -1)
+    parts = []
+    for k in range(0, max(len(names), 1), _AT_ONCE):
+        some = names[k : k + _AT_ONCE]
+        counts = F.array(*(F.count_if(F.col("activity") == a).over(before) for a in some)) if some else F.array().cast("array<bigint>")
+        rows = log.select("activity", counts.alias("counts"))
+        summed = rows.groupBy(F.col("activity").alias("target")).agg(*(F.sum(F.get("counts", F.lit(i))).alias(f"n{i}") for i in range(len(some)))) if some else rows.select(F.col("activity").alias("target")).distinct()
+        pairs = F.array(*(F.struct(F.lit(a).alias("source"), F.col(f"n{i}").alias("n")) for i, a in enumerate(some))) if some else F.array().cast("array<struct<source:string,n:bigint>>")
+        parts.append(summed.select("target", F.inline(pairs)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("n > 0").select("source", "target", "n")
 
 
 def footprints(log: DataFrame) -> DataFrame:
@@ -80,11 +88,28 @@ def dependencies(log: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def transition_system(log: DataFrame, window: int = 1, direction: str = "forward") -> DataFrame:
-    """(source, target, activity, n): states are ``window`` + 1 neighbouring activities, up to (forward) or from the event on."""
+    """(source, target, activity, n): states are ``window`` + 1 neighbouring activities, up to (forward) or from the event on; their names are joined when they are counted."""
     frame = in_case().rowsBetween(-window, 0) if direction == "forward" else in_case().rowsBetween(0, window)
-    rows = log.select("case_id", "event_idx", "activity", F.array_join(F.collect_list("activity").over(frame), ", ").alias("target"))
+    rows = log.select("case_id", "event_idx", "activity", F.collect_list("activity").over(frame).alias("target"))
     rows = rows.select(F.lag("target").over(in_case()).alias("source"), "target", "activity").where("source is not null")
-    return rows.groupBy("source", "target", "activity").agg(F.count("*").alias("n"))
+    return rows.groupBy("source", "target", "activity").agg(F.count("*").alias("n")).select(F.array_join("source", ", ").alias("source"), F.array_join("target", ", ").alias("target"), "activity", "n")
+
+
+def prefix_nodes(log: DataFrame, longest: int | None = None) -> DataFrame:
+    """(node, parent, depth, label, n, final): the tree of the cases' prefixes, a row a node; n cases pass it, ``final`` of them end there (or are cut at ``longest``).
+
+    A node is named by its depth and two sums, over the places of its prefix, of 40 bits of a hash of activity and place each (null parent: the root). They are running
+    sums within the case, so rows follow events, not the squares of lengths. Prefixes of equal length share both sums with a probability of 2^-80.
+    """
+    bits = lambda at: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("event_idx").cast("string"), "activity")), at, 10), 16, 10).cast("long")
+    so_far = in_case().rowsBetween(Window.unboundedPreceding, 0)
+    rows = log if longest is None else log.where(F.col("event_idx") < longest)
+    rows = rows.select("case_id", "event_idx", "activity", F.sum(bits(1)).over(so_far).alias("a"), F.sum(bits(11)).over(so_far).alias("b"), bits(1).alias("own_a"), bits(11).alias("own_b"), F.lead("activity").over(in_case()).isNull().alias("last"))
+    depth = (F.col("event_idx") + 1).alias("depth")
+    found = rows.groupBy(depth, "a", "b").agg(F.first("activity").alias("label"), F.first("own_a").alias("own_a"), F.first("own_b").alias("own_b"), F.count("*").alias("n"), F.count_if("last").alias("final"))
+    name = lambda d, a, b: F.concat_ws("-", d, a, b)
+    parent = F.when(F.col("depth") > 1, name(F.col("depth") - 1, F.col("a") - F.col("own_a"), F.col("b") - F.col("own_b")))
+    return found.select(name(F.col("depth"), F.col("a"), F.col("b")).alias("node"), parent.alias("parent"), F.col("depth").cast("long").alias("depth"), "label", "n", "final")
 
 
 def prefix_tree(log: DataFrame, longest: int | None = None) -> DataFrame:
@@ -98,9 +123,10 @@ def prefix_tree(log: DataFrame, longest: int | None = None) -> DataFrame:
 
 
 def performance_spectrum(log: DataFrame, activity: str) -> DataFrame:
-    """(next, n, min_ms, max_ms, mean_ms, median_ms) from ``activity`` to what follows it at once."""
-    rows = pairs(log).where((F.col("source") == activity) & F.col("gap_ms").isNotNull())
-    return rows.groupBy(F.col("target").alias("next")).agg(F.count("*").alias("n"), F.min("gap_ms").alias("min_ms"), F.max("gap_ms").alias("max_ms"), F.round(F.avg("gap_ms"), 3).alias("mean_ms"), F.median("gap_ms").alias("median_ms"))
+    """(next, n, min_ms, max_ms, mean_ms, median_ms) from ``activity`` to what follows it at once; medians are found by ranks over blocks."""
+    rows = pairs(log).where((F.col("source") == activity) & F.col("gap_ms").isNotNull()).select(F.col("target").alias("next"), "gap_ms")
+    found = rows.groupBy("next").agg(F.count("*").alias("n"), F.min("gap_ms").alias("min_ms"), F.max("gap_ms").alias("max_ms"), F.round(F.avg("gap_ms"), 3).alias("mean_ms"))
+    return found.join(exact_median(rows, ["next"], "gap_ms").select("next", F.col("median").alias("median_ms")), "next")
 
 
 def temporal_profile(log: DataFrame) -> DataFrame:

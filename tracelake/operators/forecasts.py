@@ -103,22 +103,27 @@ def anomalies(log: DataFrame, eps: float = 0.5) -> DataFrame:
 
 
 def cluster(log: DataFrame, k: int = 3, seed: int = 1) -> DataFrame:
-    """(case_id, cluster) by k-means over the unscaled features."""
+    """(case_id, cluster) by k-means over the unscaled features, at most as many clusters as there are different ones; no rows for an empty log."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     rows = trace_features(log)
+    k = min(k, rows.select(rows.columns[1:]).distinct().limit(k).count())
+    if k < 2:
+        return rows.select("case_id", F.lit(0).alias("cluster"))
     made = VectorAssembler(inputCols=rows.columns[1:], outputCol="features").transform(rows)
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(made).transform(made).select("case_id", "cluster")
 
 
 def next_activity(log: DataFrame, depth: int = 8) -> DataFrame:
-    """(case_id, predicted) for the last event of each case, by a decision tree on place, activity and share of the case."""
+    """(case_id, predicted) for the last event of each case, by a decision tree on place, activity and share of the case; no rows where no case has two events."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 
     order = Window.partitionBy("case_id").orderBy("event_idx")
     rows = log.select("case_id", "activity", "event_idx", (F.col("event_idx") / F.count("*").over(Window.partitionBy("case_id"))).alias("share"), F.lead("activity").over(order).alias("next"))
+    if rows.where("next is not null").isEmpty():
+        return rows.select("case_id", F.lit(None).cast("string").alias("predicted")).limit(0)
     names = StringIndexer(inputCol="activity", outputCol="idx", stringOrderType="alphabetAsc").fit(rows)
     rows = VectorAssembler(inputCols=["event_idx", "idx", "share"], outputCol="features").transform(names.transform(rows))
     known = names.setInputCol("next").setOutputCol("label").transform(rows.where("next is not null"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelake.functions.scans import MAX, SUM, blocks, scanned
 from tracelake.sources.logs import variants
+from tracelake.sources.tables import stored
 
 
 def _held(acts: Column) -> Column:
@@ -147,30 +149,32 @@ def without_implied(rules: DataFrame) -> DataFrame:
     return named.join(kept, ["stands", "a", "b"], "left_anti").select("template", "a", "b", "support", "confidence")
 
 
-def batches(log: DataFrame, gap_s: int = 900, least_cases: int = 2, many: int = 5, bucket_s: int = 21_600) -> DataFrame:
-    """(activity, start_s, cases, events, kind): runs of one activity whose neighbours lie at most ``gap_s`` seconds apart.
+def batches(log: DataFrame, gap_s: int = 900, least_cases: int = 2, many: int = 5, start_ms: str | None = None) -> DataFrame:
+    """(activity, start_s, end_s, cases, events, kind): executions of one activity that overlap or follow one another within ``gap_s`` seconds, of ``least_cases`` cases or more.
 
-    Gaps and islands, within ranges of ``bucket_s`` seconds (at least the gap) so that no activity is one task's: only the
-    first and last island of a range can go on in another, and those few are joined up in order. Point events:
-    all at one second is parallel, a shared first or last second concurrent, else disruptive from
-    ``many`` events on and concurrent below.
+    An execution lasts from the column ``start_ms`` (its own time, if none is named or it is null) to its event's time; both in whole seconds, events without a time left out.
+    A sweep over starts keeps the latest end so far, a running maximum over blocks, so no activity is one task's. The kind is read off all executions of the activity in
+    the cases of the batch: ``parallel`` if all begin and end alike, ``concurrent`` if all begin or all end alike, ``sequential`` if each begins when the one before ends, else
+    ``disruptive`` from ``many`` cases on and ``concurrent`` below.
     """
-    bucket_s = max(bucket_s, gap_s + 1)
-    rows = log.where("ts_ms is not null").select("activity", "case_id", "event_idx", F.floor(F.col("ts_ms") / 1000).alias("s")).withColumn("range", F.floor(F.col("s") / bucket_s))
-    order = Window.partitionBy("activity", "range").orderBy("s", "case_id", "event_idx")
-    rows = rows.withColumn("new", F.when(F.col("s") - F.lag("s").over(order) <= gap_s, 0).otherwise(1))
-    rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = rows.groupBy("activity", "range", "island").agg(F.min("s").alias("from"), F.max("s").alias("to"))
-    last = F.max("island").over(Window.partitionBy("activity", "range"))
-    edges = edges.withColumn("last", last).where((F.col("island") == 1) | (F.col("island") == F.col("last")))  # two a range at most
-    along = Window.partitionBy("activity").orderBy("from")
-    edges = edges.withColumn("opens", F.when(F.col("from") - F.lag("to").over(along) <= gap_s, None).otherwise(F.col("from")))
-    edges = edges.select("activity", "range", "island", F.last("opens", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("begin"))
-    local = rows.groupBy("activity", "range", "island").agg(F.min("s").alias("from")).join(edges, ["activity", "range", "island"], "left")
-    named = rows.join(local.select("activity", "range", "island", F.coalesce("begin", "from").alias("start")), ["activity", "range", "island"])
-    edge = named.groupBy("activity", "start").agg(F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.count_distinct("case_id").alias("cases"), F.count("*").alias("events"))
-    kind = F.when(F.col("start_s") == F.col("end_s"), "parallel").when(F.col("events") >= many, "disruptive").otherwise("concurrent")
-    return edge.where(F.col("cases") >= least_cases).select("activity", "start_s", "cases", "events", kind.alias("kind"))
+    second = lambda c: F.floor(c / 1000)
+    end = F.col("ts_ms")
+    start = F.least(end, F.coalesce(F.col(start_ms), end)) if start_ms else end
+    rows = log.where("ts_ms is not null").select("activity", "case_id", "event_idx", second(start).alias("s"), second(end).alias("e"))
+    order = ["s", "e", "case_id", "event_idx"]
+    rows = blocks(rows, ["activity"], order)
+    swept = stored(scanned(rows, ["activity"], order, before_only=True, reach=(MAX, F.col("e"))), "swept")
+    swept = swept.withColumn("new", F.when(F.col("s") - F.col("reach") <= gap_s, 0).otherwise(1))
+    islands = stored(scanned(swept, ["activity"], order, island=(SUM, F.col("new"))).select("activity", "island", "case_id", "s", "e"), "islands")
+    found = islands.groupBy("activity", "island").agg(F.min("s").alias("start_s"), F.max("e").alias("end_s"), F.count_distinct("case_id").alias("cases"), F.count("*").alias("events")).where(F.col("cases") >= least_cases)
+    members = islands.join(found.select("activity", "island"), ["activity", "island"], "left_semi").select("activity", "island", "case_id").distinct()
+    held = blocks(members.join(rows.drop("_block"), ["activity", "case_id"]), ["activity", "island"], order)
+    chain = scanned(held, ["activity", "island"], order, before_only=True, previous=(MAX, F.struct(*order)))
+    kinds = chain.groupBy("activity", "island").agg(
+        (F.min("s") == F.max("s")).alias("one_start"), (F.min("e") == F.max("e")).alias("one_end"), F.bool_and(F.coalesce(F.col("previous.e") == F.col("s"), F.lit(True))).alias("chained")
+    )
+    kind = F.when(F.col("one_start") & F.col("one_end"), "parallel").when(F.col("one_start") | F.col("one_end"), "concurrent").when(F.col("chained"), "sequential").when(F.col("cases") >= many, "disruptive").otherwise("concurrent")
+    return found.join(kinds, ["activity", "island"]).select("activity", "start_s", "end_s", "cases", "events", kind.alias("kind"))
 
 
 def sessions(log: DataFrame, gap_ms: int = 3_600_000) -> DataFrame:

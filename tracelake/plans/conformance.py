@@ -61,7 +61,7 @@ QUERIES = {
     "inductive_fits": lambda s, d: mined(logs.conversation_log(s, d), K.align).select("case_id", (F.col("cost") < 10_000).alias("fits")),
     "inductive_replay": lambda s, d: mined(logs.conversation_log(s, d), K.replay).select("case_id", "missing", "remaining", "fit"),
     "inductive_days_fits": lambda s, d: mined(DAY(s, d), K.align).select("case_id", (F.col("cost") < 10_000).alias("fits")),
-    "streaming_fitness": lambda s, d: _rounded(U.running(arrivals(s, d)), "fitness", "windowed_fitness", "perfect_rate", "avg_missing"),
+    "streaming_fitness": lambda s, d: _rounded(U.running(arrivals(s, d)).drop("nth"), "fitness", "windowed_fitness", "perfect_rate", "avg_missing"),
     "streaming_alerts": lambda s, d: U.alerts(_smoothed(s, d)).withColumn("value", F.round("value", 6)),
 }
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tracelake.operators import correlation as X
 from tracelake.operators import follows as G
 from tracelake.operators import patterns as P
 from tracelake.plans.logs_sql import EDGES, PAIRS, REVERSE, SEEN, TRACES, on
@@ -22,6 +26,11 @@ def _profile(s, d):
     return G.temporal_profile(USER(s, d)).selectExpr("source", "target", "round(mean_ms, 2) as mean_ms", "round(stdev_ms, 1) as stdev_ms", "n")
 
 
+def spans(s, d):
+    """The day log's events as executions that last from the event before them in the case."""
+    return logs.day_log(s, d).withColumn("start_ms", F.lag("ts_ms").over(Window.partitionBy("case_id").orderBy("event_idx")))
+
+
 QUERIES = {
     "dfg": lambda s, d: G.dfg(USER(s, d)),
     "dfg_days": lambda s, d: G.dfg(DAY(s, d)),
@@ -46,6 +55,10 @@ QUERIES = {
     "declare_reduced": lambda s, d: P.without_implied(P.declare(logs.conversation_log(s, d), 0.1, 0.3)),
     "activity_frequencies_noise": lambda s, d: P.activity_frequencies(DAY(s, d), 0.2),
     "batches": lambda s, d: P.batches(logs.day_log(s, d)),
+    "batches_spans": lambda s, d: P.batches(spans(s, d), 60, start_ms="start_ms"),
+    "correlation_durations": lambda s, d: X.correlation_durations(logs.day_log(s, d), 600),
+    "correlation": lambda s, d: X.correlate(logs.day_log(s, d), 600),
+    "prefix_nodes": lambda s, d: G.prefix_nodes(logs.user_log(s, d)),
     "sessions": lambda s, d: P.sessions(USER(s, d)),
     "stream_sessions": lambda s, d: P.stream_sessions(DAY(s, d), 240_000),
     "correlation_precedes": lambda s, d: P.precedes(DAY(s, d)),
@@ -81,9 +94,34 @@ UNION ALL SELECT 'non_coexistence', wa.activity, wb.activity, (wa.c + wb.c - coa
 UNION ALL SELECT 'chain_response', a, b, wa / t, cr / wa FROM m UNION ALL SELECT 'chain_precedence', a, b, wb / t, cp / wb FROM m
 UNION ALL SELECT 'succession', a, b, least(wa, wb) / t, least(resp / wa, prec / wb) FROM m UNION ALL SELECT 'coexistence', a, b, least(wa, wb) / t, least(both_n / wa, both_n / wb) FROM m)"""
 _RULES = "SELECT template, a, b, round(support, 9) AS support, round(confidence, 9) AS confidence FROM rules"
-_ISLANDS = """islands AS (SELECT *, sum(new) OVER (PARTITION BY activity ORDER BY s, case_id, event_idx ROWS UNBOUNDED PRECEDING) AS island FROM (
-  SELECT activity, case_id, event_idx, s, CASE WHEN s - lag(s) OVER (PARTITION BY activity ORDER BY s, case_id, event_idx) <= 900 THEN 0 ELSE 1 END AS new FROM (SELECT *, ts_ms // 1000 AS s FROM log)))"""
 _MODEL = "model AS (SELECT * FROM (VALUES " + ", ".join(map(str, MODEL)) + ") v(source, target))"
+def _batches(start: str, gap: int) -> str:
+    return f"""execs AS (SELECT activity, case_id, event_idx, {start} // 1000 AS s, ts_ms // 1000 AS e FROM log),
+swept AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY activity ORDER BY s, e, case_id, event_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {gap} THEN 0 ELSE 1 END AS new FROM execs),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY activity ORDER BY s, e, case_id, event_idx ROWS UNBOUNDED PRECEDING) AS island FROM swept),
+found AS (SELECT activity, island, min(s) AS start_s, max(e) AS end_s, count(DISTINCT case_id) AS cases, count(*) AS events FROM islands GROUP BY ALL HAVING count(DISTINCT case_id) >= 2),
+held AS (SELECT m.activity, m.island, x.s, x.e, lag(x.e) OVER (PARTITION BY m.activity, m.island ORDER BY x.s, x.e, x.case_id, x.event_idx) AS previous
+  FROM (SELECT DISTINCT activity, island, case_id FROM islands) m JOIN execs x USING (activity, case_id)),
+kinds AS (SELECT activity, island, min(s) = max(s) AS one_start, min(e) = max(e) AS one_end, bool_and(coalesce(previous = s, true)) AS chained FROM held GROUP BY ALL)"""
+
+
+_BATCH = """SELECT activity, start_s, end_s, cases, events, CASE WHEN one_start AND one_end THEN 'parallel' WHEN one_start OR one_end THEN 'concurrent' WHEN chained THEN 'sequential' WHEN cases >= 5 THEN 'disruptive' ELSE 'concurrent' END AS kind
+FROM found JOIN kinds USING (activity, island)"""
+#: Matches in order of time, and in the order turned round (sign -1): the k-th event takes the one numbered k + the running maximum of (events not later, less k).
+_MATCHES = """, signs(sign) AS (VALUES (1), (-1)),
+times AS (SELECT sign, activity, s, row_number() OVER (PARTITION BY sign, activity ORDER BY s) - 1 AS k FROM (SELECT sign, activity, sign * (ts_ms // 1000) AS s FROM log, signs)),
+sizes AS (SELECT activity, count(*) AS n FROM log GROUP BY 1),
+later AS (SELECT a.sign, a.activity AS first, b.activity AS second, b.n, a.s, a.k, coalesce((SELECT max(t.k) + 1 FROM times t WHERE t.sign = a.sign AND t.activity = b.activity AND t.s <= a.s), 0) AS m FROM times a, sizes b WHERE a.activity <> b.activity),
+taken AS (SELECT *, k + max(m - k) OVER (PARTITION BY sign, first, second ORDER BY k) AS place FROM later),
+met AS (SELECT x.sign, first, second, t.s - x.s AS gap FROM taken x JOIN times t ON t.sign = x.sign AND t.activity = second AND t.k = place WHERE place < n AND t.s - x.s <= 600)
+SELECT CASE WHEN sign = 1 THEN first ELSE second END AS source, CASE WHEN sign = 1 THEN second ELSE first END AS target, count(*) FILTER (sign = 1) AS fifo, CAST(coalesce(sum(gap) FILTER (sign = 1), 0) AS BIGINT) AS fifo_s, count(*) FILTER (sign = -1) AS lifo, CAST(coalesce(sum(gap) FILTER (sign = -1), 0) AS BIGINT) AS lifo_s
+FROM met GROUP BY 1, 2"""
+_BITS = "CAST(('0x' || substr(md5(event_idx || ':' || activity), {}, 10)) AS BIGINT)"
+_NODES = f""", bits AS (SELECT *, {_BITS.format(1)} AS own_a, {_BITS.format(11)} AS own_b FROM log),
+sums AS (SELECT event_idx, activity, own_a, own_b, sum(own_a) OVER w AS a, sum(own_b) OVER w AS b, lead(activity) OVER w IS NULL AS last FROM bits WINDOW w AS (PARTITION BY case_id ORDER BY event_idx))
+SELECT concat_ws('-', event_idx + 1, a, b) AS node, CASE WHEN event_idx > 0 THEN concat_ws('-', event_idx, a - own_a, b - own_b) END AS parent, CAST(event_idx + 1 AS BIGINT) AS depth, activity AS label, count(*) AS n, count(*) FILTER (last) AS final
+FROM sums GROUP BY ALL"""
+
 ORACLES = {
     "dfg": on("user", "SELECT * FROM edges", EDGES),
     "dfg_days": on("day", "SELECT * FROM edges", EDGES),
@@ -107,7 +145,10 @@ ORACLES = {
     "declare_thresholds": on("conversation", _RULES + " WHERE support >= 0.2 AND confidence >= 0.8", PAIRS, SEEN + _DECLARE),
     "declare_reduced": on("conversation", "SELECT * FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.a = k.a AND o.b = k.b AND o.template = CASE WHEN k.template = 'existence' THEN 'absence' WHEN k.template IN ('response', 'precedence') THEN 'succession' WHEN k.template IN ('alternate_response', 'alternate_precedence') THEN 'alternate_succession' WHEN k.template IN ('chain_response', 'chain_precedence') THEN 'chain_succession' END)", PAIRS, SEEN + _DECLARE + f", kept AS ({_RULES} WHERE support >= 0.1 AND confidence >= 0.3)"),
     "activity_frequencies_noise": on("day", "SELECT activity, n, cases FROM (SELECT *, sum(cases) OVER (PARTITION BY activity ORDER BY cases DESC, n ROWS UNBOUNDED PRECEDING) - cases AS before, sum(cases) OVER (PARTITION BY activity) AS total FROM (SELECT activity, n, count(*) AS cases FROM (SELECT a.activity, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT activity FROM log) a CROSS JOIN (SELECT DISTINCT case_id FROM log) c LEFT JOIN seen s ON s.case_id = c.case_id AND s.activity = a.activity) GROUP BY ALL)) WHERE before < (1 - 0.2::DOUBLE) * total", SEEN),
-    "batches": on("day", "SELECT activity, min(s) AS start_s, count(DISTINCT case_id) AS cases, count(*) AS events, CASE WHEN min(s) = max(s) THEN 'parallel' WHEN count(*) >= 5 THEN 'disruptive' ELSE 'concurrent' END AS kind FROM islands GROUP BY activity, island HAVING count(DISTINCT case_id) >= 2", _ISLANDS),
+    "batches": on("day", _BATCH, _batches("ts_ms", 900)),
+    "batches_spans": on("day", _BATCH, _batches("coalesce(lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx), ts_ms)", 60)),
+    "correlation_durations": on("day", _MATCHES),
+    "prefix_nodes": on("user", _NODES),
     "sessions": on("user", "SELECT case_id, count(*) FILTER (g > 3600000) + 1 AS sessions FROM (SELECT case_id, ts_ms - lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx) AS g FROM log) GROUP BY 1"),
     "stream_sessions": on("day", "SELECT count(*) FILTER (g > 240000) + 1 AS sessions FROM (SELECT ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms) AS g FROM log)"),
     "correlation_precedes": on("day", "SELECT x.activity AS source, y.activity AS target, round(count(*) / (any_value(x.n) * any_value(y.n)), 12) AS share FROM (SELECT activity, ts_ms, count(*) OVER (PARTITION BY activity) AS n FROM log) x JOIN (SELECT activity, max(ts_ms) AS m, count(*) AS n FROM log GROUP BY 1) y ON x.ts_ms < y.m GROUP BY 1, 2"),
