@@ -57,23 +57,23 @@ class Running:
     def __init__(self, kept: str | None = None):
         self.__dict__.update(json.loads(kept) if kept else {"n": 0, "totals": [0] * 4, "perfect": 0, "last": [], "smooth": None, "first": [], "history": []})
 
-    def push(self, counts: list[int], fit: bool) -> tuple[float, float, list[float], float | None, str]:
+    def push(self, counts: list[int], fit: bool, window: int = WINDOW, alpha: float = ALPHA, calibration: int = CALIBRATION, sigmas: float = SIGMAS) -> tuple[float, float, list[float], float | None, str]:
         """(fitness, windowed fitness, smoothed fitness, perfect rate and missing, distance, rules) with one more trace."""
         self.n += 1
         self.totals = [a + b for a, b in zip(self.totals, counts)]
         self.perfect += fit
-        self.last = [*self.last, counts][-WINDOW:]
+        self.last = [*self.last, counts][-window:]
         fitness = _fitness(*self.totals)
         raw = [fitness, self.perfect / self.n, self.totals[2] / self.n]
-        self.smooth = raw if self.smooth is None else [ALPHA * x + (1 - ALPHA) * s for x, s in zip(raw, self.smooth)]
+        self.smooth = raw if self.smooth is None else [alpha * x + (1 - alpha) * s for x, s in zip(raw, self.smooth)]
         distance, rules = None, ""
-        if len(self.first) < CALIBRATION:
+        if len(self.first) < calibration:
             self.first.append(fitness)
         else:
-            centre = sum(self.first) / CALIBRATION
-            deviation = (sum((x - centre) ** 2 for x in self.first) / CALIBRATION) ** 0.5
-            upper, lower = centre + SIGMAS * deviation, max(0.0, centre - SIGMAS * deviation)
-            distance = (self.smooth[0] - centre) / ((upper - lower) / (2 * SIGMAS)) if upper > lower else 0.0
+            centre = sum(self.first) / len(self.first)
+            deviation = (sum((x - centre) ** 2 for x in self.first) / len(self.first)) ** 0.5
+            upper, lower = centre + sigmas * deviation, max(0.0, centre - sigmas * deviation)
+            distance = (self.smooth[0] - centre) / ((upper - lower) / (2 * sigmas)) if upper > lower else 0.0
             self.history = [*self.history, distance][-HISTORY:]
             rules = ",".join(map(str, broken_rules(self.history)))
         return fitness, _fitness(*map(sum, zip(*self.last))), self.smooth, distance, rules
