@@ -2,7 +2,7 @@
 
 The vocabulary file's tokenizer folds white space, lowers, and cuts a text into words that it encodes each by
 itself, so a text's ids are its words' ids one after the other. Texts of Latin letters, digits and marks are
-lowered and cut here, and all words that are new go to the library's model as one list, without its slow
+lowered and cut here, and all words that are new go to the library's model as one text, a line each, without its slow
 normaliser. Of any other text, runs between white space with another character or a special string go through the
 whole tokenizer (special strings hold no white space).
 """
@@ -40,7 +40,8 @@ class LibraryIds:
         for name, characters in ((r"\p{L}", _in_class("L")), (r"\p{N}", _in_class("N")), (r"\s", "\t-\r \x85\xa0")):
             pattern = pattern.replace(name, characters)
         self.words = re.compile(pattern).findall
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
+        between = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}  # no byte's stand-in is a line feed
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": between, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
         end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith(end)]] = True
@@ -69,7 +70,7 @@ class LibraryIds:
         for w, encoding in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
             self.memo[w] = np.array(encoding.ids, "<u4").tobytes()
         if plain:
-            ids = np.array(self.model.encode_batch_fast([[*map(self._symbols, plain)]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast(["\n".join(map(self._symbols, plain))], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1  # a word's last token, and no other, holds the end of word
             assert len(ends) == len(plain), "a word without an end"
             packed, ends = ids.tobytes(), (4 * ends).tolist()
