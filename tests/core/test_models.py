@@ -315,3 +315,39 @@ def test_sample_clusters_and_next_activity(spark):
     assert forecasts.cluster(timed()).count() == 0 == forecasts.next_activity(log_of(spark)).count() == forecasts.next_activity(log_of(spark, "A", "B")).count()
     said = {r.predicted for r in forecasts.next_activity(log_of(spark, *["ABABAB"] * 6)).collect()}
     assert said == {"A"}
+
+
+def test_closure_and_reduction(spark):
+    from tracelake.operators import relations as R
+
+    rng = random.Random(3)
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    held = lambda df: {(r.a, r.b) for r in df.collect()}
+
+    def brute(pairs):
+        found = set(pairs)
+        while more := {(a, d) for a, b in found for c, d in found if b == c} - found:
+            found |= more
+        return found
+
+    loops = {(rng.randrange(12), rng.randrange(12)) for _ in range(18)}
+    assert held(R.closure(of([*loops, *loops, (None, 1), (1, None)]))) == brute(loops)
+    order = {tuple(sorted(rng.sample(range(15), 2))) for _ in range(40)}
+    whole, least = brute(order), held(R.reduction(of(list(order))))
+    assert brute(least) == whole and all(brute(least - {e}) != whole for e in least)
+    chain = [(k, k + 1) for k in range(60)]
+    assert R.closure(of(chain)).count() == 60 * 61 // 2 and held(R.reduction(of(list(brute(chain))))) == set(chain)
+    assert R.closure(of([])).count() == 0 == R.reduction(of([])).count()
+    with pytest.raises(ValueError, match="cycle"):
+        R.reduction(of([(1, 2), (2, 1)]))
+
+
+def test_replay_of_events_in_passing(spark):
+    model = sequential(spark)
+    log = log_of(spark, *("AB", "A", "B", "BA", "AXB", "ABB") * 5)
+    names = ["case_id", "produced", "consumed", "missing", "remaining", "fitness", "fit"]
+    assert sorted(map(tuple, K.replay_events(log, model).select(names).collect())) == sorted(map(tuple, K.replay(log, model).select(names).collect()))
+    loop = nets.net(spark, {"A": ("A", ["p"], ["q"]), "B": ("B", ["q"], ["p"])}, ["p"], ["p"])
+    long = spark.range(400_000).select(F.lit("c").alias("case_id"), F.col("id").alias("event_idx"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("activity"))
+    row = K.replay_events(long, loop).first()
+    assert row.fit and row.produced == 400_001 and K.replay_events(long.limit(0), loop).count() == 0

@@ -93,47 +93,61 @@ def _silent_way(net: Net, marking: dict[str, int], reached: Callable[[dict[str,
     return None
 
 
-def replayed(net: Net, acts: list[str]) -> tuple[int, int, int, int, int, list[str]]:
-    """(produced, consumed, missing, remaining, escaping, transitions fired) of one trace.
+class Replay:
+    """Token replay of one trace, an event at a time: ``push`` its activities in order, then ``finish``. It holds the marking and the counts alone.
 
     Silent transitions fire where they lead to a marking that enables the next activity, and at the end where they lead to the
     final marking, the fewest of them. Activities that no transition bears are passed over. Of a label's transitions the first enabled one fires, or else the
     first, and the tokens it lacks are put in and counted as missing. ``escaping`` sums, after each event, the input places of the
     transitions that are enabled and bear another label.
     """
-    marking, produced, consumed, missing, escaping, fired = dict(net.initial), sum(net.initial.values()), 0, 0, 0, []
 
-    def enabled(t: Transition, held: dict[str, int] | None = None) -> bool:
-        return all((marking if held is None else held).get(p, 0) > 0 for p in t.pre)
+    def __init__(self, net: Net):
+        self.net, self.marking = net, dict(net.initial)
+        self.produced, self.consumed, self.missing, self.escaping = sum(net.initial.values()), 0, 0, 0
+
+    def _enabled(self, t: Transition) -> bool:
+        return all(self.marking.get(p, 0) > 0 for p in t.pre)
 
-    def fire(t: Transition) -> None:
-        nonlocal produced, consumed
+    def _fire(self, t: Transition) -> None:
         for p in t.pre:
-            marking[p] -= 1
+            self.marking[p] -= 1
         for p in t.post:
-            marking[p] = marking.get(p, 0) + 1
-        consumed += len(t.pre)
-        produced += len(t.post)
+            self.marking[p] = self.marking.get(p, 0) + 1
+        self.consumed += len(t.pre)
+        self.produced += len(t.post)
 
-    for activity in acts:
-        bearing = net.by_label.get(activity)
+    def push(self, activity: str) -> str | None:
+        """The transition that fires; None for an activity that no transition bears."""
+        bearing = self.net.by_label.get(activity)
         if not bearing:
-            continue
-        if not any(map(enabled, bearing)):
-            for t in _silent_way(net, marking, lambda held: any(enabled(t, held) for t in bearing)) or ():
-                fire(t)
-        chosen = next((t for t in bearing if enabled(t)), bearing[0])
-        lacking = [p for p in chosen.pre if marking.get(p, 0) == 0]
+            return None
+        if not any(map(self._enabled, bearing)):
+            for t in _silent_way(self.net, self.marking, lambda held: any(all(held.get(p, 0) > 0 for p in t.pre) for t in bearing)) or ():
+                self._fire(t)
+        chosen = next((t for t in bearing if self._enabled(t)), bearing[0])
+        lacking = [p for p in chosen.pre if self.marking.get(p, 0) == 0]
         for p in lacking:
-            marking[p] = 1
-        missing += len(lacking)
-        produced += len(lacking)
-        fire(chosen)
-        fired.append(chosen.name)
-        escaping += sum(len(t.pre) for t in net.transitions if t.pre and t.label != activity and enabled(t))
-    final = {p: n for p, n in net.final.items() if n}
-    if {p: n for p, n in marking.items() if n} != final:
-        for t in _silent_way(net, marking, lambda held: {p: n for p, n in held.items() if n} == final) or ():
-            fire(t)
-    remaining = sum(n for p, n in marking.items() if net.final.get(p, 0) == 0)
-    return produced, consumed + sum(net.final.values()), missing, remaining, escaping, fired
+            self.marking[p] = 1
+        self.missing += len(lacking)
+        self.produced += len(lacking)
+        self._fire(chosen)
+        self.escaping += sum(len(t.pre) for t in self.net.transitions if t.pre and t.label != activity and self._enabled(t))
+        return chosen.name
+
+    def finish(self) -> tuple[int, int, int, int, int]:
+        """(produced, consumed, missing, remaining, escaping)."""
+        held = lambda marking: {p: n for p, n in marking.items() if n}
+        final = held(self.net.final)
+        if held(self.marking) != final:
+            for t in _silent_way(self.net, self.marking, lambda marking: held(marking) == final) or ():
+                self._fire(t)
+        remaining = sum(n for p, n in self.marking.items() if self.net.final.get(p, 0) == 0)
+        return self.produced, self.consumed + sum(self.net.final.values()), self.missing, remaining, self.escaping
+
+
+def replayed(net: Net, acts: list[str]) -> tuple[int, int, int, int, int, list[str]]:
+    """(produced, consumed, missing, remaining, escaping, transitions fired) of one trace, see :class:`Replay`."""
+    run = Replay(net)
+    fired = [name for a in acts if (name := run.push(a)) is not None]
+    return *run.finish(), fired

@@ -45,6 +45,7 @@ def _smoothed(s, d):
 
 QUERIES = {
     "replay": lambda s, d: _rounded(K.replay(DAY(s, d), model(s)).drop("fired"), "fitness"),
+    "replay_events": lambda s, d: _rounded(K.replay_events(DAY(s, d), model(s)), "fitness"),
     "replay_fitness": lambda s, d: K.fitness(DAY(s, d), model(s)),
     "precision": lambda s, d: K.precision(DAY(s, d), model(s)),
     "generalization": lambda s, d: K.generalization(DAY(s, d), model(s)),
@@ -171,6 +172,7 @@ WHERE (SELECT list(DISTINCT source || '>' || target ORDER BY source || '>' || ta
 
 ORACLES = {
     "replay": _on_replay("SELECT case_id, produced, consumed, missing, remaining, round(f, 9) AS fitness, fit FROM fits"),
+    "replay_events": _on_replay("SELECT case_id, produced, consumed, missing, remaining, round(f, 9) AS fitness, fit FROM fits"),
     "replay_fitness": _on_replay(f"SELECT round(0.5 * (1 - m / c) + 0.5 * (1 - r / p), 9) AS fitness, round(mean, 9) AS mean_fitness, fitting, cases FROM (SELECT {_SUMS}, avg(f) AS mean, count(*) FILTER (fit) AS fitting, count(*) AS cases FROM fits)"),
     "precision": _on_replay("SELECT round(1 - e / (e + c), 9) AS precision, CAST(e AS BIGINT) AS escaping, CAST(c AS BIGINT) AS consumed FROM (SELECT sum(escaping) AS e, sum(consumed) AS c FROM replays)"),
     "generalization": on("day", "SELECT round(1 - avg(1 / sqrt(n)), 9) AS generalization FROM (SELECT activity, count(*) AS n FROM log GROUP BY 1)"),

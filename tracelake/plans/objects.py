@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from tracelake.functions import control as C
 from tracelake.operators import forecasts as T
 from tracelake.operators import objects as O
+from tracelake.operators import relations as R
 from tracelake.plans.logs_sql import on
 from tracelake.sources import logs
 
@@ -21,7 +22,17 @@ def series(s, d):
 DAY = logs.day_log
 #: The reach of an anomaly's neighbours; small enough that the test tables hold some.
 ANOMALY = 0.2
+
+
+def links(s, d):
+    """Which object points to which: orders to customers, customers and suppliers to nations, those to regions."""
+    read = lambda table, a, b, of, to: s.read.parquet(f"{d}/{table}.parquet").select(F.concat(F.lit(of), a).alias("a"), F.concat(F.lit(to), b).alias("b"))
+    return read("orders", "o_orderkey", "o_custkey", "o:", "c:").unionByName(read("customer", "c_custkey", "c_nationkey", "c:", "n:")).unionByName(read("supplier", "s_suppkey", "s_nationkey", "s:", "n:")).unionByName(read("nation", "n_nationkey", "n_regionkey", "n:", "r:"))
+
+
 QUERIES = {
+    "object_closure": lambda s, d: R.closure(links(s, d)),
+    "object_reduction": lambda s, d: R.reduction(R.closure(links(s, d))),
     "ocel_flatten": lambda s, d: O.flatten(O.sales(s, d), "order"),
     "ocel_flatten_customer": lambda s, d: O.flatten(O.sales(s, d), "customer"),
     "ocel_flattened_cases": lambda s, d: O.flattened_cases(O.sales(s, d), "customer"),
@@ -78,7 +89,13 @@ f AS (SELECT *, count(*) FILTER (d > 2) OVER w3 AS u2, count(*) FILTER (d < -2)
 g AS (SELECT key, pos, round(d, 6) AS distance, concat_ws(',', CASE WHEN abs(d) > 3 THEN '1' END, CASE WHEN d > 2 AND u2 >= 2 OR d < -2 AND l2 >= 2 THEN '2' END, CASE WHEN d > 1 AND u1 >= 4 OR d < -1 AND l1 >= 4 THEN '3' END, CASE WHEN u0 = 8 OR l0 = 8 THEN '4' END, CASE WHEN pos >= 7 AND (up = 5 OR down = 5) THEN '5' END, CASE WHEN turns = 12 THEN '6' END) AS rules,
   CASE WHEN abs(d) > 4 THEN 'critical' WHEN abs(d) > 3 THEN 'severe' WHEN abs(d) > 2 THEN 'moderate' ELSE 'minor' END AS severity FROM f)"""
 _SCALED = "scaled AS (SELECT case_id, " + ", ".join(f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0.0 END AS {c}" for c in ("length", "distinct_acts", "duration_ms", "first_idx", "last_idx")) + " FROM features)"
+_LINKS = """links AS (SELECT 'o:' || o_orderkey AS a, 'c:' || o_custkey AS b FROM orders UNION SELECT 'c:' || c_custkey, 'n:' || c_nationkey FROM customer
+  UNION SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier UNION SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)"""
+
 ORACLES = {
+    "object_closure": f"WITH RECURSIVE {_LINKS} SELECT a, b FROM reach",
+    "object_reduction": f"WITH RECURSIVE {_LINKS} SELECT a, b FROM reach r WHERE NOT EXISTS (SELECT 1 FROM reach x JOIN reach y ON x.b = y.a WHERE x.a = r.a AND y.b = r.b)",
     "ocel_flatten": _OCEL + _FLAT.format("order"),
     "ocel_flatten_customer": _OCEL + _FLAT.format("customer"),
     "ocel_flattened_cases": _OCEL + "SELECT object_id AS case_id, count(event_id) AS events FROM o LEFT JOIN (SELECT DISTINCT * FROM r) USING (object_id) WHERE type = 'customer' GROUP BY 1",
