@@ -95,3 +95,30 @@ def test_the_sample_is_bounded_in_characters(spark):
     docs, known = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     kept = sorted((r.doc_id, r.text, r.toxic) for r in toxicity.training_rows(docs, known).collect())
     assert np.allclose(train(docs, known).gain, fit([t for _, t, _ in kept], [t for *_, t in kept]).gain)  # fitted on an executor as here
+
+
+def test_scores_by_plain_loops():
+    """A score is the softmax of the document's average and the worst two neighbours', word by word and n-gram by n-gram."""
+    rows, labels = corpus(120, 9)
+    model = fit([r[1] for r in rows], [t for *_, t in labels], rounds=30)
+    assert np.abs(model.share).max() > 0 and np.abs(model.gain).max() > 0
+
+    def of_word(word, part):
+        held = f"<{word.strip(toxicity._STRIP) or word}>"
+        grams = [zlib.crc32(held.encode())]
+        for n in toxicity.NGRAMS:
+            for k in range(len(held) - n + 1):
+                rolled = ord(held[k]) * 0x9E3779B1 % 2**64
+                for c in held[k + 1 : k + n]:
+                    rolled = (rolled * 0x100000001B3 + ord(c)) % 2**64
+                grams.append(((rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 % 2**64) >> 40)
+        return sum(part[g % toxicity.BUCKETS] for g in grams) / len(grams)
+
+    texts = [r[1] for r in rows[:40]] + ["", "one", "Two, words!", "** --", "x" * 200, "a\tb\nc é中"]
+    for text, got in zip(texts, model.scorer()(texts)):
+        words, logit = words_of(text), model.bias
+        if words:
+            gains = [of_word(w, model.gain) for w in words]
+            worst = max((a + b) / 2 for a, b in zip(gains, gains[1:])) if len(words) > 1 else gains[0]
+            logit += worst + sum(of_word(w, model.share) for w in words) / len(words)
+        assert abs(got - 1 / (1 + np.exp(-logit))) < 1e-9

@@ -1,8 +1,8 @@
 """Operator 8: toxicity by subword-bag embeddings averaged into a linear softmax, trained in numpy.
 
-A word is the bag of its character n-grams, hashed into buckets; bucket embeddings and the two-class
-softmax over their average are trained together. The average is taken over every two neighbouring words and a
-document scores as its worst window, so that one insult in a long document is not averaged away.
+A word is the bag of its character n-grams, hashed into buckets, and its vector the average of their embeddings. A two-class softmax takes two
+averages of a document's words: over the whole bag, and over the worst two neighbours, so that one insult in a long document is not averaged
+away. Embeddings and softmax are trained together.
 """
 
 from __future__ import annotations
@@ -72,18 +72,22 @@ def _bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``gain``: what each bucket adds to the toxic class over the other, the product of embeddings and softmax weights; ``bias``."""
+    """What each bucket adds to the toxic class over the other, the product of embeddings and softmax weights: by the worst window
+    (``gain``) and by the whole document (``share``); ``bias``."""
 
     gain: np.ndarray
+    share: np.ndarray
     bias: float
 
-    def of_words(self, words: list[str]) -> np.ndarray:
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's averages of both."""
         bucket, number = bags(words)
-        return np.bincount(number, self.gain[bucket], len(words)) / np.bincount(number, minlength=len(words))
+        sizes = np.bincount(number, minlength=len(words))
+        return tuple(np.bincount(number, part[bucket], len(words)) / sizes for part in (self.gain, self.share))
 
     def scorer(self, memo_size: int = 200_000):
         """A function from a list of texts to their scores; words' gains are remembered, ``memo_size`` and one list's words at most."""
-        memo: dict[str, float] = {}
+        memo: dict[str, tuple[float, float]] = {}
 
         def scores(texts: list[str]) -> list[float]:
             split = [words_of(t) for t in texts]
@@ -92,14 +96,14 @@ class Model:
                 if len(memo) > memo_size:
                     memo.clear()
                     new = list(set(chain.from_iterable(split)))
-                memo.update(zip(new, self.of_words(new).tolist()))
+                memo.update(zip(new, zip(*(part.tolist() for part in self.of_words(new)))))
             out = []
             for words in split:
-                worst = 0.0
+                logit = self.bias
                 if words:
-                    gains = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-                    worst = ((gains[:-1] + gains[1:]) / 2).max() if len(words) > 1 else gains[0]
-                out.append(float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60)))))
+                    gains, shares = np.array([*map(memo.__getitem__, words)]).T
+                    logit += shares.mean() + (((gains[:-1] + gains[1:]) / 2).max() if len(words) > 1 else gains[0])
+                out.append(float(1 / (1 + np.exp(-np.clip(logit, -60, 60)))))
             return out
 
         return scores
@@ -108,53 +112,57 @@ class Model:
 def fit(texts: list[str], toxic: list[int], rounds: int = 120, rate: float = 100.0, momentum: float = 0.9, seed: int = 7) -> Model:
     """Full-batch gradient descent with momentum on the documents' cross entropy; deterministic for a given sample.
 
-    A document's logit is an average of its windows' logits weighted by their softmax, which sharpens in the
+    A document's logit is the average over its words, and an average of its windows' logits weighted by their softmax, which sharpens in the
     later rounds until the worst window decides. Plain steps, not scaled by coordinate: n-grams that few
     documents hold stay small. Both classes weigh the same. Without a document of each class nothing can be
     learnt: the model then scores the class there is (0.5 without any).
     """
     y = np.array(toxic, np.float64)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0 if not len(y) else (8.0 if y[0] else -8.0))
     # words as numbers, windows as two neighbours (a lone word twice), documents as runs of windows
     number: dict[str, int] = {}
-    firsts, seconds = [], []
+    firsts, seconds, runs = [], [], []
     for text in texts:
         words = words_of(text) or [""]
         run = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        runs.append(run)
         firsts.append(run[:-1] if len(run) > 1 else run)
         seconds.append(run[-len(firsts[-1]) :])
     window_counts = np.array([len(run) for run in firsts])
     first, second, doc_starts = np.concatenate(firsts), np.concatenate(seconds), np.cumsum(window_counts) - window_counts
+    sizes, every = np.array([len(run) for run in runs]), np.concatenate(runs)
+    doc_of_word, word_starts = np.repeat(np.arange(len(y), dtype=np.int32), sizes), np.cumsum(sizes) - sizes
     doc_of_window = np.repeat(np.arange(len(y), dtype=np.int32), window_counts)
     flat, word_of_gram = bags(list(number))
     gram_sizes = np.bincount(word_of_gram, minlength=len(number))
 
     random = np.random.default_rng(seed)
-    embed, softmax, bias = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)), random.normal(0, 0.5, (DIMENSIONS, 2)), 0.0
+    embed, softmax, bias = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)), random.normal(0, 0.5, (2, DIMENSIONS, 2)), 0.0  # of windows, of documents
     speed_embed, speed_softmax, speed_bias = np.zeros_like(embed), np.zeros_like(softmax), 0.0
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     for step in range(rounds):
-        direction = softmax[:, 1] - softmax[:, 0]
-        of_word = np.bincount(word_of_gram, (embed @ direction)[flat], len(number)) / gram_sizes
+        directions = softmax[:, :, 1] - softmax[:, :, 0]
+        of_word, in_bag = (np.bincount(word_of_gram, (embed @ d)[flat], len(number)) / gram_sizes for d in directions)
         of_window = (of_word[first] + of_word[second]) / 2
         top = np.maximum.reduceat(of_window, doc_starts)
         sharpness = 1 + 9 * max(0.0, step / rounds - 0.6) / 0.4
         attention = np.exp(sharpness * (of_window - top[doc_of_window]))
         attention /= np.add.reduceat(attention, doc_starts)[doc_of_window]
-        logit = np.add.reduceat(attention * of_window, doc_starts) + bias
+        logit = np.add.reduceat(attention * of_window, doc_starts) + np.add.reduceat(in_bag[every], word_starts) / sizes + bias
         slope = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * weight
         half = slope[doc_of_window] * attention / 2
-        by_word = np.bincount(first, half, len(number)) + np.bincount(second, half, len(number))
-        by_bucket = np.bincount(flat, (by_word / gram_sizes)[word_of_gram], BUCKETS)
-        toward = embed.T @ by_bucket
-        speed_embed = momentum * speed_embed + by_bucket[:, None] * direction
-        speed_softmax = momentum * speed_softmax + np.stack([-toward, toward], 1)
+        by_words = np.bincount(first, half, len(number)) + np.bincount(second, half, len(number)), np.bincount(every, (slope / sizes)[doc_of_word], len(number))
+        by_buckets = np.stack([np.bincount(flat, (by_word / gram_sizes)[word_of_gram], BUCKETS) for by_word in by_words], 1)
+        toward = by_buckets.T @ embed
+        speed_embed = momentum * speed_embed + by_buckets @ directions
+        speed_softmax = momentum * speed_softmax + np.stack([-toward, toward], 2)
         speed_bias = momentum * speed_bias + slope.sum()
         embed -= rate * speed_embed
         softmax -= rate / 500 * speed_softmax
         bias -= rate / 500 * speed_bias
-    return Model(embed @ (softmax[:, 1] - softmax[:, 0]), float(bias))
+    directions = softmax[:, :, 1] - softmax[:, :, 0]
+    return Model(embed @ directions[0], embed @ directions[1], float(bias))
 
 
 def _held_out(id_col: str):
@@ -188,11 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     def run(batches):
         found = sorted((key, text, toxic) for batch in batches for key, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))))
         model = fit([text for _, text, _ in found], [toxic for *_, toxic in found])
-        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["gain", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.gain.tobytes()], pa.binary()), pa.array([model.share.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["gain", "share", "bias"])
 
     rows = training_rows(docs, labels, sample, id_col, text_col, **bounds)
-    fitted = rows.repartition(1).mapInArrow(run, "gain binary, bias double").collect()  # one row of BUCKETS numbers
-    return Model(np.frombuffer(fitted[0]["gain"]), fitted[0]["bias"]) if fitted else fit([], [])
+    fitted = rows.repartition(1).mapInArrow(run, "gain binary, share binary, bias double").collect()  # one row of 2 x BUCKETS numbers
+    return Model(np.frombuffer(fitted[0]["gain"]), np.frombuffer(fitted[0]["share"]), fitted[0]["bias"]) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
