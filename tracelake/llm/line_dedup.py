@@ -72,11 +72,19 @@ def within_edits(a: Column, b: Column, edits: int = 1) -> Column:
     return F.when(n <= edits, True).when(n - m > edits, False).otherwise(F.aggregate(equals, start, step)["distance"] <= edits)
 
 
-def _key(line: Column, chars: Column, start: Column, width: Column, more: int) -> Column:
+def _wide(line: str) -> Column:
+    """``wide``: the line at four bytes a code point, where a part is found by its place; in a string it is found by counting. Made by a generator of one row, so it is made once."""
+    return F.explode(F.array(F.encode(line, "UTF-32"))).alias("wide")
+
+
+def _part(wide: Column, start: Column, n: Column) -> Column:
+    """``n`` code points from ``start``."""
+    return F.substring(wide, start * 4 + 1, n * 4)
+
+
+def _key(wide: Column, chars: Column, start: Column, width: Column, more: int) -> Column:
     """Hash of the line outside ``width + more`` code points from ``start``, for an index of lines with ``chars`` code points."""
-    left = F.substring(line, F.lit(1), start)
-    right = F.substring(line, start + width + more + 1, chars - start - width)
-    return F.xxhash64(chars, start, width, left, F.octet_length(left), right)
+    return F.xxhash64(chars, start, width, _part(wide, F.lit(0), start), _part(wide, start + width + more, chars - start - width))
 
 
 def _halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
@@ -85,7 +93,7 @@ def _halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
     return [(start, low), (start + F.when(width == 1, 1).otherwise(low), F.when(width == 1, 0).otherwise(width - low))]
 
 
-def _entries(line: Column, chars: Column, windows: list[tuple[Column, Column]], more: int) -> Column:
+def _entries(wide: Column, chars: Column, windows: list[tuple[Column, Column]], more: int) -> Column:
     """An array: the index entries (``more`` = 0) or probes (1) of a line for both halves of windows (start, width).
 
     ``a`` and ``b`` are short hashes (they only spare comparisons) of what the entry's own window has before and after its middle: linked lines of a bucket agree in one of them.
@@ -93,9 +101,8 @@ def _entries(line: Column, chars: Column, windows: list[tuple[Column, Column]],
 
     def entry(start: Column, width: Column) -> Column:
         low = F.floor(width / 2).cast("int")
-        inside = F.substring(line, start + 1, width + more)
-        a, b = F.hash(F.substring(inside, F.lit(1), low)), F.hash(F.substring(inside, low + more + 1, width - low))
-        return F.struct(_key(line, chars, start, width, more).alias("key"), F.lit(more == 0).alias("indexed"), start.alias("start"), width.alias("width"), a.alias("a"), b.alias("b"))
+        a, b = F.hash(_part(wide, start, low)), F.hash(_part(wide, start + low + more, width - low))
+        return F.struct(_key(wide, chars, start, width, more).alias("key"), F.lit(more == 0).alias("indexed"), start.alias("start"), width.alias("width"), a.alias("a"), b.alias("b"))
 
     return F.array(*(entry(s, w) for window in windows for s, w in _halves(*window)))
 
@@ -129,9 +136,10 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
     and are linked to the smallest; a window of none holds one index entry. No pair is left out.
     """
     long_enough = lines.where(F.col("chars") >= min_chars).select("line_id", "line", "chars")
-    index = _entries(F.col("line"), F.col("chars"), [(F.lit(0), F.col("chars"))], 0)
-    probes = F.when(F.col("chars") > min_chars, _entries(F.col("line"), F.col("chars") - 1, [(F.lit(0), F.col("chars") - 1)], 1))
-    first = long_enough.select("line_id", F.explode(F.concat(index, F.coalesce(probes, F.array().cast(long_enough.select(index).schema[0].dataType)))).alias("e"))
+    index = _entries(F.col("wide"), F.col("chars"), [(F.lit(0), F.col("chars"))], 0)
+    probes = F.when(F.col("chars") > min_chars, _entries(F.col("wide"), F.col("chars") - 1, [(F.lit(0), F.col("chars") - 1)], 1))
+    wide = long_enough.select("line_id", "chars", _wide("line"))
+    first = wide.select("line_id", F.explode(F.concat(index, F.coalesce(probes, F.array().cast(wide.select(index).schema[0].dataType)))).alias("e"))
     met, found = _met(first.select("line_id", "e.*")), []
     single = (F.col("n_indexed") == 1) | (F.col("width") == 0)
     while True:
@@ -146,8 +154,8 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
         texts = large.select("line_id", "indexed", "start", "width").distinct().join(long_enough, "line_id")
         size = F.when(F.col("indexed"), F.col("chars")).otherwise(F.col("chars") - 1)
         window = [(F.col("start"), F.col("width"))]
-        parts = F.when(F.col("indexed"), _entries(F.col("line"), size, window, 0)).otherwise(_entries(F.col("line"), size, window, 1))
-        met = _met(texts.select("line_id", F.explode(parts).alias("e")).select("line_id", "e.*"))
+        parts = F.when(F.col("indexed"), _entries(F.col("wide"), size, window, 0)).otherwise(_entries(F.col("wide"), size, window, 1))
+        met = _met(texts.select("*", _wide("line")).select("line_id", F.explode(parts).alias("e")).select("line_id", "e.*"))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
