@@ -18,14 +18,14 @@ def _held(acts: Column) -> Column:
     return F.transform(F.array_distinct(acts), of)
 
 
-def occurrences(log: DataFrame) -> DataFrame:
-    """(count, activity, n, first, last): one row per variant and activity that it holds, ``count`` its cases."""
-    return variants(log).select("count", F.inline(_held(F.col("acts"))))
+def _occurrences(found: DataFrame) -> DataFrame:
+    """(count, activity, n, first, last) of variants (acts, count): one row per variant and activity that it holds, ``count`` its cases."""
+    return found.select("count", F.inline(_held(F.col("acts"))))
 
 
-def _couples(log: DataFrame) -> DataFrame:
+def _couples(found: DataFrame) -> DataFrame:
     """(count, acts, a, b, ...) for each two activities of a variant, itself included: the alphabet squared a variant, no shuffle."""
-    left = variants(log).select("count", "acts", _held(F.col("acts")).alias("held"))
+    left = found.select("count", "acts", _held(F.col("acts")).alias("held"))
     left = left.select("count", "acts", "held", F.explode("held").alias("x")).select("count", "acts", F.col("x.activity").alias("a"), F.col("x.n").alias("na"), F.col("x.first").alias("fa"), F.col("x.last").alias("la"), F.explode("held").alias("y"))
     return left.select("count", "acts", "a", "na", "fa", "la", F.col("y.activity").alias("b"), F.col("y.n").alias("nb"), F.col("y.first").alias("fb"), F.col("y.last").alias("lb"))
 
@@ -42,15 +42,18 @@ def log_skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
     equivalence: places where a and b occur equally often, against all events of a. never_together takes
     no noise.
     """
-    seen, both = occurrences(log), _couples(log)
+    cases = stored(variants(log), "variants")  # read by every part, the log once
+    seen = _occurrences(cases)
     totals = seen.groupBy(F.col("activity").alias("a")).agg(F.sum("count").alias("cases"), F.sum(F.col("count") * F.col("n")).alias("events"))
-    per = both.groupBy("a", "b").agg(
+    per = _couples(cases).groupBy("a", "b").agg(
         F.sum(F.col("count") * F.when(F.col("na") == F.col("nb"), F.col("na") * F.col("nb") - F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(0)).otherwise(0)).alias("equal"),
         _cases_if(F.col("fa") < F.col("lb")).alias("after"),
         _cases_if(F.col("fb") < F.col("la")).alias("before"),
     )
-    follows = Window.partitionBy("case_id").orderBy("event_idx")
-    edges = log.select(F.col("activity").alias("a"), F.lead("activity").over(follows).alias("b")).where("b is not null").groupBy("a", "b").agg(F.count("*").alias("follows"))
+    per = stored(per, "couples")  # a row for each two activities
+    size = F.size("acts")
+    next_to = F.zip_with(F.slice("acts", 1, size - 1), F.slice("acts", 2, size - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    edges = cases.where(size > 1).select("count", F.inline(next_to)).groupBy("a", "b").agg(F.sum("count").alias("follows"))
     rows = per.join(totals, "a").join(edges, ["a", "b"], "left")
     share = 1 - noise
     kinds = F.array_compact(F.array(
@@ -62,7 +65,7 @@ def log_skeleton(log: DataFrame, noise: float = 0.0) -> DataFrame:
     found = rows.select(F.explode(kinds).alias("relation"), "a", "b")
     names = totals.select("a")
     every = names.join(names.select(F.col("a").alias("b")), F.col("a") < F.col("b"))  # of the alphabet, not of events
-    never = every.join(both.select("a", "b").distinct(), ["a", "b"], "left_anti").select(F.lit("never_together").alias("relation"), "a", "b")
+    never = every.join(per.select("a", "b"), ["a", "b"], "left_anti").select(F.lit("never_together").alias("relation"), "a", "b")
     return found.unionByName(never)
 
 
@@ -72,8 +75,9 @@ def activity_frequencies(log: DataFrame, noise: float | None = None) -> DataFram
     With ``noise``, of each activity only the most frequent numbers (ties: the smaller first) that together first reach
     the share 1 - noise of all cases.
     """
-    seen = occurrences(log)
-    total = log.agg(F.count_distinct("case_id").alias("total"))
+    found = stored(variants(log), "variants")
+    seen = _occurrences(found)
+    total = found.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
     some = seen.groupBy("activity", "n").agg(F.sum("count").alias("cases"))
     zero = seen.groupBy("activity").agg(F.sum("count").alias("with")).join(F.broadcast(total)).where("total > with").select("activity", F.lit(0).cast("long").alias("n"), (F.col("total") - F.col("with")).alias("cases"))
     every = some.unionByName(zero)
@@ -102,10 +106,11 @@ def declare(log: DataFrame, min_support: float = 0.0, min_confidence: float = 0.
     successions are the weaker of both. non_coexistence: no case with both, among cases with either.
     Pairs are looked at in weighted variants.
     """
-    both = _couples(log).where("a != b")
-    seen = occurrences(log)
-    total = log.agg(F.count_distinct("case_id").alias("total"))
-    starts = log.where("event_idx = 0").groupBy("activity").agg(F.count("*").alias("starts"))
+    found = stored(variants(log), "variants")  # read by every part, the log once
+    both = _couples(found).where("a != b")
+    seen = _occurrences(found)
+    total = found.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    starts = found.groupBy(F.element_at("acts", 1).alias("activity")).agg(F.sum("count").alias("starts"))
     one = seen.groupBy("activity").agg(F.sum("count").alias("with"), _cases_if(F.col("n") == 1).alias("once")).join(starts, "activity", "left").join(F.broadcast(total))
     rule = lambda name, yes: F.struct(F.lit(name).alias("template"), F.lit(1.0).alias("support"), (yes / F.col("total")).alias("confidence"))
     single = one.select("activity", F.inline(F.array(rule("existence", F.col("with")), rule("absence", F.col("total") - F.col("with")), rule("exactly_one", F.col("once")), rule("init", F.coalesce("starts", F.lit(0))))))
@@ -118,6 +123,7 @@ def declare(log: DataFrame, min_support: float = 0.0, min_confidence: float = 0.
         _cases_if(F.col("next") == F.col("na")).alias("chain_response"), _cases_if(F.col("next") == F.col("nb")).alias("chain_precedence"),
         _cases_if(_alternates(F.col("acts"), F.col("a"), F.col("b"))).alias("alternate_response"), _cases_if(_alternates(F.reverse("acts"), F.col("b"), F.col("a"))).alias("alternate_precedence"),
     )
+    met = stored(met, "couples")  # a row for each two activities
     with_a, with_b = cases.select(F.col("activity").alias("a"), F.col("with").alias("wa")), cases.select(F.col("activity").alias("b"), F.col("with").alias("wb"))
     pair = met.join(with_a, "a").join(with_b, "b").join(F.broadcast(total))
     two = lambda name, active, yes: F.struct(F.lit(name).alias("template"), (active / F.col("total")).alias("support"), (yes / active).alias("confidence"))
