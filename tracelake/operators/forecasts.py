@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tracelake.sources.tables import stored
+
 
 def trace_features(log: DataFrame) -> DataFrame:
     """(case_id, length, distinct_acts, duration_ms, first_idx, last_idx): indexes in the sorted alphabet."""
@@ -82,10 +84,11 @@ def anomalies(log: DataFrame, eps: float = 0.5) -> DataFrame:
     cells around it that any near point could be in; their number follows ``eps``, not the cases. Crowded cells are never paired within.
     """
     edge, n = eps / math.sqrt(len(_FEATURES)), len(_FEATURES)
-    rows = trace_features(log)
+    rows = stored(trace_features(log), "features")  # the log is read once
     ends = rows.agg(*(f(c).alias(f"{k}_{c}") for c in _FEATURES for k, f in (("lo", F.min), ("hi", F.max))))
     scaled = rows.join(F.broadcast(ends)).select("case_id", *(F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).otherwise(0.0).alias(f"x{k}") for k, c in enumerate(_FEATURES)))
     celled = scaled.select("*", *(F.floor(F.col(f"x{k}") / edge).alias(f"c{k}") for k in range(n)))
+    celled = stored(celled, "cells")
     cells = [f"c{k}" for k in range(n)]
     alone = celled.groupBy(*cells).agg(F.count("*").alias("n"), *(F.min(c).alias(c) for c in ("case_id", *(f"x{k}" for k in range(n))))).where("n = 1").drop("n")
     # cells around, one feature after the other, each only as long as its nearest corner is within reach

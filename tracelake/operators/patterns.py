@@ -203,11 +203,19 @@ def stream_sessions(log: DataFrame, gap_ms: int = 3_600_000) -> DataFrame:
     return found.select(F.when(F.col("hours") > 0, F.col("gaps") + 1).otherwise(0).cast("long").alias("sessions"))
 
 
+#: Activities whose pairs are looked at in one pass over the events.
+_MOST_ACTIVITIES = 2_000
+
+
 def precedes(log: DataFrame) -> DataFrame:
-    """(source, target, share): events of source before the last of target, over the product of both counts; case ids are not read."""
-    last = log.groupBy("activity").agg(F.max("ts_ms").alias("last"), F.count("*").alias("n"))
-    target = last.select(F.col("activity").alias("target"), "last", F.col("n").alias("nt"))
-    names = last.select(F.col("activity").alias("source"), F.col("n").alias("ns"))
-    rows = log.select(F.col("activity").alias("source"), "ts_ms").join(target, F.col("ts_ms") < F.col("last"))  # one row an activity
-    counted = rows.groupBy("source", "target", "nt").agg(F.count("*").alias("n"))
-    return counted.join(names, "source").select("source", "target", F.round(F.col("n") / (F.col("ns") * F.col("nt")), 12).alias("share"))
+    """(source, target, share): events of source before the last of target, over the product of both counts; case ids are not read. Pairs without any have no row.
+
+    The last times of all targets, one a target, go along with the pass, and each task counts ahead.
+    """
+    last = log.groupBy("activity").agg(F.max("ts_ms").alias("last"), F.count("*").alias("n")).limit(_MOST_ACTIVITIES + 1).collect()
+    if len(last) > _MOST_ACTIVITIES:
+        raise ValueError(f"more than {_MOST_ACTIVITIES} activities: their pairs are too many to be counted")
+    targets = sorted((r.activity, r.last, r.n) for r in last if r.last is not None)
+    counts = F.array(*(F.struct(F.lit(a).alias("target"), F.lit(n).cast("long").alias("nt"), F.count_if(F.col("ts_ms") < at).alias("n")) for a, at, n in targets)) if targets else F.lit(None).cast("array<struct<target:string,nt:bigint,n:bigint>>")
+    counted = log.groupBy(F.col("activity").alias("source")).agg(F.count("*").alias("ns"), counts.alias("counts"))
+    return counted.select("source", "ns", F.inline("counts")).where("n > 0").select("source", "target", F.round(F.col("n") / (F.col("ns") * F.col("nt")), 12).alias("share"))

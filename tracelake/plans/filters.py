@@ -66,6 +66,7 @@ ORACLES = {
     "filter_event_attribute_out": on("day", "SELECT case_id, event_idx, activity FROM log WHERE case_id NOT IN (SELECT case_id FROM log WHERE activity = 'error')"),
     "filter_case_ids": _cases("VALUES ('8-2024-01-01'), ('16-2024-01-01')"),
     "filter_contains": _cases("SELECT case_id FROM log WHERE activity = 'purchase'"),
+    "sample_cases": _cases("SELECT case_id FROM ends ORDER BY md5('0:' || case_id), case_id LIMIT 100", _ENDS),
     "truncate_traces": on("day", "SELECT case_id, event_idx, activity FROM log WHERE event_idx < 2"),
     "project_attributes": on("day", "SELECT case_id, event_idx, activity, props, CAST(NULL AS VARCHAR) AS value FROM log"),
     "sort_log": on("day", "SELECT case_id, event_idx, activity FROM log"),
