@@ -108,14 +108,27 @@ kinds AS (SELECT activity, island, min(s) = max(s) AS one_start, min(e) = max(e)
 _BATCH = """SELECT activity, start_s, end_s, cases, events, CASE WHEN one_start AND one_end THEN 'parallel' WHEN one_start OR one_end THEN 'concurrent' WHEN chained THEN 'sequential' WHEN cases >= 5 THEN 'disruptive' ELSE 'concurrent' END AS kind
 FROM found JOIN kinds USING (activity, island)"""
 #: Matches in order of time, and in the order turned round (sign -1): the k-th event takes the one numbered k + the running maximum of (events not later, less k).
-_MATCHES = """, signs(sign) AS (VALUES (1), (-1)),
+_MET = """, signs(sign) AS (VALUES (1), (-1)),
 times AS (SELECT sign, activity, s, row_number() OVER (PARTITION BY sign, activity ORDER BY s) - 1 AS k FROM (SELECT sign, activity, sign * (ts_ms // 1000) AS s FROM log, signs)),
 sizes AS (SELECT activity, count(*) AS n FROM log GROUP BY 1),
 later AS (SELECT a.sign, a.activity AS first, b.activity AS second, b.n, a.s, a.k, coalesce((SELECT max(t.k) + 1 FROM times t WHERE t.sign = a.sign AND t.activity = b.activity AND t.s <= a.s), 0) AS m FROM times a, sizes b WHERE a.activity <> b.activity),
 taken AS (SELECT *, k + max(m - k) OVER (PARTITION BY sign, first, second ORDER BY k) AS place FROM later),
 met AS (SELECT x.sign, first, second, t.s - x.s AS gap FROM taken x JOIN times t ON t.sign = x.sign AND t.activity = second AND t.k = place WHERE place < n AND t.s - x.s <= 600)
-SELECT CASE WHEN sign = 1 THEN first ELSE second END AS source, CASE WHEN sign = 1 THEN second ELSE first END AS target, count(*) FILTER (sign = 1) AS fifo, CAST(coalesce(sum(gap) FILTER (sign = 1), 0) AS BIGINT) AS fifo_s, count(*) FILTER (sign = -1) AS lifo, CAST(coalesce(sum(gap) FILTER (sign = -1), 0) AS BIGINT) AS lifo_s
+"""
+_DURATIONS = """SELECT CASE WHEN sign = 1 THEN first ELSE second END AS source, CASE WHEN sign = 1 THEN second ELSE first END AS target, count(*) FILTER (sign = 1) AS fifo, CAST(coalesce(sum(gap) FILTER (sign = 1), 0) AS BIGINT) AS fifo_s, count(*) FILTER (sign = -1) AS lifo, CAST(coalesce(sum(gap) FILTER (sign = -1), 0) AS BIGINT) AS lifo_s
 FROM met GROUP BY 1, 2"""
+#: The edges, cheapest first: each takes what both ends have left, kept in lists (o out of, t into the activities).
+_GREEDY = f""", durations AS ({_DURATIONS}),
+acts AS (SELECT activity, row_number() OVER (ORDER BY activity) AS i, count(*) AS n, max(ts_ms // 1000) AS last FROM log GROUP BY 1),
+share AS (SELECT a.activity AS a, b.activity AS b, a.i, b.i AS j, least(a.n, b.n) AS least_n, (SELECT count(*) FROM log l WHERE l.activity = a.activity AND l.ts_ms // 1000 < b.last) / (a.n * b.n) AS p FROM acts a, acts b WHERE a.activity <> b.activity),
+took AS (SELECT source, target, least(coalesce(fifo_s / nullif(fifo, 0), 0.0::DOUBLE), coalesce(lifo_s / nullif(lifo, 0), 0.0::DOUBLE)) AS mean FROM durations),
+ranked AS (SELECT s.*, r.p AS back, row_number() OVER (ORDER BY coalesce(mean, 0.0::DOUBLE) / s.p / s.least_n, s.a, s.b) AS k FROM share s JOIN share r ON r.a = s.b AND r.b = s.a LEFT JOIN took ON source = s.a AND target = s.b WHERE s.p > 0),
+greedy AS (SELECT CAST(0 AS BIGINT) AS k, list(n ORDER BY i) AS o, list(n ORDER BY i) AS t, CAST(NULL AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b, CAST(0 AS BIGINT) AS m FROM acts
+  UNION ALL SELECT k, list_transform(range(1, len(o) + 1), lambda x: CASE WHEN x = i THEN o[x] - m ELSE o[x] END), list_transform(range(1, len(t) + 1), lambda x: CASE WHEN x = j THEN t[x] - m ELSE t[x] END), a, b, m
+  FROM (SELECT r.k, g.o, g.t, r.a, r.b, r.i, r.j, CASE WHEN r.back < 0.8::DOUBLE * r.p THEN least(g.o[r.i], g.t[r.j]) ELSE 0 END AS m FROM greedy g JOIN ranked r ON r.k = g.k + 1)),
+edge AS (SELECT a, b, m FROM greedy WHERE m > 0)
+SELECT 'edge' AS kind, a AS source, b AS target, m AS n FROM edge UNION ALL SELECT 'start', activity, NULL, n FROM acts WHERE activity NOT IN (SELECT b FROM edge) UNION ALL SELECT 'end', activity, NULL, n FROM acts WHERE activity NOT IN (SELECT a FROM edge)
+UNION ALL SELECT 'traces', NULL, NULL, 1 + count(*) FILTER (gap > 600) FROM (SELECT ts_ms // 1000 - lag(ts_ms // 1000) OVER (ORDER BY ts_ms) AS gap FROM log)"""
 _BITS = "CAST(('0x' || substr(md5(event_idx || ':' || activity), {}, 10)) AS BIGINT)"
 _NODES = f""", bits AS (SELECT *, {_BITS.format(1)} AS own_a, {_BITS.format(11)} AS own_b FROM log),
 sums AS (SELECT event_idx, activity, own_a, own_b, sum(own_a) OVER w AS a, sum(own_b) OVER w AS b, lead(activity) OVER w IS NULL AS last FROM bits WINDOW w AS (PARTITION BY case_id ORDER BY event_idx))
@@ -147,7 +160,8 @@ ORACLES = {
     "activity_frequencies_noise": on("day", "SELECT activity, n, cases FROM (SELECT *, sum(cases) OVER (PARTITION BY activity ORDER BY cases DESC, n ROWS UNBOUNDED PRECEDING) - cases AS before, sum(cases) OVER (PARTITION BY activity) AS total FROM (SELECT activity, n, count(*) AS cases FROM (SELECT a.activity, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT activity FROM log) a CROSS JOIN (SELECT DISTINCT case_id FROM log) c LEFT JOIN seen s ON s.case_id = c.case_id AND s.activity = a.activity) GROUP BY ALL)) WHERE before < (1 - 0.2::DOUBLE) * total", SEEN),
     "batches": on("day", _BATCH, _batches("ts_ms", 900)),
     "batches_spans": on("day", _BATCH, _batches("coalesce(lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx), ts_ms)", 60)),
-    "correlation_durations": on("day", _MATCHES),
+    "correlation": on("day", _MET + _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1),
+    "correlation_durations": on("day", _MET + _DURATIONS),
     "prefix_nodes": on("user", _NODES),
     "sessions": on("user", "SELECT case_id, count(*) FILTER (g > 3600000) + 1 AS sessions FROM (SELECT case_id, ts_ms - lag(ts_ms) OVER (PARTITION BY case_id ORDER BY event_idx) AS g FROM log) GROUP BY 1"),
     "stream_sessions": on("day", "SELECT count(*) FILTER (g > 240000) + 1 AS sessions FROM (SELECT ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms) AS g FROM log)"),
