@@ -51,7 +51,13 @@ class LibraryIds:
     @staticmethod
     def _whole(run: str) -> bool:
         """Whether a run between white space has to go through the whole tokenizer."""
-        return "<|" in run or not (run.isascii() or PLAIN(run))
+        if "<|" in run:
+            return True
+        if run.isascii():
+            return False
+        if len(run) > 500 and np.frombuffer(run.encode("utf-32-le"), "<u4").max() < 0x180:  # a long text's usual case, at once
+            return False
+        return not PLAIN(run)
 
     def _split(self, text: str) -> list[str]:
         """The text's words, lowered; runs for the whole tokenizer as they are."""
