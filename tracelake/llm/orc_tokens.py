@@ -62,7 +62,10 @@ def read_orc(spark: SparkSession, target: str) -> DataFrame:
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32): start counts the ids of all documents before, from sums by file and then by place in it."""
+    """(id, start, n_tokens, ids_crc32): start counts the ids of all documents before, from sums by file and then by place in it.
+
+    A row of :func:`write_orc` gives a row: null ids and repeated ones too; an empty table gives none.
+    """
 
     def run(batches):
         for batch in batches:

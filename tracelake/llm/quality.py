@@ -124,7 +124,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`quality` does not keep, all columns as they were, whatever their names."""
+    """``docs`` without the rows that :func:`quality` does not keep, all columns as they were, whatever their names.
+
+    Each row is decided by its own text: a null or empty one fails the base rules; ids may be null or repeat; an empty table stays empty.
+    """
     table = weights(docs, labels, id_col, text_col)
     rows = docs.select(F.struct("*").alias("held"), shared.text_of(text_col).alias("text"))
     # through a generator of one row: the optimiser would move a plain filter below the columns it is made of

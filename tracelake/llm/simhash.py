@@ -310,6 +310,9 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     fewer than three with a probability of three in a million, and less above. Whoever meets is compared by
     the exact Jaccard similarity of the sets of distinct shingles (64-bit hashes), so no pair below ``similarity`` is
     linked. Groups are the components of the links, so of a chain of versions one document stays.
+
+    A null text is empty; texts without a shingle are alike and one group. Ids may be null (they come last) or repeat; rows repeated
+    with the same id and text each give a row and share one fate. Other columns are not read, an empty table gives no rows.
     """
     raw = shared.stored(banded(docs, width, bands, rows, id_col, text_col), "bands")
     # equal sets: one representative; row numbers in id order, nulls last
@@ -329,7 +332,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that :func:`near_copies` lets go, all columns as they were. Rows repeated with the same id and text share one fate."""
+    """``docs`` without the rows that :func:`near_copies` lets go, all columns as they were, whatever their names.
+
+    Null ids and texts, repeated rows and empty tables as there; rows repeated with the same id and text share one fate.
+    """
     going = shared.stored(near_copies(docs, id_col=id_col, text_col=text_col, **options).where("not stay").select("id", "h").distinct(), "near-copies")
     held = docs.select(F.struct("*").alias("held"), F.col(id_col).alias("hid"), F.xxhash64(shared.text_of(text_col)).alias("hh"))
     return held.join(going, F.col("hid").eqNullSafe(F.col("id")) & (F.col("hh") == F.col("h")), "left_anti").select("held.*")
