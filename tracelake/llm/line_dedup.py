@@ -82,29 +82,28 @@ def _part(wide: Column, start: Column, n: Column) -> Column:
     return F.substring(wide, start * 4 + 1, n * 4)
 
 
-def _key(wide: Column, chars: Column, start: Column, width: Column, more: int) -> Column:
-    """Hash of the line outside ``width + more`` code points from ``start``, for an index of lines with ``chars`` code points."""
-    return F.xxhash64(chars, start, width, _part(wide, F.lit(0), start), _part(wide, start + width + more, chars - start - width))
-
-
 def _halves(start: Column, width: Column) -> list[tuple[Column, Column]]:
     """Both halves of a window; one of a single code point has the places before and after it."""
     low = F.floor(width / 2).cast("int")
     return [(start, low), (start + F.when(width == 1, 1).otherwise(low), F.when(width == 1, 0).otherwise(width - low))]
 
 
-def _entries(wide: Column, chars: Column, windows: list[tuple[Column, Column]], more: int) -> Column:
-    """An array: the index entries (``more`` = 0) or probes (1) of a line for both halves of windows (start, width).
+def _windows(size: Column, indexed: Column, start: Column, width: Column) -> Column:
+    """An array: both halves of a window of a line, as an index entry of ``size`` code points or as a probe of lines of that size."""
+    return F.array(*(F.struct(indexed.alias("indexed"), size.alias("size"), s.alias("start"), w.alias("width")) for s, w in _halves(start, width)))
 
-    ``a`` and ``b`` are short hashes (they only spare comparisons) of what the entry's own window has before and after its middle: linked lines of a bucket agree in one of them.
-    """
 
-    def entry(start: Column, width: Column) -> Column:
-        low = F.floor(width / 2).cast("int")
-        a, b = F.hash(_part(wide, start, low)), F.hash(_part(wide, start + low + more, width - low))
-        return F.struct(_key(wide, chars, start, width, more).alias("key"), F.lit(more == 0).alias("indexed"), start.alias("start"), width.alias("width"), a.alias("a"), b.alias("b"))
+def _entries(rows: DataFrame) -> DataFrame:
+    """The index entries and probes of ``rows`` (line_id, wide, and a window: indexed, size, start, width): key, indexed, start, width, a, b.
 
-    return F.array(*(entry(s, w) for window in windows for s, w in _halves(*window)))
+    ``key`` is a hash of the line outside the window, which is a code point wider in a probe. ``a`` and ``b`` are short hashes (they only spare comparisons) of what the window has before and after its middle: linked lines of a
+    bucket agree in one of them. A row a window, and not all of a line's in one expression: Java does not compile methods as long as that one's.
+    """
+    start, width, wide = F.col("start"), F.col("width"), F.col("wide")
+    more, low = F.when(F.col("indexed"), 0).otherwise(1), F.floor(width / 2).cast("int")
+    key = F.xxhash64("size", start, width, _part(wide, F.lit(0), start), _part(wide, start + width + more, F.col("size") - start - width))
+    a, b = F.hash(_part(wide, start, low)), F.hash(_part(wide, start + low + more, width - low))
+    return rows.select("line_id", key.alias("key"), "indexed", "start", "width", a.alias("a"), b.alias("b"))
 
 
 def _met(entries: DataFrame) -> DataFrame:
@@ -136,11 +135,11 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
     and are linked to the smallest; a window of none holds one index entry. No pair is left out.
     """
     long_enough = lines.where(F.col("chars") >= min_chars).select("line_id", "line", "chars")
-    index = _entries(F.col("wide"), F.col("chars"), [(F.lit(0), F.col("chars"))], 0)
-    probes = F.when(F.col("chars") > min_chars, _entries(F.col("wide"), F.col("chars") - 1, [(F.lit(0), F.col("chars") - 1)], 1))
+    chars, nothing = F.col("chars"), F.lit(0)
+    index, probes = _windows(chars, F.lit(True), nothing, chars), _windows(chars - 1, F.lit(False), nothing, chars - 1)
     wide = long_enough.select("line_id", "chars", _wide("line"))
-    first = wide.select("line_id", F.explode(F.concat(index, F.coalesce(probes, F.array().cast(wide.select(index).schema[0].dataType)))).alias("e"))
-    met, found = _met(first.select("line_id", "e.*")), []
+    first = wide.select("line_id", "wide", F.inline(F.when(chars > min_chars, F.concat(index, probes)).otherwise(index)))
+    met, found = _met(_entries(first)), []
     single = (F.col("n_indexed") == 1) | (F.col("width") == 0)
     while True:
         found.append(_candidates(met, (F.col("n") <= paired) | single))
@@ -152,10 +151,9 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
         least = stars.groupBy("key").agg(F.min("line_id").alias("x"))
         found.append(stars.join(least, "key").where("line_id > x").select("x", F.col("line_id").alias("y")))
         texts = large.select("line_id", "indexed", "start", "width").distinct().join(long_enough, "line_id")
-        size = F.when(F.col("indexed"), F.col("chars")).otherwise(F.col("chars") - 1)
-        window = [(F.col("start"), F.col("width"))]
-        parts = F.when(F.col("indexed"), _entries(F.col("wide"), size, window, 0)).otherwise(_entries(F.col("wide"), size, window, 1))
-        met = _met(texts.select("*", _wide("line")).select("line_id", F.explode(parts).alias("e")).select("line_id", "e.*"))
+        size = F.when(F.col("indexed"), chars).otherwise(chars - 1)
+        halves = texts.select("line_id", _wide("line"), _windows(size, F.col("indexed"), F.col("start"), F.col("width")).alias("halves"))
+        met = _met(_entries(halves.select("line_id", "wide", F.inline("halves"))))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
