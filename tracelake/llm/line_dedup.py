@@ -152,8 +152,8 @@ def line_links(lines: DataFrame, min_chars: int = MIN_CHARS, paired: int = PAIRE
         found.append(stars.join(least, "key").where("line_id > x").select("x", F.col("line_id").alias("y")))
         texts = large.select("line_id", "indexed", "start", "width").distinct().join(long_enough, "line_id")
         size = F.when(F.col("indexed"), chars).otherwise(chars - 1)
-        halves = texts.select("line_id", _wide("line"), _windows(size, F.col("indexed"), F.col("start"), F.col("width")).alias("halves"))
-        met = _met(_entries(halves.select("line_id", "wide", F.inline("halves"))))
+        halves = texts.select("*", _wide("line")).select("line_id", "wide", F.inline(_windows(size, F.col("indexed"), F.col("start"), F.col("width"))))
+        met = _met(_entries(halves))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
