@@ -76,18 +76,23 @@ class WordBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
-        self._count_of_word = Memo(self._count_word, memo)
-        self._ids_of_word = Memo(self._ids_word, memo)
-        self._count_of_chunk = Memo(lambda c: sum(map(self._count_of_word.__getitem__, self._words(c))), memo)
-        self._ids_of_chunk = Memo(lambda c: b"".join(map(self._ids_of_word.__getitem__, self._words(c))), memo)
-
-    def _words(self, chunk: str) -> list[str]:
-        """The words of a run without white space, a byte's stand-in for each byte."""
-        if not (chunk.isascii() or PLAIN(chunk)):
-            return [word for word, _ in self.cut(self.normalize(chunk))]
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-        return ["".join([self.symbols[b] for b in w.encode("utf-8")]) for w in self.words(chunk.lower())]
+        # by word as it is written here, by the library's word of stand-ins, and by run between white space
+        self._count_of_word, self._ids_of_word = Memo(lambda w: self._count_word(self._stand_ins(w)), memo), Memo(lambda w: self._ids_word(self._stand_ins(w)), memo)
+        self._count_of_cut, self._ids_of_cut = Memo(self._count_word, memo), Memo(self._ids_word, memo)
+        self._count_of_chunk = Memo(lambda c: sum(self._each(c, self._count_of_word, self._count_of_cut)), memo)
+        self._ids_of_chunk = Memo(lambda c: b"".join(self._each(c, self._ids_of_word, self._ids_of_cut)), memo)
+
+    def _stand_ins(self, word: str) -> str:
+        """A stand-in for each byte; printable ones of ASCII are their own."""
+        return word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8")])
+
+    def _each(self, chunk: str, of_word: Memo, of_cut: Memo):
+        """What a memo has of each word of a run without white space."""
+        if chunk.isascii():
+            return map(of_word.__getitem__, self.words(chunk.lower()))
+        if PLAIN(chunk):
+            return map(of_word.__getitem__, self.words(unicodedata.normalize("NFC", chunk).lower()))
+        return (of_cut[word] for word, _ in self.cut(self.normalize(chunk)))
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
