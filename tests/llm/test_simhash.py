@@ -4,7 +4,7 @@ import re
 import xxhash
 
 from tracelake.llm.components import components
-from tracelake.llm.simhash import drop_near_copies, fingerprint_links, simhash_groups, similarity_bits
+from tracelake.llm.simhash import drop_near_copies, fingerprint_links, near_links, simhash_groups, similarity_bits
 
 SCHEMA = "doc_id long, text string, fp string, id long"
 
@@ -179,3 +179,40 @@ def test_near_copies_of_a_large_loose_group(spark):
     for block in (1 << 21, 5000):
         stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA), block=block).collect()]
         assert sorted(stay) == sorted(set(root.values())), block
+
+
+def test_near_copies_by_simhash_blocks(spark):
+    """One band of 2,000 min-hashes, in which no two different texts meet: what goes was found by SimHash, and is alike."""
+    random.seed(19)
+    rows = []
+    for base in range(25):
+        text = ["w%d" % random.randrange(9000) for _ in range(400)]
+        for k in range(4):
+            copy = list(text)
+            if k:
+                copy[random.randrange(400)] = "x%d" % k
+            rows.append((random.randrange(10**9), " ".join(copy), "", base))
+    rows += [(None, None, "", 0), (5, " ", "", 0), (6, "lone", "", 0)]
+    sets = {r[0]: shingles(r[1] or "") for r in rows}
+    prints = {}
+    for r, found in sets.items():
+        hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in found if s]
+        prints[r] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    order = sorted(sets, key=lambda k: (k is None, k or 0))
+    root = {k: k for k in sets}
+    for _ in range(4):
+        for i, a in enumerate(order):
+            for b in order[i + 1 :]:
+                if (prints[a] ^ prints[b]).bit_count() <= 2 and jaccard(sets[a], sets[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b], key=order.index)
+    assert len(set(root.values())) < len(root) - 25
+    stay = [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA), bands=1, rows=2000).collect()]
+    assert sorted(map(str, stay)) == sorted(map(str, set(root.values())))
+
+
+def test_fingerprints_alone_link_nothing(spark):
+    """Pairs that SimHash brings are compared too."""
+    features = spark.createDataFrame([(1, [0], [1, 2, 3, 4, 5]), (2, [0], [1, 2, 3, 4]), (3, [0], [1, 2, 3, 9])], "r long, bands array<long>, set array<long>")
+    nobody = spark.createDataFrame([], "bucket long, band int, r long, n long")
+    pairs = spark.createDataFrame([(2, 1), (3, 1)], "r long, lead long")
+    assert {(x.r, x.root) for x in near_links(nobody, features, 0.8, 3, pairs=pairs).collect()} == {(1, 1), (2, 1)}

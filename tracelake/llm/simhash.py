@@ -157,24 +157,25 @@ def bands_of(least: np.ndarray, bands: int) -> np.ndarray:
 
 
 def banded(docs: DataFrame, width: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, k1, k2, n, bands array<long>): text hash, 128-bit hash and size of the set of distinct shingles, and its bands."""
+    """(id, h, k1, k2, n, fp, bands array<long>): text hash, 128-bit hash and size of the set of distinct shingles, the set's SimHash fingerprint (zero without a shingle), and its bands."""
 
     def run(batches):
         for batch in shared.slices(batches):
-            keys, sizes, least = [], [], []
+            keys, sizes, least, prints = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = distinct_shingles(text, width)
+                prints.append(bit_majority(found[:, None])[0] if len(found) else 0)
                 keys.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
                 sizes.append(len(found))
                 least.append(minhashes(found, bands * rows))
             if keys:
                 k1, k2 = np.array(keys).T
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(bands_of(np.array(least), bands).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1), pa.array(k2), pa.array(sizes, pa.int64()), values], ["id", "h", "k1", "k2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(k1), pa.array(k2), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), values], ["id", "h", "k1", "k2", "n", "fp", "bands"])
 
     text = shared.text_of(text_col)
     rows_ = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, h long, k1 long, k2 long, n long, bands array<long>")
+    return rows_.mapInArrow(run, f"id {rows_.schema['id'].dataType.simpleString()}, h long, k1 long, k2 long, n long, fp long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -200,6 +201,15 @@ def verified(pairs: DataFrame, sets: DataFrame, a: str, b: str, similarity: floa
     return both.where(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= similarity).select(a, b)
 
 
+def simhash_pairs(prints: DataFrame, distance: int = 2, paired: int = PAIRED) -> DataFrame:
+    """(r, lead), lead < r: what SimHash joins of ``prints`` (r, fp): sets of one fingerprint with the first of them, and the first ones of :func:`fingerprint_links`, by pigeonhole blocks."""
+    firsts = shared.stored(prints.groupBy("fp").agg(F.min("r").alias("first")), "fingerprints")
+    same = prints.join(firsts, "fp").where("r > first").select("r", F.col("first").alias("lead"))
+    a, b = firsts.toDF("a", "first_a"), firsts.toDF("b", "first_b")
+    close = fingerprint_links(firsts, distance, paired).join(a, "a").join(b, "b")
+    return shared.stored(same.unionByName(close.select(F.greatest("first_a", "first_b").alias("r"), F.least("first_a", "first_b").alias("lead"))), "simhash-pairs")
+
+
 def first_links(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(r, lead): each member compared with one other, the first of a bucket that it meets in most buckets. Rows in proportion to ``alive``."""
     leads = alive.groupBy("bucket").agg(F.min(F.struct("r", "n")).alias("lead"))
@@ -292,22 +302,33 @@ def block_links(alive: DataFrame, roots: DataFrame, features: DataFrame, similar
     return members.groupBy("bucket", "i", "j").applyInArrow(_compared(similarity, least_bands), "r long, lead long")
 
 
-def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int = 1 << 21) -> DataFrame:
-    """(node, root) of the components of the pairs of ``alive`` (bucket, band, r, n) that share ``least_bands`` buckets and have this similarity or more.
+def near_links(alive: DataFrame, features: DataFrame, similarity: float, least_bands: int, block: int = 1 << 21, pairs: DataFrame | None = None) -> DataFrame:
+    """(r, root) of the components of the pairs of ``alive`` (bucket, band, r, n) that share ``least_bands`` buckets and have this similarity or more, and of those of ``pairs`` (r, lead) that have it.
 
-    A first comparison for every member joins most copies; :func:`block_links` finds what joins the rest. ``features``: r, bands, set.
+    ``pairs`` are compared first, and buckets whose members they join are done. In the others a first comparison for every member joins
+    most copies; :func:`block_links` finds what joins the rest. ``features``: r, bands, set.
     """
-    found = first_links(alive, features.select("r", "set"), similarity)
+    sets, found = features.select("r", "set"), None
+    if pairs is not None:
+        found = shared.stored(verified(pairs, sets, "r", "lead", similarity), "similar")
+        roots = components(found, "r", "lead").select(F.col("node").alias("r"), "root")
+        rooted = alive.join(roots, "r", "left").withColumn("root", F.coalesce("root", "r"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+        alive = shared.stored(alive.join(mixed, "bucket", "left_semi"), "buckets")
+    firsts = first_links(alive, sets, similarity)
+    found = firsts if found is None else found.unionByName(firsts)
     roots = components(found, "r", "lead").select(F.col("node").alias("r"), "root")
     more = shared.stored(block_links(alive, roots, features, similarity, least_bands, block), "similar")
     return components(found.unionByName(more), "r", "lead").select(F.col("node").alias("r"), "root")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, least_bands: int = 3, block: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 60, rows: int = 6, least_bands: int = 3, block: int = 1 << 21, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, stay): stay = true for the smallest document (id and the hash h of its text) of each group that links reach.
 
-    Documents meet when ``rows`` min-hashes agree in ``least_bands`` of ``bands`` bands. At a similarity of 0.8 a pair agrees in
-    fewer than three with a probability of three in a million, and less above. Whoever meets is compared by
+    Documents meet by SimHash first: the sets' 64-bit fingerprints, at most ``distance`` bits apart by pigeonhole blocks, as in
+    :func:`simhash_groups`. At 0.8 some ten bits of 64 differ, beyond what blocks can find, so for the similar pairs that fingerprints do
+    not join, documents also meet when ``rows`` min-hashes agree in ``least_bands`` of ``bands`` bands: at a similarity of 0.8 a pair agrees in
+    fewer than three with a probability of three in a million, and less above. Whoever meets either way is compared by
     the exact Jaccard similarity of the sets of distinct shingles (64-bit hashes), so no pair below ``similarity`` is
     linked. Groups are the components of the links, so of a chain of versions one document stays.
 
@@ -316,16 +337,18 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands:
     """
     raw = shared.stored(banded(docs, width, bands, rows, id_col, text_col), "bands")
     # equal sets: one representative; row numbers in id order, nulls last
-    best = raw.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "bands")).alias("best"))
-    distinct = best.select("k1", "k2", "best.*").repartitionByRange("none", "id", "h").sortWithinPartitions("none", "id", "h").select("id", "h", "k1", "k2", "n", "bands", F.monotonically_increasing_id().alias("r"))
+    best = raw.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "fp", "bands")).alias("best"))
+    distinct = best.select("k1", "k2", "best.*").repartitionByRange("none", "id", "h").sortWithinPartitions("none", "id", "h").select("id", "h", "k1", "k2", "n", "fp", "bands", F.monotonically_increasing_id().alias("r"))
     distinct = shared.stored(distinct, "distinct-sets")
     every = distinct.select("r", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = every.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
     alive = shared.stored(every.join(sizes, "bucket"), "buckets")
-    wanted = distinct.join(alive.select("r").distinct(), "r", "left_semi").select("r", "id", "h")
+    pairs = simhash_pairs(distinct.select("r", "fp"), distance)
+    met = alive.select("r").unionByName(pairs.select("r")).unionByName(pairs.select(F.col("lead").alias("r"))).distinct()
+    wanted = distinct.join(met, "r", "left_semi").select("r", "id", "h")
     sets = shingle_sets(docs, wanted, width, id_col, text_col)
     features = shared.stored(sets.join(distinct.select("r", "bands"), "r"), "shingle-sets")
-    going = near_links(alive, features, similarity, least_bands, block).where("r > root").select("r")
+    going = near_links(alive, features, similarity, least_bands, block, pairs).where("r > root").select("r")
     left = distinct.select("k1", "k2", "r", F.col("id").alias("keep"), F.col("h").alias("keep_h")).join(going, "r", "left_anti")
     stay = F.col("keep_h").isNotNull() & F.col("keep").eqNullSafe(F.col("id")) & (F.col("keep_h") == F.col("h"))
     return raw.select("id", "h", "k1", "k2").join(left.drop("r"), ["k1", "k2"], "left").select("id", "h", F.coalesce(stay, F.lit(False)).alias("stay"))
