@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from tracelake.llm import collocations as C
@@ -76,3 +78,19 @@ def test_sql(spark, tmp_path):
     names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     frame = base.sql(C.OP11_SQL).df()[names]
     assert sorted(map(tuple, frame.to_numpy().tolist())) == brute(texts(9, 900), 30, 4, 2000) == got(C.op11_collocations(spark, str(tmp_path)))
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_places_of_frequent_ngrams_in_bounded_memory(n):
+    codes = np.random.default_rng(n).integers(0, 400, 1_500_000).astype("<u4")
+    wanted = {tuple(codes[k : k + n].tolist()) for k in range(0, 60_000, 20)}
+    wanted = {w for w in wanted if 0 not in w}
+    held = np.array(sorted(wanted), C.ID).reshape(-1, n)
+    keys = np.frombuffer(held.tobytes(), f"S{4 * n}")
+    tracemalloc.start()
+    starts = C._frequent_places(codes, n, keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(codes)
+    rows = codes.tolist()
+    assert starts.tolist() == [tuple(rows[k : k + n]) in wanted for k in range(len(rows))]

@@ -21,7 +21,9 @@ from tracelake.llm import shared
 
 LEAST, LONGEST, FIRST = 30, 4, 2000
 #: Bytes of text after which a task closes its block of a language.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 10_000_000
+#: N-grams of a block that are looked up at a time.
+_LOOKED_UP = 250_000
 #: A word's number takes four bytes; 0 stands for a break.
 ID = np.dtype(">u4")
 _MOST_WORDS = 2**32 - 2
@@ -147,7 +149,7 @@ def _sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not m:
         return keys, np.zeros(0, np.int64)
     digits = np.ascontiguousarray(keys).view(">u2")
-    order = np.arange(m)
+    order = np.arange(m, dtype=np.uint32)
     for d in range(digits.shape[1] - 1, -1, -1):
         column = digits[:, d].astype(np.uint16)
         if column.min() != column.max():
@@ -163,7 +165,22 @@ def _binary(keys: np.ndarray) -> pa.Array:
 
 
 def _ngrams(codes: np.ndarray, n: int, places: np.ndarray) -> np.ndarray:
-    return np.stack([codes[places + k] for k in range(n)], axis=1).astype(ID) if len(places) else np.zeros((0, n), ID)
+    keys = np.empty((len(places), n), ID)
+    for k in range(n):
+        keys[:, k] = codes[places + k]
+    return keys
+
+
+def _frequent_places(codes: np.ndarray, n: int, held: np.ndarray) -> np.ndarray:
+    """Whether an n-gram of ``held`` (keys of n words) begins at each place; looked up some at a time, as sorting all of a block's keys takes many times their bytes."""
+    whole = np.ones(max(len(codes) - n + 1, 0), bool)
+    for k in range(n):
+        whole &= codes[k : k + len(whole)] > 0
+    places, starts = np.flatnonzero(whole), np.zeros(len(codes), bool)
+    for k in range(0, len(places), _LOOKED_UP):
+        part = places[k : k + _LOOKED_UP]
+        starts[part[np.isin(_ngrams(codes, n, part).view(held.dtype).ravel(), held)]] = True
+    return starts
 
 
 def _counts_of(block: int, codes: np.ndarray, n: int, places: np.ndarray):
@@ -285,13 +302,7 @@ def _longer(encoded: DataFrame, frequent: DataFrame, n: int) -> tuple[DataFrame,
         if codes.num_rows and grams.num_rows:
             numbers = _numbers(codes.column("codes")[0].as_py())
             held = np.frombuffer(b"".join(grams.column("keys").to_pylist()), f"S{n * ID.itemsize}")
-            whole = np.ones(max(len(numbers) - n + 1, 0), bool)
-            for k in range(n):
-                whole &= numbers[k : k + len(whole)] > 0
-            places = np.flatnonzero(whole)
-            keys = np.ascontiguousarray(_ngrams(numbers, n, places)).view(f"S{n * ID.itemsize}").ravel()
-            starts = np.zeros(len(numbers), bool)
-            starts[places[np.isin(keys, held)]] = True
+            starts = _frequent_places(numbers, n, held)
             # only where two frequent n-grams begin at neighbouring words is there a longer one
             double = np.flatnonzero(starts[:-1] & starts[1:])
             used = np.zeros(len(numbers), bool)
