@@ -32,6 +32,17 @@ def test_words_like_whole_texts(parts):
     assert LibraryIds(PATH, 3).packed([text, text]) == [np.array(ids_of(text)[:-1], "<u4").tobytes()] * 2
 
 
+def test_the_model_has_each_word_once():
+    """A new word goes to the library's model by itself, without a text around it, and once while it is remembered."""
+    of, asked = LibraryIds(PATH), []
+    tokenize = of.tokenize
+    of.tokenize = lambda word: asked.append(word) or tokenize(word)
+    texts = ["One two, one's " * 50, "two <|endoftext|> einhundertzwanzigste 12 überzwei", "", "x" * 30_000 + " one"]
+    for _ in range(2):
+        assert of.packed(texts) == [np.array(ids_of(t)[:-1], "<u4").tobytes() for t in texts]
+    assert len(asked) == len(set(asked)) == 9
+
+
 def rows(n=120):
     random.seed(11)
     words = ["alpha", "beta", "Gamma,", "délta", "e<|endoftext|>f", "zz.zz", "12345"]

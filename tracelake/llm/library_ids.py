@@ -2,8 +2,8 @@
 
 The vocabulary file's tokenizer folds white space, lowers, and cuts a text into words that it encodes each by
 itself, so a text's ids are its words' ids one after the other. Texts of Latin letters, digits and marks are
-lowered and cut here, and all words that are new go to the library's model as one text, a line each, without its slow
-normaliser. Of any other text, runs between white space with another character or a special string go through the
+lowered and cut here, and a word that is new goes to the library's model by itself, without its slow
+normaliser and pre-tokeniser. Of any other text, runs between white space with another character or a special string go through the
 whole tokenizer (special strings hold no white space).
 """
 
@@ -14,11 +14,10 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
-from tracelake.llm.bpe import _SEPARATORS, _SPACE, PLAIN, byte_symbols
+from tracelake.llm.bpe import _SEPARATORS, _SPACE, PLAIN, Memo, byte_symbols
 
 def _in_class(kind: str) -> str:
     """The plain characters of a general category, for use within square brackets."""
@@ -28,7 +27,7 @@ def _in_class(kind: str) -> str:
 class LibraryIds:
     """``memo_size``: words remembered, in each of two generations; the older one goes as a whole."""
 
-    def __init__(self, path: str, memo_size: int = 150_000):
+    def __init__(self, path: str, memo_size: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -39,14 +38,13 @@ class LibraryIds:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         for name, characters in ((r"\p{L}", _in_class("L")), (r"\p{N}", _in_class("N")), (r"\s", "\t-\r \x85\xa0")):
             pattern = pattern.replace(name, characters)
+        letters = f"[{_in_class('L')}]+"
+        pattern = "|".join([letters, pattern.replace(f"|{letters}", "", 1)])  # the usual case first; no other branch begins with a letter
         self.words = re.compile(pattern).findall
-        between = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}  # no byte's stand-in is a line feed
-        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": between, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None}))
-        end, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for s, i in vocab.items() if s.endswith(end)]] = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(max(spec["model"]["vocab"].values()) + 1)]
         self.as_symbols = dict(enumerate(byte_symbols()))
-        self.memo_size, self.memo, self.old = memo_size, {}, {}
+        self.memo = Memo(self._ids_of, memo_size)
 
     @staticmethod
     def _whole(run: str) -> bool:
@@ -66,35 +64,18 @@ class LibraryIds:
         runs = [c for c in _SPACE.split(text) if c] if _SEPARATORS.search(text) else text.split()
         return [w for c in runs for w in ((c,) if self._whole(c) else self.words(c.lower()))]
 
-    def _symbols(self, word: str) -> str:
-        return word if word.isascii() and word.isalnum() else word.encode("utf-8").decode("latin-1").translate(self.as_symbols)
-
-    def _encode(self, words: list[str]) -> None:
-        plain, whole = [], []
-        for w in words:
-            (whole if self._whole(w) else plain).append(w)
-        for w, encoding in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
-            self.memo[w] = np.array(encoding.ids, "<u4").tobytes()
-        if plain:
-            ids = np.array(self.model.encode_batch_fast(["\n".join(map(self._symbols, plain))], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1  # a word's last token, and no other, holds the end of word
-            assert len(ends) == len(plain), "a word without an end"
-            packed, ends = ids.tobytes(), (4 * ends).tolist()
-            self.memo.update((w, packed[a:b]) for w, a, b in zip(plain, [0, *ends], ends))
+    def _ids_of(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalnum()):
+            if self._whole(word):
+                return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            word = word.encode("utf-8").decode("latin-1").translate(self.as_symbols)
+        of = self.bytes_of
+        return b"".join([of[token.id] for token in self.tokenize(word)])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, without added special tokens."""
-        split = [self._split(t) for t in texts]
-        words = set(chain.from_iterable(split))
-        if len(self.memo) > self.memo_size:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        if new := [w for w in words if w not in memo]:
-            memo.update((w, old[w]) for w in new if w in old)
-            if new := [w for w in new if w not in old]:
-                self._encode(new)
-        of = memo.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        of = self.memo.__getitem__
+        return [b"".join(map(of, self._split(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)

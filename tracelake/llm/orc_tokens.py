@@ -30,9 +30,9 @@ def tokenised(rows: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     def run(batches):
         of = library_ids(path)
         for batch in shared.slices(batches):
-            packed = [ids + end for ids in of.packed(batch.column("text").to_pylist())]
-            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-            values = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+            packed = of.packed(batch.column("text").to_pylist())
+            sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4 + 1
+            values = pa.array(np.frombuffer(end.join([*packed, b""]), "<i4"))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
             yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
 
@@ -70,8 +70,8 @@ def offsets(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column("ids")
-            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), batch.column("place"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["id", "file", "place", "n_tokens", "ids_crc32"])
 
     kind = tokens.schema["id"].dataType.simpleString()
